@@ -248,6 +248,10 @@ def compare_fixef(a: DataFrame, b: DataFrame, entity: str, names=("fe_a", "fe_b"
 MAX_FGLS_TIMES = 400
 
 
+def _minus(field_name: str, value: float):
+    return lambda r: r[field_name] - F.lit(value)
+
+
 def fgls_within(df: DataFrame, y: str, xs: list[str], entity: str, t: str, n_times: int) -> LinearFit:
     """General feasible GLS on demeaned data.
 
@@ -268,7 +272,7 @@ def fgls_within(df: DataFrame, y: str, xs: list[str], entity: str, t: str, n_tim
     blocks = blocks.select(
         F.transform("rows", lambda r: r[t].cast("double")).alias("t"),
         F.transform("rows", lambda r: r["resid"]).alias("u"),
-        *[F.transform("rows", lambda r, c=c: r[c] - F.lit(means[c])).alias(f"_x{i}") for i, c in enumerate(cols)],
+        *[F.transform("rows", _minus(c, means[c])).alias(f"_x{i}") for i, c in enumerate(cols)],
     ).persist(StorageLevel.MEMORY_AND_DISK)
     T = n_times
 

@@ -244,11 +244,7 @@ def _(spark, sf):
     return describe.histogram(table(spark, sf, "events"), "value", 0.0, 360.0, 15.0)
 
 
-@query(
-    "a10_histogram_auto",
-    # the order price range gives breaks every 50000 from 0 at every scale factor of the test data
-    None,
-)
+@query("a10_histogram_auto")  # the oracle has no automatic breaks
 def _(spark, sf):
     return describe.histogram_auto(table(spark, sf, "orders"), "o_totalprice")
 
@@ -327,7 +323,7 @@ def _lowess_ctes() -> None:
                     CAST(greatest(a.i - a.lo, a.lo + a.k - 1 - a.i) AS DOUBLE) AS h
                   FROM (SELECT *, greatest(1, least(n - k + 1, i - k // 2)) AS lo FROM
                     (SELECT *, greatest(2, least(n, CAST(floor(n * (2.0::DOUBLE / 3) + 1e-7) AS BIGINT))) AS k FROM lw{p})) a
-                  JOIN lw{p} b USING (user_id))) WHERE w > 0 GROUP BY user_id, t, i, n, y, rw))""",
+                  JOIN lw{p} b USING (user_id))) WHERE w > 0 GROUP BY user_id, t, i, n, y, rw)""",
             (f"lw{p}",),
         )
         cte(
