@@ -41,6 +41,19 @@ def add_calendar(df: DataFrame, date: str = "date") -> DataFrame:
     return df.withColumns({"month": F.month(d), "day": F.dayofmonth(d), "weekday": weekday_name(d)})
 
 
+def in_dates(df: DataFrame, col: str, first: str, last: str) -> Column:
+    """True from the first to the last date, both included.
+
+    A timestamp column is compared as it is with the day limits, so the filter
+    reaches the file scan; a cast of the column to a date would hide it.
+    """
+    kind = df.schema[col].dataType.simpleString()
+    lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")
+    if kind == "date":
+        return F.col(col).between(lo, hi)
+    return (F.col(col) >= lo.cast(kind)) & (F.col(col) < F.date_add(hi, 1).cast(kind))
+
+
 def flag(cond: Column) -> Column:
     """0/1 double; null when the condition is null."""
     return cond.cast("int").cast("double")

@@ -294,7 +294,7 @@ def fgls_within(df: DataFrame, y: str, xs: list[str], entity: str, t: str, n_tim
     pairs = blocks.mapInPandas(pair_sums, "i int, v double, n double")
     pairs = pairs.groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v"))
     omega = np.zeros(T * T)
-    for r in pairs.toLocalIterator():
+    for r in pairs.collect():  # T x T values
         omega[r["i"]] = r["v"]
     return _gls(first, blocks, omega.reshape(T, T), k)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normal_quantile
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffle_partitions
 from .ranking import exact_quantiles, global_rank
 from .slices import SLICE_ROWS, drop_halo, entity_position, slice_window, with_halo
 
@@ -137,10 +137,9 @@ def lowess(
     )
     cur = cut_lineage(cur)
     for it in range(passes + 1):
-        fit = _lowess_pass(cur, entity)
+        cur = _lowess_pass(cur, entity)
         if it < passes:
-            fit = _robust_weights(fit, entity)
-        cur = cut_lineage(fit)
+            cur = _robust_weights(cur, entity)
     return cur.select(entity, t, F.col("_pos").alias("pos"), F.col("_y").alias("y"), F.col("_fit").alias("trend"))
 
 
@@ -154,16 +153,21 @@ def _lowess_pass(cur: DataFrame, entity: str) -> DataFrame:
     # the row lies within k-1 index steps of every anchor it serves
     a_lo = F.greatest(F.lit(0), F.floor((pos - k) / step) - 1).cast("long")
     a_hi = F.least(n_anchor, F.ceil((pos + k) / step) + 1).cast("long")
-    terms = cur.withColumn("_a", F.explode(F.sequence(a_lo, a_hi)))
+    # a row grows into many terms: spread the rows first
+    spread = cur.select(entity, "_pos", "_y", "_n", "_k", "_step", "_rw")
+    spread = spread.repartition(shuffle_partitions(cur.sparkSession), entity, "_pos")
+    terms = spread.withColumn("_a", F.explode(F.sequence(a_lo, a_hi)))
     c = at(F.col("_a"))
     # k nearest indices of c, shifted inwards at the ends (ties keep the left side)
     left = F.greatest(F.lit(1), F.least(n - k + 1, c - F.floor(k / 2)))
     h = F.greatest(c - left, left + k - 1 - c).cast("double")
     d = F.abs(pos - c).cast("double")
-    q = d / h
-    tri = F.pow(1 - q * q * q, 3)
-    w = F.when(d <= _NEAR * h, 1.0).when(d <= _FAR * h, tri).otherwise(0.0) * F.col("_rw")
-    terms = terms.withColumns({"_c": c, "_d": (pos - c).cast("double"), "_w": w}).filter("_w > 0")
+    terms = terms.withColumns({"_c": c, "_d": d, "_h": h}).filter((F.col("_d") <= _FAR * F.col("_h")) & (F.col("_rw") > 0))
+    q = F.col("_d") / F.col("_h")
+    terms = terms.withColumn("_g", 1 - q * q * q)
+    tri = F.col("_g") * F.col("_g") * F.col("_g")
+    w = F.when(F.col("_d") <= _NEAR * F.col("_h"), 1.0).otherwise(tri) * F.col("_rw")
+    terms = terms.select(entity, "_a", "_c", "_n", "_y", (pos - F.col("_c")).cast("double").alias("_d"), w.alias("_w"))
     W, D, Y = F.col("_w"), F.col("_d"), F.col("_y")
     s = terms.groupBy(entity, "_a", "_c", "_n").agg(
         F.sum(W).alias("sw"),
@@ -197,7 +201,7 @@ def _robust_weights(fit: DataFrame, entity: str) -> DataFrame:
     res = cut_lineage(fit.withColumn("_res", F.abs(F.col("_y") - F.col("_fit"))))
     mad = exact_quantiles(res, "_res", {"_mad": 0.5}, [entity])
     mean = res.groupBy(entity).agg(F.avg("_res").alias("_mean"))
-    res = res.join(mad, entity).join(mean, entity)
+    res = res.join(mad.join(mean, entity), entity)
     c = 6 * F.col("_mad")
     q = F.try_divide(F.col("_res"), c)
     bisq = F.pow(1 - q * q, 2)

@@ -63,9 +63,8 @@ def _(spark, sf):
        AND value < 42 AND event_type <> 'view'""",
 )
 def _(spark, sf):
-    ev = events(spark, sf)
-    lo, hi = F.lit("2024-01-10").cast("date"), F.lit("2024-01-20").cast("date")
-    ev = ev.filter(~F.col("d").between(lo, hi) & (F.col("value") < 42) & (F.col("event_type") != "view"))
+    ev = table(spark, sf, "events")
+    ev = ev.filter(~cal.in_dates(ev, "ts", "2024-01-10", "2024-01-20") & (F.col("value") < 42) & (F.col("event_type") != "view"))
     return ev.select("event_id", "user_id")
 
 
@@ -172,8 +171,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # only the needed day is scanned on the right side
-    ev = events(spark, sf)
-    seen = ev.filter(F.col("d") == F.lit("2024-01-13").cast("date")).select("user_id")
+    ev = table(spark, sf, "events")
+    seen = ev.filter(cal.in_dates(ev, "ts", "2024-01-13", "2024-01-13")).select("user_id")
     return joins.rows_not_in(ev.select("user_id").distinct(), seen, ["user_id"])
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.ranking import global_rank
+
 RAW_PANEL_SCHEMA = T.StructType(
     [
         T.StructField("station", T.StringType()),
@@ -78,12 +80,14 @@ def panel_from_events(
 def time_axis(df: DataFrame, time: str, name: str = "t", keep: dict[str, Column] | None = None) -> DataFrame:
     """Chronological 1..T ordinal of the distinct times, with time-level aggregates.
 
-    The ordering window has no partition: it runs on the table of distinct
-    dates or months, which the calendar bounds.
+    Distinct dates are few (the calendar bounds them), so they are numbered in
+    one window; distinct times of any other type go through the distributed rank.
     """
     aggs = [c.alias(n) for n, c in (keep or {}).items()]
     times = df.groupBy(time).agg(*aggs) if aggs else df.select(time).distinct()
-    return times.withColumn(name, F.row_number().over(Window.orderBy(time)))
+    if isinstance(times.schema[time].dataType, T.DateType):
+        return times.withColumn(name, F.row_number().over(Window.orderBy(time)))
+    return global_rank(times, [F.col(time).asc()], name)
 
 
 def attach_axis(df: DataFrame, axis: DataFrame, time: str) -> DataFrame:
