@@ -81,7 +81,7 @@ def glm_poisson_by_entity(df: DataFrame, y: str, x: str, entity: str, iterations
         )
         g0, g1, h00, h01, h11 = (F.col(c) for c in ("g0", "g1", "h00", "h01", "h11"))
         det = h00 * h11 - h01 * h01
-        ok = det > 1e-12 * h00 * h00
+        ok = det > 1e-20 * h00 * h00 * F.col("_mx") * F.col("_mx")  # x varies beyond rounding
         d0 = F.when(ok, F.try_divide(h11 * g0 - h01 * g1, det))
         d1 = F.when(ok, F.try_divide(h00 * g1 - h01 * g0, det))
         cur = cut_lineage(

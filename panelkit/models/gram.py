@@ -66,9 +66,10 @@ def moments(df: DataFrame, cols: list[Column], weight: Column | None = None) ->
 
 def solve_spd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Solve after scaling to a unit diagonal; collinear columns raise an error."""
-    d = np.sqrt(np.diag(a))
+    d = np.diag(a)
     if not np.all(d > 0):
         raise np.linalg.LinAlgError(f"no variation in column(s) {np.flatnonzero(~(d > 0)).tolist()}")
+    d = np.sqrt(d)
     s = a / np.outer(d, d)
     if np.linalg.cond(s) > 1e13:
         raise np.linalg.LinAlgError("columns are collinear")
@@ -77,3 +78,10 @@ def solve_spd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def inverse_spd(a: np.ndarray) -> np.ndarray:
     return solve_spd(a, np.eye(len(a)))
+
+
+def positive_inverse(a: np.ndarray, tol: float = 1e-10) -> np.ndarray:
+    """Inverse on the eigenvectors with a positive eigenvalue, zero elsewhere."""
+    w, v = np.linalg.eigh(a)
+    keep = w > tol * w.max()
+    return (v[:, keep] / w[keep]) @ v[:, keep].T

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.columns import add_coef_terms
-from .gram import cross_sums, inverse_spd, moments, solve_spd
+from .gram import cross_sums, inverse_spd, moments, positive_inverse, solve_spd
 
 
 def estimation_sample(df: DataFrame, y: str, xs: list[str], keys: list[str], positive: list[str] = ()) -> DataFrame:
@@ -188,9 +188,9 @@ def ols_by_entity(df: DataFrame, y: str, xs: list[str], entity: str) -> DataFram
             s = m[:, 0, 1:]
             c = m[:, 1:, 1:] - s[:, :, None] * s[:, None, :] / n[:, None, None]
             a, r = c[:, :k, :k], c[:, :k, k]
-            d = np.sqrt(np.einsum("ijj->ij", a))
-            ok = (n > k + 1) & np.all(d > 1e-12 * np.sqrt(n)[:, None], axis=1)
-            d = np.where(ok[:, None], d, 1.0)
+            var, raw = np.einsum("ijj->ij", a), np.einsum("ijj->ij", m)[:, 1 : k + 1]
+            ok = (n > k + 1) & np.all(var > 1e-12 * raw, axis=1)
+            d = np.sqrt(np.where(ok[:, None], var, 1.0))
             scaled = np.where(ok[:, None, None], a / (d[:, :, None] * d[:, None, :]), np.eye(k))
             ok &= np.linalg.cond(scaled) < 1e12
             scaled = np.where(ok[:, None, None], scaled, np.eye(k))
@@ -256,8 +256,8 @@ def fgls_within(df: DataFrame, y: str, xs: list[str], entity: str, t: str, n_tim
     """General feasible GLS on demeaned data.
 
     The T x T residual covariance is averaged over entities, pair of times by
-    pair, then each entity's demeaned block is weighted by the pseudo-inverse of
-    its part (demeaned errors have a singular covariance). ``t`` runs over
+    pair, then each entity's demeaned block is weighted by the inverse of its part
+    on the positive eigenvalues (demeaned errors have a singular covariance). ``t`` runs over
     1..n_times. T is limited because T x T values live in every task; an entity
     has at most T rows, so its block is bounded as well.
     """
@@ -315,7 +315,7 @@ def _gls(first: LinearFit, blocks: DataFrame, omega: np.ndarray, k: int) -> Line
                 key = j.tobytes()
                 if key not in cache:
                     cache = cache if len(cache) < 64 else {}
-                    cache[key] = np.linalg.pinv(omega[np.ix_(j, j)], rcond=1e-10, hermitian=True)
+                    cache[key] = positive_inverse(omega[np.ix_(j, j)])
                 total += z.T @ cache[key] @ z
         yield pd.DataFrame({"i": np.arange(len(upper[0])), "v": total[upper]})
 

@@ -133,7 +133,7 @@ def impute_period(
 def apply_imputation(panel: DataFrame, imputed: DataFrame, entity: str, t: str, y: str) -> DataFrame:
     """Replace y by the imputed count where there is one; ``is_imputed`` marks the rows.
 
-    Lags have to be built again from the result, which also renews those of the
+    Rejected rows keep their count and are not marked. Lags have to be built again from the result, which also renews those of the
     first days after the period.
     """
     out = panel.join(imputed.select(entity, t, "y_imputed"), [entity, t], "left")

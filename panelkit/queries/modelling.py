@@ -471,8 +471,8 @@ def _(spark, sf):
 @query(
     "t7_locally_robust_ar1",
     test_sql(
-        "nn * nn * (b + c * a) ** 2 / ((nn - g) * (1 - 2 * c))", "1", None,
-        """(SELECT nn, g, 1 - u2 / uu AS a, x / uu AS b, (nn - g) / (t2 - nn) AS c FROM psum, (SELECT sum(r.u * l.u) AS x
+        "nn * nn * (b + c * a) ** 2 / (p * (1 - 2 * c))", "1", None,
+        """(SELECT nn, p, 1 - u2 / uu AS a, x / uu AS b, p / (t2 - nn) AS c FROM psum, (SELECT sum(r.u * l.u) AS x, CAST(count(*) AS DOUBLE) AS p
             FROM pd r JOIN pd l ON r.l_suppkey = l.l_suppkey AND l.t = r.t - 1))""",
     ),
     ("psum", "pd"),
