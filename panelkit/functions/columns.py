@@ -127,14 +127,18 @@ POISSON_NORMAL_ABOVE = 700.0  # exp(-lambda) gets close to underflow above
 def poisson_draw(lam: Column, u: Column) -> Column:
     """Inverse distribution function of Poisson(lam) at u, as a long."""
     top = F.ceil(lam + 12.0 * F.sqrt(lam) + 30.0).cast("int")
+    # mean and uniform ride along in the state, so they are computed once per row
     p0 = F.exp(-lam)
-    start = F.struct(F.lit(0).cast("long").alias("k"), p0.alias("p"), p0.alias("c"))
+    start = F.struct(
+        F.lit(0).cast("long").alias("k"), p0.alias("p"), p0.alias("c"), lam.alias("lam"), u.alias("u")
+    )
 
     def step(s: Column, i: Column) -> Column:
-        p = s["p"] * lam / i
-        return F.when(
-            s["c"] < u, F.struct(i.cast("long").alias("k"), p.alias("p"), (s["c"] + p).alias("c"))
-        ).otherwise(s)
+        p = s["p"] * s["lam"] / i
+        grown = F.struct(
+            i.cast("long").alias("k"), p.alias("p"), (s["c"] + p).alias("c"), s["lam"].alias("lam"), s["u"].alias("u")
+        )
+        return F.when(s["c"] < s["u"], grown).otherwise(s)
 
     exact = F.aggregate(F.sequence(F.lit(1), top), start, step, lambda s: s["k"])
     # below 1e-300 the normal quantile has no finite value

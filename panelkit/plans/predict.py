@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
@@ -43,6 +43,56 @@ def _critical_values(dfs: DataFrame, alpha: float) -> DataFrame:
     return dfs.select("df").distinct().mapInPandas(quantiles, "df bigint, t_crit double")
 
 
+def _choices(**chosen: tuple[str, tuple[str, ...]]) -> None:
+    for name, (value, allowed) in chosen.items():
+        if value not in allowed:
+            raise ValueError(f"{name} must be one of {allowed}, got {value!r}")
+
+
+def _with_statistics(df: DataFrame, fit: LinearFit, alpha: float, v_mode: str) -> DataFrame:
+    """Rows with what every kind of interval is made of.
+
+    ``_eta`` x'b + FE, ``_q`` x'Vx, ``_t`` critical value, and the entity's own
+    residual variance ``_s2`` and smearing factor ``_al``.
+    """
+    _choices(v_mode=(v_mode, ("vcov", "squared")))
+    if fit.entity not in df.columns:
+        raise ValueError(f"the input needs the entity column {fit.entity!r}")
+    r = F.col("resid")
+    per = fit.scored().groupBy(fit.entity).agg(
+        F.max("fe").alias("_fe"),  # constant in the entity
+        F.count(F.lit(1)).alias("_n"),
+        F.avg(r * r).alias("_s2"),
+        F.avg(F.exp(r)).alias("_al"),
+    )
+    per = per.withColumn("df", F.col("_n") - len(fit.xs) - 1)
+    per = per.join(_critical_values(per, alpha), "df")
+    per = per.select(fit.entity, "_fe", "_s2", "_al", F.when(F.col("df") > 0, F.col("t_crit")).alias("_t"))
+    v = fit.vcov.T @ fit.vcov if v_mode == "squared" else fit.vcov
+    out = df.join(per, fit.entity, "left")
+    return out.withColumns({"_eta": add_coef_terms(fit.slopes) + F.col("_fe"), "_q": quadratic_form(fit.xs, v)})
+
+
+def _bounds(fit: LinearFit, type: str, sigma: str, smearing: str) -> dict[str, Column]:
+    """Prediction and bounds from the columns of ``_with_statistics``."""
+    _choices(
+        type=(type, ("prediction", "forecast")),
+        sigma=(sigma, ("default", "specific")),
+        smearing=(smearing, ("default", "specific")),
+    )
+    r = F.col("resid")
+    al = F.col("_al") if smearing == "specific" else fit.scored().agg(F.avg(F.exp(r))).scalar()
+    var = F.col("_q")
+    if type == "forecast":
+        var = var + (F.col("_s2") if sigma == "specific" else fit.scored().agg(F.avg(r * r)).scalar())
+    log_pred = F.col("_eta") + F.ln(al)
+    half = F.col("_t") * F.sqrt(var)
+    return {"prediction": F.exp(log_pred), "lower": F.exp(log_pred - half), "upper": F.exp(log_pred + half)}
+
+
+_WORK = ("_fe", "_s2", "_al", "_t", "_eta", "_q")
+
+
 def interval(
     df: DataFrame,
     fit: LinearFit,
@@ -60,42 +110,8 @@ def interval(
     freedom; an entity without any gets null bounds. ``v_mode="squared"`` takes
     V'V in place of V, for parity with earlier results.
     """
-    if type not in ("prediction", "forecast"):
-        raise ValueError("type must be 'prediction' or 'forecast'")
-    for name, v in (("sigma", sigma), ("smearing", smearing)):
-        if v not in ("default", "specific"):
-            raise ValueError(f"{name} must be 'default' (all residuals) or 'specific' (own entity)")
-    if v_mode not in ("vcov", "squared"):
-        raise ValueError("v_mode must be 'vcov' or 'squared'")
-    if fit.entity not in df.columns:
-        raise ValueError(f"the input needs the entity column {fit.entity!r}")
-    k = len(fit.xs)
-    v = fit.vcov.T @ fit.vcov if v_mode == "squared" else fit.vcov
-    r = F.col("resid")
-    per = fit.scored().groupBy(fit.entity).agg(
-        F.first("fe").alias("_fe"),  # constant in the entity
-        F.count(F.lit(1)).alias("_n"),
-        F.avg(r * r).alias("_s2"),
-        F.avg(F.exp(r)).alias("_al"),
-    )
-    per = per.withColumn("df", F.col("_n") - k - 1)
-    crit = _critical_values(per, alpha)
-    per = per.join(crit, "df")
-    out = df.join(per, fit.entity, "left")
-    all_rows = fit.scored()
-    s2 = F.col("_s2") if sigma == "specific" else all_rows.agg(F.avg(r * r)).scalar()
-    al = F.col("_al") if smearing == "specific" else all_rows.agg(F.avg(F.exp(r))).scalar()
-    q = quadratic_form(fit.xs, v)
-    var = q + s2 if type == "forecast" else q
-    log_pred = add_coef_terms(fit.slopes) + F.col("_fe") + F.ln(al)
-    half = F.when(F.col("df") > 0, F.col("t_crit")) * F.sqrt(var)
-    return out.withColumns(
-        {
-            "prediction": F.exp(log_pred),
-            "lower": F.exp(log_pred - half),
-            "upper": F.exp(log_pred + half),
-        }
-    ).drop("_fe", "_n", "_s2", "_al", "df", "t_crit")
+    cols = _bounds(fit, type, sigma, smearing)
+    return _with_statistics(df, fit, alpha, v_mode).withColumns(cols).drop(*_WORK)
 
 
 def scenario_sweep(
@@ -104,15 +120,19 @@ def scenario_sweep(
     """Prediction and both interval types while ``col`` runs over n values.
 
     ``derive`` adds the columns that follow from ``col`` (its square, a flag).
+    Both intervals come from one pass over the grid. The prediction and its
+    interval use the overall smearing factor, the forecast the entity's own.
     """
     grid = scenario_grid(template, col, lo, hi, n)
     if derive is not None:
         grid = derive(grid)
-    pred = interval(grid, fit, "prediction", "specific", alpha=alpha)
-    fore = interval(grid, fit, "forecast", "specific", "specific", alpha=alpha)
-    keys = [fit.entity, col]
-    return pred.select(*keys, "prediction", "lower", "upper").join(
-        fore.select(*keys, F.col("lower").alias("lower_forecast"), F.col("upper").alias("upper_forecast")), keys
+    pred = _bounds(fit, "prediction", "specific", "default")
+    fore = _bounds(fit, "forecast", "specific", "specific")
+    return _with_statistics(grid, fit, alpha, "vcov").select(
+        fit.entity,
+        col,
+        *[c.alias(name) for name, c in pred.items()],
+        *[fore[b].alias(f"{b}_forecast") for b in ("lower", "upper")],
     )
 
 

@@ -15,7 +15,7 @@ from ..plans import impute, predict
 from ..session import ensure_checkpoint_dir
 from ..sources.panels import read_panel_csv, write_panel
 from .base import cte, pa, pa_cells, pa_days, pb, query, rounded
-from .model_sql import ITERATIONS, linear_ctes, poisson_ctes
+from .model_sql import linear_ctes, poisson_ctes
 from .modelling import coef_out, coef_sql, pap, poisson_fit, within_fit
 
 FIRST, LAST = 15, 28  # the period to impute, two weekly waves
@@ -130,7 +130,7 @@ def imputation_inputs(spark, sf):
     panel = pa(spark, sf)
     clean = impute.exclude_period(panel, "t", FIRST, LAST)
     clean = lags.gap_aware_lags(clean, "user_id", "t", "y", {"lag7": 7})
-    fit = glm.poisson_fe(clean, "y", ["rain", "lag7"], "user_id", keys=["t"], iterations=ITERATIONS, tol=0)
+    fit = glm.poisson_fe(clean, "y", ["rain", "lag7"], "user_id", keys=["t"])
     b = fit.slopes
     model = impute.CountModel({"rain": b["rain"]}, b["lag7"], fit.fixef)
     t = F.col("t")

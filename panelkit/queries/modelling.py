@@ -210,12 +210,12 @@ def _(spark, sf):
 
 
 def poisson_fit(spark, sf):
-    return glm.poisson_fe(pap(spark, sf), "y", ["xs", "rain"], "user_id", keys=["t"], iterations=ITERATIONS, tol=0)
+    return glm.poisson_fe(pap(spark, sf), "y", ["xs", "rain"], "user_id", keys=["t"])
 
 
 def poisson_two(spark, sf):
     df = pap(spark, sf).withColumn("weekend", (F.weekday("d") >= 5).cast("int"))
-    return glm.poisson_fe(df, "y", ["xs"], "user_id", "weekend", [0, 1], ["t"], ITERATIONS, 0)
+    return glm.poisson_fe(df, "y", ["xs"], "user_id", "weekend", [0, 1], ["t"])
 
 
 def _poisson_coef_sql(p: str, terms: tuple[str, str]) -> str:
