@@ -223,13 +223,14 @@ def _newton_sums(sample: DataFrame, y: str, entity: str, xc: list[Column], beta:
             h[i, j] = h[j, i] = v
         return np.array(row[:k], float), h
     # many columns: the products come from one pass over the rows with weight lambda
-    ent = _entity_sums(sample, y, entity, xc, beta, False)
+    ent = _entity_sums(sample, y, entity, xc, beta, False).persist(StorageLevel.MEMORY_AND_DISK)
     between = moments(ent, [F.col(f"sx{i}") / F.col("S") for i in range(k)], F.col("Y"))
     eta = F.lit(0.0)
     for b, c in zip(beta, xc):
         eta = eta + F.lit(float(b)) * c
     rows = sample.join(ent.select(entity, r.alias("_r")), entity)
     total = moments(rows, xc, F.col("_r") * F.exp(eta))
+    ent.unpersist()
     return total.s, total.c - between.c
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage, shuffle_partitions
+from ..session import cut_lineage
 
 _ROW_BITS = 33  # layout of monotonically_increasing_id: partition above, row below
 
@@ -20,8 +20,8 @@ def global_rank(df: DataFrame, keys: list[Column], rank: str = "rank", total: st
     recomputed split could cut elsewhere. The running total covers one row per
     partition.
     """
-    n = shuffle_partitions(df.sparkSession)
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # no fixed number of partitions: adjacent small ranges may be merged at run time
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ranged = cut_lineage(ranged.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", _ROW_BITS)
     row = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
@@ -50,13 +50,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list
     and one aggregate per group picks the values at the wanted ranks.
     """
     by = list(by)
-    n_parts = shuffle_partitions(df.sparkSession)
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    ranged = counts.repartitionByRange(n_parts, *by, "_v").withColumn("_part", F.spark_partition_id())
+    ranged = counts.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id())
     ranged = cut_lineage(ranged)
     run = Window.partitionBy("_part", *by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranged = ranged.withColumn("_cum", F.sum("_c").over(run))

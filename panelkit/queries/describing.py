@@ -244,7 +244,17 @@ def _(spark, sf):
     return describe.histogram(table(spark, sf, "events"), "value", 0.0, 360.0, 15.0)
 
 
-@query("a10_histogram_auto")  # the oracle has no automatic breaks
+@query(
+    "a10_histogram_auto",
+    """SELECT CAST(b AS INTEGER) AS bin, lo + (b - 1) * w AS "left", lo + b * w AS "right", count(v) AS n FROM (
+         SELECT lo, w, unnest(generate_series(1, CAST(round((hi - lo) / w) AS BIGINT))) AS b FROM (
+           SELECT floor(a / w) * w AS lo, ceil(z / w) * w AS hi, w FROM (
+             SELECT a, z, base * CASE WHEN raw > 7 * base THEN 10 WHEN raw > 2.8 * base THEN 5 WHEN raw > 1.4 * base THEN 2 ELSE 1 END AS w FROM (
+               SELECT a, z, raw, 10.0::DOUBLE ** floor(log10(raw)) AS base FROM (
+                 SELECT min(o_totalprice) AS a, max(o_totalprice) AS z, (max(o_totalprice) - min(o_totalprice)) / ceil(log2(count(*)) + 1) AS raw
+                 FROM orders)))))
+       LEFT JOIN (SELECT o_totalprice AS v FROM orders) ON v > lo + (b - 1) * w AND v <= lo + b * w GROUP BY ALL""",
+)
 def _(spark, sf):
     return describe.histogram_auto(table(spark, sf, "orders"), "o_totalprice")
 
@@ -303,40 +313,40 @@ def _(spark, sf):
     return rounded(out.drop("y"), "ma7", "ma20")
 
 
-def _lowess_ctes() -> None:
+def lowess_ctes(p: str, src: str, entity: str, y: str) -> None:
+    """``<p>f3`` holds the trend. Every row is an anchor, as long as no entity has more than 200 rows."""
     cte(
-        "lw0",
-        """SELECT user_id, t, CAST(y AS DOUBLE) AS y, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i,
-           count(*) OVER (PARTITION BY user_id) AS n, 1.0::DOUBLE AS rw FROM pa""",
-        ("pa",),
+        f"{p}0",
+        f"""SELECT {entity}, t, CAST({y} AS DOUBLE) AS y, row_number() OVER (PARTITION BY {entity} ORDER BY t) AS i,
+           count(*) OVER (PARTITION BY {entity}) AS n, 1.0::DOUBLE AS rw FROM {src}""",
+        (src,),
     )
-    for p in range(4):
-        # every row is an anchor as long as an entity has no more than 200 rows
+    for it in range(4):
         cte(
-            f"lwf{p}",
+            f"{p}f{it}",
             f"""SELECT *, CASE WHEN sqrt(greatest(sdd / sw - (sd / sw) ** 2, 0)) <= 0.001 * (n - 1) THEN sy / sw
                 ELSE sy / sw - (sdy - sd * sy / sw) / (sw * (sdd / sw - (sd / sw) ** 2)) * sd / sw END AS fit FROM (
-              SELECT user_id, t, i, n, y, rw, sum(w) AS sw, sum(w * u) AS sd, sum(w * u * u) AS sdd, sum(w * yj) AS sy, sum(w * u * yj) AS sdy FROM (
-                SELECT user_id, t, i, n, y, rw, yj, CAST(j - i AS DOUBLE) AS u, rwj * CASE WHEN abs(j - i) <= 0.001 * h THEN 1
+              SELECT {entity}, t, i, n, y, rw, sum(w) AS sw, sum(w * u) AS sd, sum(w * u * u) AS sdd, sum(w * yj) AS sy, sum(w * u * yj) AS sdy FROM (
+                SELECT {entity}, t, i, n, y, rw, yj, CAST(j - i AS DOUBLE) AS u, rwj * CASE WHEN abs(j - i) <= 0.001 * h THEN 1
                   WHEN abs(j - i) <= 0.999 * h THEN (1 - (abs(j - i) / h) ** 3) ** 3 ELSE 0 END AS w FROM (
-                  SELECT a.user_id, a.t, a.i, a.n, a.y, a.rw, b.i AS j, b.y AS yj, b.rw AS rwj,
+                  SELECT a.{entity}, a.t, a.i, a.n, a.y, a.rw, b.i AS j, b.y AS yj, b.rw AS rwj,
                     CAST(greatest(a.i - a.lo, a.lo + a.k - 1 - a.i) AS DOUBLE) AS h
                   FROM (SELECT *, greatest(1, least(n - k + 1, i - k // 2)) AS lo FROM
-                    (SELECT *, greatest(2, least(n, CAST(floor(n * (2.0::DOUBLE / 3) + 1e-7) AS BIGINT))) AS k FROM lw{p})) a
-                  JOIN lw{p} b USING (user_id))) WHERE w > 0 GROUP BY user_id, t, i, n, y, rw)""",
-            (f"lw{p}",),
+                    (SELECT *, greatest(2, least(n, CAST(floor(n * (2.0::DOUBLE / 3) + 1e-7) AS BIGINT))) AS k FROM {p}{it})) a
+                  JOIN {p}{it} b USING ({entity}))) WHERE w > 0 GROUP BY {entity}, t, i, n, y, rw)""",
+            (f"{p}{it}",),
         )
         cte(
-            f"lw{p + 1}",
-            f"""SELECT user_id, t, y, i, n, CASE WHEN c < 1e-7 * mr THEN rw WHEN r <= 0.001 * c THEN 1 WHEN r <= 0.999 * c
+            f"{p}{it + 1}",
+            f"""SELECT {entity}, t, y, i, n, CASE WHEN c < 1e-7 * mr THEN rw WHEN r <= 0.001 * c THEN 1 WHEN r <= 0.999 * c
                   THEN (1 - (r / c) ** 2) ** 2 ELSE 0 END AS rw FROM (
-                SELECT *, abs(y - fit) AS r, 6 * median(abs(y - fit)) OVER (PARTITION BY user_id) AS c,
-                  avg(abs(y - fit)) OVER (PARTITION BY user_id) AS mr FROM lwf{p})""",
-            (f"lwf{p}",),
+                SELECT *, abs(y - fit) AS r, 6 * median(abs(y - fit)) OVER (PARTITION BY {entity}) AS c,
+                  avg(abs(y - fit)) OVER (PARTITION BY {entity}) AS mr FROM {p}f{it})""",
+            (f"{p}f{it}",),
         )
 
 
-_lowess_ctes()
+lowess_ctes("lw", "pa", "user_id", "y")
 
 
 @query("w5_lowess", "SELECT user_id, t, round(fit, 4) + 0.0 AS trend FROM lwf3", ("lwf3",))

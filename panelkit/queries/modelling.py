@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..functions import columns as fc
 from ..functions.columns import guarded_log, one_hot
 from ..models import glm, linear, robust, spec_tests
 from ..operators import describe, joins, lags, ranking, smooth
-from .base import cte, pa, pb, query, raw, rounded
+from .base import cte, longs, pa, pb, query, raw, rounded
+from .describing import lowess_ctes
 from .model_sql import ITERATIONS, linear_ctes, poisson_ctes
 
 linear_ctes("w", "pb", "ly", "x1", "x2", "l_suppkey")
@@ -191,7 +193,7 @@ def _(spark, sf):
 
 @query("m6_within_full")
 def _(spark, sf):
-    """The full specification: quadratic, month and weekday dummies, flag and lag (24 columns)."""
+    """Quadratic term, weekday dummies, flag and weekly lag (11 columns)."""
     df = cal.add_calendar(lags.gap_aware_lags(pa(spark, sf), "user_id", "t", "y", {"lag7": 7}), "d")
     df, days = one_hot(df, "weekday", cal.WEEKDAY_LEVELS)
     df = df.withColumns(
@@ -383,7 +385,30 @@ def _(spark, sf):
     return rounded(describe.mean_by(s, ["l_suppkey", "month"], "resid", "mean_resid"), "mean_resid")
 
 
-@query("w10_qq_points")
+# The published rational approximation of the normal quantile, in SQL.
+def _normal_quantile_sql(p: str) -> str:
+    def horner(coefs, x):
+        out = f"{coefs[0]!r}::DOUBLE"
+        for c in coefs[1:]:
+            out = f"({out} * {x} + {c!r}::DOUBLE)"
+        return out
+
+    def tail(q):
+        return f"{horner(fc._ACKLAM_C, q)} / {horner(fc._ACKLAM_D, q)}"
+
+    mid = f"({p} - 0.5::DOUBLE)"
+    centre = f"{horner(fc._ACKLAM_A, f'({mid} * {mid})')} * {mid} / {horner(fc._ACKLAM_B, f'({mid} * {mid})')}"
+    low, high = tail(f"sqrt(-2 * ln({p}))"), f"-({tail(f'sqrt(-2 * ln(1 - {p}))')})"
+    return f"CASE WHEN {p} < 0.02425 THEN {low} WHEN {p} > 1 - 0.02425 THEN {high} ELSE {centre} END"
+
+
+@query(
+    "w10_qq_points",
+    f"""SELECT rank, round({_normal_quantile_sql("p")}, 6) + 0.0 AS theoretical, round(u, 6) + 0.0 AS resid FROM (
+          SELECT u, rank, (rank - 0.5::DOUBLE) / n AS p FROM (
+            SELECT u, row_number() OVER (ORDER BY u, l_suppkey, t) AS rank, count(*) OVER () AS n FROM wd))""",
+    ("wd",),
+)
 def _(spark, sf):
     s = within_fit(spark, sf).scored().select("l_suppkey", "t", "resid")
     out = smooth.qq_points(s, "resid", ["l_suppkey", "t"])
@@ -676,7 +701,11 @@ def _(spark, sf):
     return rounded(out.drop("resid"), "ma7", "ma30")
 
 
-@query("t17_residual_lowess")
+lowess_ctes("tl", "wd", "l_suppkey", "u")
+
+
+@query("t17_residual_lowess", "SELECT l_suppkey, t, i AS pos, round(y, 5) + 0.0 AS y, round(fit, 5) + 0.0 AS trend FROM tlf3", ("tlf3",))
 def _(spark, sf):
     s = within_fit(spark, sf).scored().select("l_suppkey", "t", "resid")
-    return rounded(smooth.lowess(s, "l_suppkey", "t", "resid"), "y", "trend", digits=5)
+    out = longs(smooth.lowess(s, "l_suppkey", "t", "resid"), "pos")
+    return rounded(out, "y", "trend", digits=5)
