@@ -125,7 +125,11 @@ POISSON_NORMAL_ABOVE = 700.0  # exp(-lambda) gets close to underflow above
 
 
 def poisson_draw(lam: Column, u: Column) -> Column:
-    """Inverse distribution function of Poisson(lam) at u, as a long."""
+    """Poisson(lam) count made from the uniform u, as a long.
+
+    The inverse distribution function at u up to a mean of 700; a rounded normal
+    deviate above.
+    """
     top = F.ceil(lam + 12.0 * F.sqrt(lam) + 30.0).cast("int")
     # mean and uniform ride along in the state, so they are computed once per row
     p0 = F.exp(-lam)
@@ -141,8 +145,10 @@ def poisson_draw(lam: Column, u: Column) -> Column:
         return F.when(s["c"] < s["u"], grown).otherwise(s)
 
     exact = F.aggregate(F.sequence(F.lit(1), top), start, step, lambda s: s["k"])
-    # below 1e-300 the normal quantile has no finite value
-    z = normal_quantile(F.greatest(u, F.lit(1e-300)))
+    # two uniforms of 26 bits each make one normal deviate (Box and Muller 1958)
+    bits = u * float(1 << 26)
+    u1 = (F.floor(bits) + 0.5) / float(1 << 26)
+    z = F.sqrt(-2.0 * F.ln(u1)) * F.cos(2.0 * math.pi * (bits - F.floor(bits)))
     approx = F.greatest(F.lit(0.0), F.bround(lam + F.sqrt(lam) * z, 0)).cast("long")
     return F.when(lam.isNull() | u.isNull(), F.lit(None).cast("long")).when(
         lam <= POISSON_NORMAL_ABOVE, exact

@@ -144,16 +144,23 @@ class PoissonFit:
 
 def _entity_sums(sample: DataFrame, y: str, entity: str, xc: list[Column], beta: np.ndarray, squares: bool) -> DataFrame:
     """Y, S = sum e, sum x e (and sum x x' e) per entity, with e = exp(x'b)."""
-    eta = F.lit(0.0)
-    for b, c in zip(beta, xc):
-        eta = eta + F.lit(float(b)) * c
-    e = F.exp(eta)
+    # columns first: the exponential is computed once per row, not once per sum
+    names = [f"_x{i}" for i in range(len(xc))]
+    rows = sample.select(entity, F.col(y).alias("_y"), _exp_index(xc, beta).alias("_e"), *[c.alias(n) for n, c in zip(names, xc)])
+    e, y, xc = F.col("_e"), "_y", [F.col(n) for n in names]
     aggs = [F.sum(y).alias("Y"), F.sum(e).alias("S"), F.count(F.lit(1)).alias("n_i")]
     aggs += [F.sum(e * c).alias(f"sx{i}") for i, c in enumerate(xc)]
     if squares:
         k = len(xc)
         aggs += [F.sum(e * xc[i] * xc[j]).alias(f"sxx{i}_{j}") for i in range(k) for j in range(i, k)]
-    return sample.groupBy(entity).agg(*aggs)
+    return rows.groupBy(entity).agg(*aggs)
+
+
+def _exp_index(xc: list[Column], beta: np.ndarray) -> Column:
+    eta = F.lit(0.0)
+    for b, c in zip(beta, xc):
+        eta = eta + F.lit(float(b)) * c
+    return F.exp(eta)
 
 
 def poisson_fe(
@@ -225,11 +232,8 @@ def _newton_sums(sample: DataFrame, y: str, entity: str, xc: list[Column], beta:
     # many columns: the products come from one pass over the rows with weight lambda
     ent = _entity_sums(sample, y, entity, xc, beta, False).persist(StorageLevel.MEMORY_AND_DISK)
     between = moments(ent, [F.col(f"sx{i}") / F.col("S") for i in range(k)], F.col("Y"))
-    eta = F.lit(0.0)
-    for b, c in zip(beta, xc):
-        eta = eta + F.lit(float(b)) * c
     rows = sample.join(ent.select(entity, r.alias("_r")), entity)
-    total = moments(rows, xc, F.col("_r") * F.exp(eta))
+    total = moments(rows, xc, F.col("_r") * _exp_index(xc, beta))
     ent.unpersist()
     return total.s, total.c - between.c
 

@@ -45,10 +45,13 @@ def _to_moments(values: list[float], k: int) -> Moments:
 def moments(df: DataFrame, cols: list[Column], weight: Column | None = None) -> Moments:
     """One pass over the rows; only the (k+1)(k+2)/2 sums reach the driver."""
     k = len(cols)
+    # each expression becomes a column first, so it is computed once per row
+    names = [f"_x{i}" for i in range(k)]
+    rows = df.select((weight if weight is not None else F.lit(1.0)).alias("_w"), *[c.alias(n) for n, c in zip(names, cols)])
     if k <= MAX_SQL_COLUMNS:
-        return _to_moments(list(df.agg(*[c.alias(n) for n, c in cross_sums(cols, weight).items()]).first()), k)
-    w = F.sqrt(weight) if weight is not None else F.lit(1.0)
-    rows = df.select(w.alias("_w"), *[(w * c).alias(f"_x{i}") for i, c in enumerate(cols)])
+        w = F.col("_w") if weight is not None else None
+        sums = cross_sums([F.col(n) for n in names], w)
+        return _to_moments(list(rows.agg(*[c.alias(n) for n, c in sums.items()]).first()), k)
     upper = np.triu_indices(k + 1)
 
     def partial(batches: Iterator) -> Iterator:
@@ -57,7 +60,9 @@ def moments(df: DataFrame, cols: list[Column], weight: Column | None = None) ->
         total = np.zeros((k + 1, k + 1))
         for b in batches:
             a = b.to_numpy(dtype=float)
-            total += a.T @ a
+            w = a[:, 0].copy()
+            a[:, 0] = 1.0
+            total += a.T @ (a * w[:, None])
         yield pd.DataFrame({"i": np.arange(len(upper[0])), "v": total[upper]})
 
     sums = rows.mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))

@@ -98,18 +98,26 @@ def impute_period(
     def drawn(lam: Column, s: int, kind: str) -> Column:
         if draw == "expected":
             return lam
-        day = F.lit(start + s * period) + F.col("_o")
-        return poisson_draw(lam, hash_uniform(F.col(entity), day, F.lit(seed), F.lit(kind))).cast("double")
+        return poisson_draw(lam, F.col(f"_u_{kind}{s}")).cast("double")
+
+    if draw == "poisson":
+        uniforms = {}
+        for s in range(3, n_steps):
+            day = F.lit(start + s * period) + F.col("_o")
+            for kind in ("back2", "back1", "day"):
+                uniforms[f"_u_{kind}{s}"] = hash_uniform(F.col(entity), day, F.lit(seed), F.lit(kind))
+        out = out.withColumns(uniforms)
 
     for s in range(3, n_steps):
         w = s - 3
         # counts one, two and three weeks back
         c1, c2, c3 = F.col(f"_y{s - 1}"), F.col(f"_y{s - 2}"), F.col(f"_y{s - 3}")
         past = lambda i: f"_p{i}" if i < 3 else f"_e{i}"
-        out = out.withColumn(f"_m2_{w}", F.when(c1.isNull() & c2.isNull(), mean(past(s - 2), c3)))
-        out = out.withColumn(f"_f2_{w}", F.coalesce(c2, drawn(F.col(f"_m2_{w}"), s, "back2")))
-        out = out.withColumn(f"_m1_{w}", F.when(c1.isNull(), mean(past(s - 1), F.col(f"_f2_{w}"))))
-        out = out.withColumn(f"_f1_{w}", F.coalesce(c1, drawn(F.col(f"_m1_{w}"), s, "back1")))
+        # null unless needed: the draw of a null mean is null
+        m2 = F.when(c1.isNull() & c2.isNull(), mean(past(s - 2), c3))
+        out = out.withColumn(f"_f2_{w}", F.coalesce(c2, drawn(m2, s, "back2")))
+        m1 = F.when(c1.isNull(), mean(past(s - 1), F.col(f"_f2_{w}")))
+        out = out.withColumn(f"_f1_{w}", F.coalesce(c1, drawn(m1, s, "back1")))
         out = out.withColumn(f"_lam{s}", F.when(F.col(f"_has{s}"), mean(f"_e{s}", F.col(f"_f1_{w}"))))
         out = out.withColumn(f"_y{s}", drawn(F.col(f"_lam{s}"), s, "day"))
 
