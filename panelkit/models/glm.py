@@ -144,10 +144,11 @@ class PoissonFit:
 
 def _entity_sums(sample: DataFrame, y: str, entity: str, xc: list[Column], beta: np.ndarray, squares: bool) -> DataFrame:
     """Y, S = sum e, sum x e (and sum x x' e) per entity, with e = exp(x'b)."""
-    # columns first: the exponential is computed once per row, not once per sum
-    names = [f"_x{i}" for i in range(len(xc))]
-    rows = sample.select(entity, F.col(y).alias("_y"), _exp_index(xc, beta).alias("_e"), *[c.alias(n) for n, c in zip(names, xc)])
-    e, y, xc = F.col("_e"), "_y", [F.col(n) for n in names]
+    # The exponential is a column, computed once per row. The shifted covariates stay
+    # expressions: as aliases beside it they make Spark's constraint inference
+    # try every subset of replacements (2^k).
+    rows = sample.withColumn("_e", _exp_index(xc, beta))
+    e = F.col("_e")
     aggs = [F.sum(y).alias("Y"), F.sum(e).alias("S"), F.count(F.lit(1)).alias("n_i")]
     aggs += [F.sum(e * c).alias(f"sx{i}") for i, c in enumerate(xc)]
     if squares:
