@@ -12,7 +12,7 @@ from ..functions.columns import guarded_log, hash_uniform, poisson_draw
 from ..models import glm, linear
 from ..operators import joins, lags, ranking, smooth
 from ..plans import impute, predict
-from ..session import ensure_checkpoint_dir
+from ..session import delete_on_exit, scratch_root
 from ..sources.panels import read_panel_csv, write_panel
 from .base import cte, pa, pa_cells, pa_days, pb, query, rounded
 from .model_sql import linear_ctes, poisson_ctes
@@ -29,9 +29,9 @@ CELL_SCHEMA = T.StructType(
 
 def _round_trip(spark, df, schema, **kw):
     """Write CSV to a new folder in the shared scratch area and read it back."""
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/panel-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/panel-{uuid.uuid4().hex}"
     write_panel(df, path, "csv", **kw)
+    delete_on_exit(spark, path)
     return read_panel_csv(spark, path, schema)
 
 
@@ -43,10 +43,10 @@ def _(spark, sf):
 
 @query("s3_write_panel", "SELECT user_id, d, y FROM cells", ("cells",))
 def _(spark, sf):
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/panel-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/panel-{uuid.uuid4().hex}"
     df = pa_cells(spark, sf).select("user_id", "d", "y")
     write_panel(df.withColumn("week", F.weekofyear("d")), path, "parquet", partition_by=["week"])
+    delete_on_exit(spark, path)
     return spark.read.parquet(path).drop("week")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,23 +28,39 @@ def get_spark(master: str | None = None, app: str = "panelkit", **conf: str) ->
     return b.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only for local runs."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
+_local_roots: dict[str, str] = {}
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir; a local session without one gets its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        path = tempfile.mkdtemp(prefix="panelkit-ckpt-")
-    sc.setCheckpointDir(path)
+    if path:
+        return path
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    if sc.applicationId not in _local_roots:
+        _local_roots[sc.applicationId] = tempfile.mkdtemp(prefix="panelkit-")
+    return _local_roots[sc.applicationId]
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder when the driver ends."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jpath)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives executor loss and a re-run."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows once, as Parquet in the shared folder, and read them back.
+
+    The result survives executor loss and does not change when a stage is run
+    again. The files go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_root(spark).rstrip('/')}/panelkit-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    delete_on_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
