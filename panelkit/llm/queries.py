@@ -36,8 +36,8 @@ def query(key: str, sql: str | None = None):
 
 OP1_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), x -> x <> '') AS w,
-  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^ \\t-\\r]')) AS l FROM d),
+w AS (SELECT doc_id, text, [x FOR x IN regexp_split_to_array(text, '[ \\t-\\r]+') IF x <> ''] AS w,
+  [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^ \\t-\\r]')] AS l FROM d),
 starts AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM
   (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 twice AS (SELECT doc_id, i FROM starts JOIN (SELECT doc_id, g FROM starts GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)),
@@ -117,10 +117,10 @@ fp AS (SELECT doc_id, k, list(coalesce(part, '-') ORDER BY s) AS f FROM (SELECT
 f AS (SELECT doc_id, max(f) FILTER (k = 0) AS a, max(f) FILTER (k = 1) AS b, max(f) FILTER (k = 2) AS c FROM fp GROUP BY 1)
 SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '.') AS fingerprint,
   array_to_string(b, '.') AS edited_fingerprint,
-  CASE WHEN a = b THEN 1.0::DOUBLE ELSE len(list_filter(list_zip(a, b), p -> p[1] = p[2] AND p[1] <> '-')) /
-    greatest(len(list_filter(list_zip(a, b), p -> p[1] <> '-' OR p[2] <> '-')), 1) END AS near_edited,
-  CASE WHEN a = c THEN 1.0::DOUBLE ELSE len(list_filter(list_zip(a, c), p -> p[1] = p[2] AND p[1] <> '-')) /
-    greatest(len(list_filter(list_zip(a, c), p -> p[1] <> '-' OR p[2] <> '-')), 1) END AS near_next
+  CASE WHEN a = b THEN 1.0::DOUBLE ELSE len([p FOR p IN list_zip(a, b) IF p[1] = p[2] AND p[1] <> '-']) /
+    greatest(len([p FOR p IN list_zip(a, b) IF p[1] <> '-' OR p[2] <> '-']), 1) END AS near_edited,
+  CASE WHEN a = c THEN 1.0::DOUBLE ELSE len([p FOR p IN list_zip(a, c) IF p[1] = p[2] AND p[1] <> '-']) /
+    greatest(len([p FOR p IN list_zip(a, c) IF p[1] <> '-' OR p[2] <> '-']), 1) END AS near_next
 FROM e JOIN f USING (doc_id)"""
 
 
