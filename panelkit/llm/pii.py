@@ -18,6 +18,8 @@ column named ``pii_kinds`` is replaced, all other columns pass through.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -263,12 +265,16 @@ MAKERS = {
 }
 
 
+def _named(kind: str, new: Column) -> Column:
+    return F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("new")))
+
+
 def _found(m: Column, key: str) -> Column:
     """Kind and pseudonym of a match; both null where no kind's check is passed."""
     tries = []
     for kind, pattern in PATTERNS:
-        new = _let(MAKERS[kind](m, key), lambda x, kind=kind: F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), x.alias("new"))))
-        tries.append(F.when(m.rlike(f"^(?:{pattern})$"), new))
+        named = partial(_named, kind)
+        tries.append(F.when(m.rlike(f"^(?:{pattern})$"), _let(MAKERS[kind](m, key), lambda x: named(x))))  # noqa: B023, PLW0108
     return F.coalesce(*tries)
 
 
