@@ -2,22 +2,23 @@
 
 Equal sets are one class first. The classes then descend independent trees: at
 the root a class goes to the node of its minwise token, and in every node that
-is too large it goes on to ``FAN`` children, chosen by further minwise tokens.
-A small node compares all its members. A large one compares its members with its
-smallest, and descends unless that already links all of them. Every link is
-confirmed on the full shingle sets. Nodes first link members to their smallest;
-only pairs that this leaves in different components are compared after that.
+is too large for one task it goes on to ``FAN`` children, chosen by further
+minwise tokens. A node that is small enough compares all its members in memory
+by their minwise tokens. What that leaves possible is confirmed on the full
+shingle sets: as pairs where they are few, else by comparing the sets of the
+node's members in one task, which returns no more links than it has members.
+Nodes still too large at the last level are compared in blocks, so no case is
+dropped and no task holds more than two blocks.
 
 With similarity s, a pair shares a root token with probability s and stays in
 one of two children with 1 - (1 - s)^2; ``TREES`` independent trees put the
-chance to miss a pair of 0.85 at about 1e-5. Nodes still large at the last
-level compare everything that is not yet in one component, so no case is
-dropped; sharing that many tokens, their members are nearly equal.
+chance to miss a pair of 0.85 at about 1e-5. A pair of 0.85 that agrees in fewer
+than ``AGREE`` of its tokens, and is passed over for it, has probability 1e-8.
 
 Defined cases: texts without a word have an empty set, link with nothing and
 are kept; texts shorter than a shingle are one shingle; rows that repeat a
-doc_id belong to one component, whatever their texts, and each is returned; a null doc_id has a null
-component, links with nothing and is kept.
+doc_id belong to one component, whatever their texts, and each is returned; a
+null doc_id has a null component, links with nothing and is kept.
 """
 
 from __future__ import annotations
@@ -35,11 +36,14 @@ from .common import id_text
 
 WORDS = 5
 PERCENT = 85
-TREES = 8
-LEVELS = 4
+TREES = 6
+LEVELS = 5
 FAN = 2
-SMALL = 24  # members that a node compares exhaustively
-TOKENS = TREES * (1 + FAN * (LEVELS - 1))
+STEM = 1 + FAN * (LEVELS - 1)  # tokens of one tree
+TOKENS = TREES * STEM
+AGREE = 29
+SMALL, WEIGHT = 2048, 4_000_000  # members and shingles of a node that one task compares
+FEW = 4  # possible pairs per member up to which they are listed as pairs
 KNOWN_WORDS = 200_000  # word hashes a worker remembers
 
 
@@ -78,12 +82,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def minwise(s: np.ndarray) -> np.ndarray:
     """For each of ``TOKENS`` orders of all shingles, the first of the set."""
-    seeds = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    k = np.arange(1, TOKENS + 1, dtype=np.uint64)
+    seeds, odd = mixed(k * np.uint64(0xD1B54A32D192ED03))[:, None], mixed(k * np.uint64(0x8CB92BA72F3D8DD7))[:, None] | np.uint64(1)
     out = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
     for part in range(0, len(s), 4096):  # bounded memory for long texts
-        block = (s[None, part : part + 4096] ^ seeds[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-        block = (block ^ (block >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        out = np.minimum(out, (block ^ (block >> np.uint64(29))).min(1))
+        out = np.minimum(out, ((s[None, part : part + 4096] ^ seeds) * odd).min(1))
     return out
 
 
@@ -153,54 +156,145 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(linked("ta", "tb")).select("a", "b")
 
 
-def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that sizes allow, and whose minwise tokens agree in a third at least.
-
-    A pair of 0.85 agrees in fewer than a third of 56 tokens with probability below 1e-15.
-    """
-    a, b = (sets.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("tokens").alias(f"t{k}")) for k in "ab")
-    rows = pairs.join(a, "a").join(b, "b")
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    agree = F.size(F.filter(F.arrays_zip("ta", "tb"), lambda x: x["ta"] == x["tb"]))
-    return rows.filter((100 * small >= PERCENT * large) & (3 * agree >= TOKENS)).select("a", "b").distinct()
-
-
 def descend(sets: DataFrame) -> DataFrame:
-    """Members of nodes with two or more: (node, doc_id, hub, n, level). Hub: the smallest member.
+    """Members of the nodes to compare, with two or more members each: (node, doc_id, n_shingles).
 
-    A level holds the children of the last one's large nodes; small nodes end there.
+    A level holds the children of the last one's large nodes. At the last level
+    a large node becomes one node per pair of its blocks.
     """
-    token = lambda t, k: F.get("tokens", F.lit(t * (1 + FAN * (LEVELS - 1)) + k))
-    roots = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), token(t, 0)).alias("node")) for t in range(TREES)])
-    members = sets.select("doc_id", "n_shingles", "tokens", F.explode(roots).alias("x")).select("doc_id", "tokens", "x.t", "x.node")
+    token = lambda t, k: F.get("tokens", t * STEM + k)
+    roots = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), token(F.lit(t), 0)).alias("node")) for t in range(TREES)])
+    members = sets.select("doc_id", "n_shingles", F.explode(roots).alias("x")).select("doc_id", "n_shingles", "x.t", "x.node")
     out = None
     for level in range(LEVELS):
-        sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).filter("n > 1")
-        nodes = cut_lineage(members.join(sizes, "node").withColumn("level", F.lit(level)))
-        part = nodes.select("node", "doc_id", "hub", "n", "level")
+        sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).filter("n > 1")
+        nodes = cut_lineage(members.join(sizes, "node"))
+        large = (F.col("n") > SMALL) | ((F.col("weight") > WEIGHT) & (F.col("n") > 2))
+        part = nodes.filter(~large).select("node", "doc_id", "n_shingles")
         out = part if out is None else out.union(part)
-        large = nodes.filter(F.col("n") > SMALL)
-        if level == LEVELS - 1 or not large.limit(1).count():
+        rest = nodes.filter(large)
+        if not rest.limit(1).count():
             return out
-        at = F.col("t") * (1 + FAN * (LEVELS - 1)) + 1 + FAN * level
-        children = F.array(*[F.xxhash64("node", F.lit(f), F.get("tokens", at + f)) for f in range(FAN)])
-        members = large.select("doc_id", "tokens", "t", F.explode(children).alias("node"))
-    return out
+        if level < LEVELS - 1:
+            rest = rest.join(sets.select("doc_id", "n_shingles", "tokens"), ["doc_id", "n_shingles"])
+            children = F.array(*[F.xxhash64("node", F.lit(f), token(F.col("t"), 1 + FAN * level + f)) for f in range(FAN)])
+            members = rest.select("doc_id", "n_shingles", "t", F.explode(children).alias("node"))
+            members = members.dropDuplicates(["node", "doc_id", "n_shingles"])
+    blocks = F.ceil(F.greatest(F.col("n") * 2 / SMALL, F.col("weight") * 2 / WEIGHT)).cast("int")
+    rest = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    return out.union(rest.select(pair.alias("node"), "doc_id", "n_shingles"))
+
+
+def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole nodes from rows that come sorted by node."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        cuts = (pdf["node"].to_numpy()[1:] != pdf["node"].to_numpy()[:-1]).nonzero()[0] + 1
+        parts = [pdf.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, len(pdf)], strict=True)] if len(pdf) else []
+        for part in parts:
+            if held and held[-1]["node"].iloc[0] != part["node"].iloc[0]:
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held)
+
+
+def possible(members: DataFrame) -> DataFrame:
+    """(a, b, node): pairs that sizes and tokens allow; with b null, a member of a node where such pairs are many."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
+        for g in grouped(batches):
+            ids, n = g["doc_id"].to_numpy(), g["n_shingles"].to_numpy()
+            tokens = np.stack(g["tokens"].to_list())
+            agree = np.zeros((len(g), len(g)), np.uint8)
+            for t in range(TOKENS):
+                agree += tokens[:, None, t] == tokens[None, :, t]
+            fits = (agree >= AGREE) & (100 * np.minimum.outer(n, n) >= PERCENT * np.maximum.outer(n, n)) & (ids[:, None] < ids[None, :])
+            a, b = fits.nonzero()
+            if len(a) <= FEW * len(g):
+                rows = pd.DataFrame({"a": ids[a], "b": ids[b]}).assign(node=0)
+            else:
+                some = np.union1d(a, b)
+                rows = pd.DataFrame({"a": ids[some], "b": None, "node": g["node"].iloc[0]})
+            if len(rows):
+                out.append(rows.astype({"b": "Int64"}))
+                size += len(rows)
+            if size > 50_000:
+                yield pd.concat(out)
+                out, size = [], 0
+        if out:
+            yield pd.concat(out)
+
+    rows = members.repartition("node").sortWithinPartitions("node")
+    return rows.mapInPandas(look, "a long, b long, node long")
+
+
+def spanning(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that tie together the members of each component; all pairs are compared, block by block."""
+    size = np.array([len(s) for s in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(at) > 1  # a shingle of one member only is in no intersection
+    column = np.cumsum(shared) - 1
+    rows = np.repeat(np.arange(len(sets)), size)[shared[at]]
+    cols = column[at[shared[at]]]
+    width, root, links = int(shared.sum()), list(range(len(ids))), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    step = 512
+    for i in range(0, len(ids), step):
+        for j in range(0, i + 1, step):
+            both = np.zeros((min(step, len(ids) - i), min(step, len(ids) - j)), np.float32)
+            for c in range(0, width, 8192):
+                part = []
+                for k in (i, j):
+                    m = np.zeros((min(step, len(ids) - k), min(8192, width - c)), np.float32)
+                    use = (rows >= k) & (rows < k + step) & (cols >= c) & (cols < c + 8192)
+                    m[rows[use] - k, cols[use] - c] = 1
+                    part.append(m)
+                both += part[0] @ part[1].T
+            total = size[i : i + step, None] + size[None, j : j + step] - both
+            for a, b in zip(*(100 * both >= PERCENT * total).nonzero(), strict=True):
+                x, y = find(i + a), find(j + b)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((ids[i + a], ids[j + b]))
+    return links
+
+
+def dense(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among the members (a, node) of nodes with many possible pairs, by their full sets."""
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Shingler()
+        for pdf in batches:
+            yield pd.DataFrame({"a": pdf["doc_id"], "shingles": [of(t).view(np.int64) for t in pdf["text"]]})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in grouped(batches):
+            yield pd.DataFrame(spanning(g["a"].to_numpy(), g["shingles"].to_list()), columns=["a", "b"])
+
+    used = texts.join(members.select("a").distinct(), F.col("doc_id") == F.col("a"), "left_semi")
+    sets = used.select("doc_id", "text").mapInPandas(shingled, "a long, shingles array<long>")
+    rows = members.join(sets, "a").repartition("node").sortWithinPartitions("node")
+    return rows.select("node", "a", "shingles").mapInPandas(compare, "a long, b long")
 
 
 def links(sets: DataFrame, texts: DataFrame, ties: DataFrame) -> DataFrame:
     """(id, root) of all classes that are linked with another; ``ties`` (a, b) are links that need no test."""
-    nodes = descend(sets)
-    stars = nodes.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = cut_lineage(confirmed(_plausible(stars, sets), texts).union(ties))
-    roots = components(first)
-    last = (F.col("n") <= SMALL) | (F.col("level") == LEVELS - 1)
-    members = nodes.filter(last).join(roots, nodes.doc_id == roots.id, "left")
-    members = members.select("node", "hub", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    a, b = (members.select("node", F.col("hub").alias(f"h{k}"), F.col("doc_id").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
-    rest = a.join(b, "node").filter("a < b and ra <> rb and a <> ha and b <> hb").select("a", "b").distinct()
-    second = confirmed(_plausible(rest, sets), texts)
-    return components(cut_lineage(first.union(second)))
+    members = descend(sets).join(sets, ["doc_id", "n_shingles"])
+    found = cut_lineage(possible(members))
+    pairs = found.filter("b is not null").select("a", "b").distinct()
+    many = found.filter("b is null").select("a", "node").distinct()
+    return components(cut_lineage(confirmed(pairs, texts).union(dense(many, texts)).union(ties)))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
