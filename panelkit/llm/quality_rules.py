@@ -85,13 +85,18 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.withColumn("n_repeat_words", F.coalesce(F.when(p.isNotNull(), covered), F.lit(0)).cast("long")).drop("p")
 
 
-def order_rules(measured: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejections per second on at most ``sample_rows`` rows, each counted on what those before it keep.
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About ``rows`` rows from all over the table, for the estimates of ``order_rules`` only."""
+    n = docs.count()
+    return docs.sample(rows / n, seed=1) if n > rows else docs
 
-    The sample is a bounded extract for the estimate; the cascade itself runs
-    over every row. Equal ratios keep the given order.
+
+def order_rules(measured: DataFrame, rules: list[Rule] = RULES) -> list[Rule]:
+    """Rules by rejections per second on a measured sample, each counted on what those before it keep.
+
+    The cascade itself runs over every row. Equal ratios keep the given order.
     """
-    sample = measured.limit(sample_rows).persist()
+    sample = measured.persist()
     try:
         sample.count()
         cost = {}
@@ -123,5 +128,5 @@ def cascade(measured: DataFrame, order: list[Rule], first: Rule = BASE) -> DataF
 
 def judge(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measure, order by sample, and apply the cascade to every row."""
-    measured = measure(docs, id_col, text_col)
-    return cascade(measured, order_rules(measured, rules))
+    order = order_rules(measure(sampled(docs), id_col, text_col), rules)
+    return cascade(measure(docs, id_col, text_col), order)
