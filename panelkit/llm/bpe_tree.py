@@ -35,7 +35,7 @@ from .common import id_text
 
 LEAF_CHARS = 8192
 LEAF_BYTES = 64
-KNOWN = 150_000  # segments a worker remembers
+KNOWN = 300_000  # short blocks a worker remembers
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -73,21 +73,36 @@ class Pieces:
 
 
 class Known(dict):
-    """What a segment between single spaces comes to: number of ids, ids as text, decoded bytes."""
+    """What a block comes to: number of ids, ids as decimal text, decoded bytes.
+
+    Keys are segments between single spaces; a block is its segment behind a space.
+    """
 
     def __init__(self, encode: Callable[[str], list[int]], bytes_of: dict[int, bytes]) -> None:
         self.encode, self.bytes_of = encode, bytes_of
+        self.text_of = {k: f"{k}," for k in bytes_of}
 
-    def __missing__(self, block: str) -> tuple[int, str, bytes]:
+    def made(self, block: str) -> tuple[int, str, bytes]:
         ids = self.encode(block)
-        out = (len(ids), "".join(f"{k}," for k in ids), join_tree([self.bytes_of[k] for k in ids], b""))
-        if len(block) <= 64:
+        if len(ids) > 64:
+            return len(ids), "".join([self.text_of[k] for k in ids]), join_tree([self.bytes_of[k] for k in ids], b"")
+        return len(ids), "".join([self.text_of[k] for k in ids]), b"".join([self.bytes_of[k] for k in ids])
+
+    def __missing__(self, segment: str) -> tuple[int, str, bytes]:
+        if not segment or segment[0].isspace() or segment[-1].isspace():
+            raise Uneven
+        out = self.made(" " + segment)
+        if len(segment) <= 64:
             if len(self) >= KNOWN:
                 self.clear()
-            self[block] = out
+            self[segment] = out
         return out
 
 
+class Uneven(Exception):
+    """A segment that does not lie between two safe cuts."""
+
+
 def join_tree(parts: list, empty):
     """Concatenation of neighbours up a tree."""
     while len(parts) > 1:
@@ -144,7 +159,16 @@ class Texts:
         if not text:
             return 0, "", b""
         known = self.known
-        found = [known[b] for b in self.element(text)]
+        try:
+            if len(text) > self.leaf:
+                raise Uneven
+            first, *rest = text.split(" ")  # a leaf in which every single space is a safe cut
+            found = [known[s] for s in rest]
+            if first and first[-1].isspace():
+                raise Uneven
+            found.insert(0, known.made(first))
+        except Uneven:
+            found = [known[b[1:]] if b[:1] == " " and not b[1:2].isspace() and b[1:] else known.made(b) for b in self.element(text)]
         return sum(x[0] for x in found), "".join([x[1] for x in found])[:-1], b"".join([x[2] for x in found])
 
     def ids(self, text: str) -> list[int]:
