@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
+from sys import byteorder
 
 import numpy as np
 import pandas as pd
@@ -71,15 +73,18 @@ class Segments(dict):
     """Ids of `` segment`` for segments between single spaces; they meet no neighbour in any merge."""
 
     def __init__(self, encode, kind: str) -> None:
-        self.encode, self.kind = encode, kind
+        self.encode, self.code = encode, {"<u2": "H", "<u4": "I"}[kind]
 
     def __missing__(self, segment: str) -> bytes:
         if not segment or segment[0].isspace() or segment[-1].isspace() or not PLAIN.fullmatch(segment):
             raise Uneven
         if len(self) >= KNOWN:
             self.clear()
-        ids = self[segment] = np.array(self.encode(" " + segment), self.kind).tobytes()
-        return ids
+        ids = array(self.code, self.encode(" " + segment))
+        if byteorder == "big":
+            ids.byteswap()
+        out = self[segment] = ids.tobytes()
+        return out
 
 
 class Encoder:
