@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import ascii_lower
 
 #: (host, path, verdict)
@@ -147,8 +148,8 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     rule, verdict = longest_rule(rules)
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
-    split = segmented_hosts(rows, unigrams(pages.select(F.col(html_col).cast("string").alias("html"))))
-    rows = rows.join(split, "host", "left")
+    counts = cut_lineage(unigrams(pages.select(F.col(html_col).cast("string").alias("html"))))
+    rows = rows.join(cut_lineage(segmented_hosts(rows, counts)), "host", "left")
     model = learn_bayes(rows.filter("verdict is not null").select("words", "path", "verdict"))
 
     @F.pandas_udf("string")
