@@ -18,7 +18,7 @@ from panelkit.llm.queries import PII_KEY
 from panelkit.session import cut_lineage
 
 MIN_QUALITY = 0.3
-MIN_SHARE = 0.5  # of the main language
+MIN_SHARE = 0.4  # of the main language; below it a text is a mixture of many
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,6 +88,11 @@ class Known(dict):
             return len(ids), "".join([self.text_of[k] for k in ids]), join_tree([self.bytes_of[k] for k in ids], b"")
         return len(ids), "".join([self.text_of[k] for k in ids]), b"".join([self.bytes_of[k] for k in ids])
 
+    def of(self, block: str) -> tuple[int, str, bytes]:
+        inner = block[1:]
+        even = block[:1] == " " and inner and not inner[0].isspace() and not inner[-1].isspace()
+        return self[inner] if even else self.made(block)
+
     def __missing__(self, segment: str) -> tuple[int, str, bytes]:
         if not segment or segment[0].isspace() or segment[-1].isspace():
             raise Uneven
@@ -168,7 +173,7 @@ class Texts:
                 raise Uneven
             found.insert(0, known.made(first))
         except Uneven:
-            found = [known[b[1:]] if b[:1] == " " and not b[1:2].isspace() and b[1:] else known.made(b) for b in self.element(text)]
+            found = [known.of(b) for b in self.element(text)]
         return sum(x[0] for x in found), "".join([x[1] for x in found])[:-1], b"".join([x[2] for x in found])
 
     def ids(self, text: str) -> list[int]:
