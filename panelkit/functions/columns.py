@@ -47,10 +47,17 @@ def cut_bins(x: Column, breaks: list[float], right: bool = False) -> Column:
 
 
 def one_hot(df: DataFrame, col: str, levels: list, base=None) -> tuple[DataFrame, list[str]]:
-    """Treatment contrasts from an explicit level list; returns the new names."""
+    """Treatment contrasts from an explicit level list; returns the new names.
+
+    A level that is not listed raises an error when the rows are read; a null
+    stays null.
+    """
     base = levels[0] if base is None else base
     names = {lv: f"{col}_{lv}" for lv in levels if lv != base}
-    return df.withColumns({n: (F.col(col) == lv).cast("double") for lv, n in names.items()}), list(names.values())
+    known = F.col(col).isNull() | F.col(col).isin(*levels)
+    unlisted = F.raise_error(F.concat(F.lit(f"{col} has a level that is not listed: "), F.col(col).cast("string"))).cast("double")
+    cols = {n: F.when(known, (F.col(col) == lv).cast("double")).otherwise(unlisted) for lv, n in names.items()}
+    return df.withColumns(cols), list(names.values())
 
 
 def add_coef_terms(terms: dict[str, float]) -> Column:
@@ -121,16 +128,18 @@ def normal_quantile(p: Column) -> Column:
     return F.when(p < _ACKLAM_TAIL, low).when(p > 1 - _ACKLAM_TAIL, high).otherwise(centre)
 
 
-POISSON_NORMAL_ABOVE = 700.0  # exp(-lambda) gets close to underflow above
+POISSON_FROM_ZERO = 700.0  # exp(-lambda) gets close to underflow above
 
 
 def poisson_draw(lam: Column, u: Column) -> Column:
-    """Poisson(lam) count made from the uniform u, as a long.
+    """Poisson(lam) count made from the uniform u, as a long; exact at any mean.
 
-    The inverse distribution function at u up to a mean of 700; a rounded normal
-    deviate above.
+    Probabilities are added up until they reach u: from zero upwards while
+    exp(-lam) is a number, else from the mode outwards, one step up and one down
+    in turn. Either order inverts u to the same distribution. Steps: lam from
+    zero, a multiple of its root from the mode.
     """
-    top = F.ceil(lam + 12.0 * F.sqrt(lam) + 30.0).cast("int")
+    reach = F.ceil(12.0 * F.sqrt(lam) + 30.0).cast("int")
     # mean and uniform ride along in the state, so they are computed once per row
     p0 = F.exp(-lam)
     start = F.struct(
@@ -144,15 +153,30 @@ def poisson_draw(lam: Column, u: Column) -> Column:
         )
         return F.when(s["c"] < s["u"], grown).otherwise(s)
 
-    exact = F.aggregate(F.sequence(F.lit(1), top), start, step, lambda s: s["k"])
-    # two uniforms of 26 bits each make one normal deviate (Box and Muller 1958)
-    bits = u * float(1 << 26)
-    u1 = (F.floor(bits) + 0.5) / float(1 << 26)
-    z = F.sqrt(-2.0 * F.ln(u1)) * F.cos(2.0 * math.pi * (bits - F.floor(bits)))
-    approx = F.greatest(F.lit(0.0), F.bround(lam + F.sqrt(lam) * z, 0)).cast("long")
-    return F.when(lam.isNull() | u.isNull(), F.lit(None).cast("long")).when(
-        lam <= POISSON_NORMAL_ABOVE, exact
-    ).otherwise(approx)
+    top = F.ceil(lam).cast("int") + reach
+    upward = F.aggregate(F.sequence(F.lit(1), top), start, step, lambda s: s["k"])
+
+    mode = F.floor(lam).cast("long")
+    pm = F.exp(mode * F.ln(lam) - lam - log_factorial(mode))
+    middle = F.struct(
+        mode.alias("k"), mode.alias("hi"), pm.alias("ph"), mode.alias("lo"), pm.alias("pl"), pm.alias("c"),
+        lam.alias("lam"), u.alias("u"),
+    )
+
+    def outward(s: Column, i: Column) -> Column:
+        up = i % 2 == 1
+        ph = F.when(up, s["ph"] * s["lam"] / (s["hi"] + 1)).otherwise(s["ph"])
+        pl = F.when(up, s["pl"]).otherwise(s["pl"] * s["lo"] / s["lam"])  # zero below zero
+        hi, lo = F.when(up, s["hi"] + 1).otherwise(s["hi"]), F.when(up, s["lo"]).otherwise(s["lo"] - 1)
+        grown = F.struct(
+            F.when(up, s["hi"] + 1).otherwise(F.greatest(s["lo"] - 1, F.lit(0).cast("long"))).alias("k"),
+            hi.alias("hi"), ph.alias("ph"), lo.alias("lo"), pl.alias("pl"),
+            (s["c"] + F.when(up, ph).otherwise(pl)).alias("c"), s["lam"].alias("lam"), s["u"].alias("u"),
+        )
+        return F.when(s["c"] < s["u"], grown).otherwise(s)
+
+    around = F.aggregate(F.sequence(F.lit(1), 2 * reach), middle, outward, lambda s: s["k"])
+    return F.when(lam.isNull() | u.isNull(), F.lit(None).cast("long")).when(lam <= POISSON_FROM_ZERO, upward).otherwise(around)
 
 
 def log_factorial(n: Column) -> Column:

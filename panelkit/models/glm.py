@@ -12,11 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import add_coef_terms, log_factorial, one_hot
+from ..operators.slices import join_spread
 from ..session import cut_lineage
 from .gram import MAX_SQL_COLUMNS, inverse_spd, moments, solve_spd
 from .linear import _keep, _shifted, _shifts, estimation_sample
 
 
+MAX_STEPS = 50
+
+
 def glm(df: DataFrame, y: str, xs: list[str], family: str) -> DataFrame:
     """Generalised linear model by iteratively reweighted least squares.
 
@@ -26,9 +30,11 @@ def glm(df: DataFrame, y: str, xs: list[str], family: str) -> DataFrame:
     rows = VectorAssembler(inputCols=xs, outputCol="features").transform(sample).select(y, "features")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     model = GeneralizedLinearRegression(
-        family=family, labelCol=y, featuresCol="features", maxIter=50, tol=1e-12
+        family=family, labelCol=y, featuresCol="features", maxIter=MAX_STEPS, tol=1e-12
     ).fit(rows)
     s = model.summary
+    if s.numIterations >= MAX_STEPS:
+        raise RuntimeError(f"no convergence within {MAX_STEPS} steps")
     # the summary lists the slopes first and the intercept last
     out = list(
         zip(
@@ -54,13 +60,15 @@ def glm_binomial(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     return glm(df.withColumn(y, F.col(y).cast("int")), y, xs, "binomial")
 
 
-def glm_poisson_by_entity(df: DataFrame, y: str, x: str, entity: str, iterations: int = 8) -> DataFrame:
+def glm_poisson_by_entity(df: DataFrame, y: str, x: str, entity: str, tol: float = 1e-10) -> DataFrame:
     """Poisson y ~ 1 + x for every entity, all entities in step.
 
     An iteration joins the current coefficients to the rows, makes five sums per
-    entity and updates both coefficients in closed form. Returns (entity, n_i,
-    b0, b1, step): ``step`` is the size of the last update; the coefficients are
-    null where x or the total of y has no variation to fit.
+    entity and updates both coefficients in closed form, until no entity moves by
+    ``tol``. Returns (entity, n_i, b0, b1, step, converged): ``step`` is the size of
+    the last update; the coefficients are null, and ``converged`` false, where x or
+    the total of y has no variation to fit. Entities that still move after
+    ``MAX_STEPS`` are not ``converged`` either.
     """
     s = estimation_sample(df, y, [x], [entity]).persist(StorageLevel.MEMORY_AND_DISK)
     X, Y = F.col(x), F.col(y)
@@ -69,8 +77,8 @@ def glm_poisson_by_entity(df: DataFrame, y: str, x: str, entity: str, iterations
         F.avg(X).alias("_mx"), F.lit(None).cast("double").alias("step"),
     )
     cur = cut_lineage(cur)
-    for _ in range(iterations):
-        rows = s.join(cur, entity)
+    for _ in range(MAX_STEPS):
+        rows = join_spread(s, cur, entity)
         xc = X - F.col("_mx")
         mu = F.exp(F.col("b0") + F.col("b1") * xc)
         r = Y - mu
@@ -90,8 +98,14 @@ def glm_poisson_by_entity(df: DataFrame, y: str, x: str, entity: str, iterations
                 F.greatest(F.abs(d0), F.abs(d1)).alias("step"),
             )
         )
+        # an exactly solvable entity may swing in the last digit of a large coefficient
+        moved = cur.filter(F.col("step") > tol * (1 + F.abs("b0") + F.abs("b1")))
+        if not moved.limit(1).count():
+            break
     s.unpersist()
-    return cur.select(entity, "n_i", (F.col("b0") - F.col("b1") * F.col("_mx")).alias("b0"), "b1", "step")
+    done = F.coalesce(F.col("step") <= 1e-8 * (1 + F.abs("b0") + F.abs("b1")), F.lit(False))
+    b0 = F.col("b0") - F.col("b1") * F.col("_mx")
+    return cur.select(entity, "n_i", b0.alias("b0"), "b1", "step", done.alias("converged"))
 
 
 @dataclass
@@ -126,14 +140,17 @@ class PoissonFit:
 
     def scored(self) -> DataFrame:
         """Sample rows of entities with a positive total: fitted mean and residual."""
-        out = self.sample.join(self.fixef.select(self.entity, "fe"), self.entity)
+        return self._with_fitted(["fe"])
+
+    def _with_fitted(self, effects: list[str]) -> DataFrame:
+        out = join_spread(self.sample, self.fixef.select(self.entity, *effects), self.entity)
         lam = F.exp(add_coef_terms(self.slopes) + F.col("fe"))
         return out.withColumn("fitted", lam).withColumn("resid", F.col(self.y) - F.col("fitted"))
 
     def scores(self) -> tuple[DataFrame, list[str]]:
         """Rows with the score contributions (x - xbar_i)(y - fitted)."""
         xb = [f"xbar_{i}" for i in range(len(self.xs))]
-        rows = self.scored().join(self.fixef.select(self.entity, *xb), self.entity)
+        rows = self._with_fitted(["fe", *xb])
         names = [f"_sc{i}" for i in range(len(self.xs))]
         cols = {n: (F.col(x) - F.col(b)) * F.col("resid") for n, x, b in zip(names, self.xs, xb)}
         return rows.withColumns(cols), names
@@ -200,6 +217,8 @@ def poisson_fe(
             break
         d = solve_spd(hess, xy - grad_model)
         beta, step, done = beta + d, float(np.max(np.abs(d))), done + 1
+    if step >= tol:
+        raise RuntimeError(f"no convergence within {iterations} steps: the last one was {step:.3g}")
     ent = _entity_sums(sample, y, entity, xc, beta, False).filter("Y > 0")
     shift = float(sum(b * means[x] for b, x in zip(beta, names)))
     fixef = ent.select(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.columns import add_coef_terms
+from ..operators.slices import join_spread
 from .gram import cross_sums, inverse_spd, moments, positive_inverse, solve_spd
 
 
@@ -67,7 +68,7 @@ class LinearFit:
         out = self.sample
         fit = add_coef_terms(self.slopes) + F.lit(self.intercept)
         if self.fixef is not None:
-            out = out.join(self.fixef.select(self.entity, "fe"), self.entity)
+            out = join_spread(out, self.fixef.select(self.entity, "fe"), self.entity)
             fit = fit + F.col("fe")
         return out.withColumn("fitted", fit).withColumn("resid", F.col(self.y) - F.col("fitted"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,11 +56,13 @@ def vcov_poisson_cluster(fit: PoissonFit, by: list[str], n_coef: int | None = No
     clusters); pass ``n_coef`` for another K.
     """
     rows, names = fit.scores()
+    rows = rows.select(*dict.fromkeys([*by, *names])).persist(StorageLevel.MEMORY_AND_DISK)  # read for each set of clusters
     bread = fit.vcov
     meat, g = score_meat(rows, names, by[:1])
     if len(by) == 2:
         m2, g2 = score_meat(rows, names, by[1:])
         m12, _ = score_meat(rows, names, by)
         meat, g = meat + m2 - m12, min(g, g2)
+    rows.unpersist()
     k = n_coef if n_coef is not None else len(fit.covariates) + 1
     return bread @ meat @ bread * (g / (g - 1)) * ((fit.n - 1) / (fit.n - k))

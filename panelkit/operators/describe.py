@@ -71,18 +71,19 @@ def correlation(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> D
 def histogram(df: DataFrame, x: str, lo: float, hi: float, width: float) -> DataFrame:
     """Counts per bin (a, b]; the first bin also holds its left end. Empty bins stay.
 
-    Values outside [lo, hi] are not counted.
+    Bin 0 counts the values below lo, the bin after the last those above hi, so
+    the counts add up to all values; their outer border is null. Nulls are in no bin.
     """
     n_bins = int(round((hi - lo) / width))
     v = F.col(x).cast("double")
-    inside = df.filter(v.between(lo, hi))
-    idx = F.greatest(F.lit(1), F.least(F.lit(n_bins), F.ceil((v - F.lit(lo)) / F.lit(width)).cast("int")))
-    counts = inside.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    bins = df.sparkSession.range(1, n_bins + 1).select(F.col("id").cast("int").alias("bin"))
-    return bins.join(F.broadcast(counts), "bin", "left").select(  # n_bins rows at most
+    inner = F.greatest(F.lit(1), F.least(F.lit(n_bins), F.ceil((v - F.lit(lo)) / F.lit(width)).cast("int")))
+    idx = F.when(v < lo, 0).when(v > hi, n_bins + 1).otherwise(inner)
+    counts = df.filter(v.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = df.sparkSession.range(0, n_bins + 2).select(F.col("id").cast("int").alias("bin"))
+    return bins.join(F.broadcast(counts), "bin", "left").select(  # n_bins + 2 rows at most
         "bin",
-        (F.lit(lo) + (F.col("bin") - 1) * F.lit(width)).alias("left"),
-        (F.lit(lo) + F.col("bin") * F.lit(width)).alias("right"),
+        F.when(F.col("bin") > 0, F.lit(lo) + (F.col("bin") - 1) * F.lit(width)).alias("left"),
+        F.when(F.col("bin") <= n_bins, F.lit(lo) + F.col("bin") * F.lit(width)).alias("right"),
         F.coalesce("n", F.lit(0).cast("long")).alias("n"),
     )
 
@@ -108,7 +109,8 @@ def sturges_breaks(lo: float, hi: float, n: int) -> tuple[float, float, float]:
 
 
 def histogram_auto(df: DataFrame, x: str) -> DataFrame:
-    """Histogram with automatic breaks; one small aggregate gives range and size."""
+    """Histogram with automatic breaks, which span all values; one small aggregate gives range and size."""
     v = F.col(x).cast("double")
     r = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).first()
-    return histogram(df, x, *sturges_breaks(r["lo"], r["hi"], r["n"]))
+    out = histogram(df, x, *sturges_breaks(r["lo"], r["hi"], r["n"]))
+    return out.filter(F.col("left").isNotNull() & F.col("right").isNotNull())

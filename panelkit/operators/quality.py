@@ -64,8 +64,17 @@ def consistency_check(df: DataFrame, by: str, cols: list[str], count_null: bool
     )
 
 
-def gap_runs(df: DataFrame, entity: str, t: str, size: int = SLICE_ROWS) -> DataFrame:
-    """Runs of missing times between two observed ones: first, last, length."""
+def gap_runs(df: DataFrame, entity: str, t: str, n_times: int | None = None, size: int = SLICE_ROWS) -> DataFrame:
+    """Runs of missing times: first, last, length.
+
+    With ``n_times``, the axis is 1..n_times and the runs before an entity's first
+    and after its last row count too, so lengths add up to all missing times;
+    without it, only runs between two rows.
+    """
+    if n_times is not None:
+        kind = dict(df.dtypes)[t]
+        ends = df.select(entity).distinct().select(entity, F.explode(F.array(F.lit(0), F.lit(n_times + 1)).cast(f"array<{kind}>")).alias(t))
+        df = df.select(entity, t).union(ends)
     prev = lag_by_position(df.select(entity, t), entity, t, {"_prev": (t, 1)}, size)
     gap = F.col(t) - F.col("_prev") - 1
     return prev.filter(gap > 0).select(

@@ -33,6 +33,20 @@ def with_halo(df: DataFrame, pos: str, before: int, after: int, size: int = SLIC
     return out.withColumn("_core", F.col("_slice") == _slice_of(p, size))
 
 
+SPREAD = 8
+
+
+def join_spread(rows: DataFrame, small: DataFrame, entity: str, spread: int = SPREAD) -> DataFrame:
+    """Join one row per entity to many, with the rows of an entity dealt to ``spread`` tasks.
+
+    ``small`` is copied per share, so a hot entity is not in one task when the
+    join shuffles, and whatever aggregates by entity afterwards adds up shares.
+    """
+    share = F.pmod(F.xxhash64(*rows.columns), F.lit(spread)).cast("int")
+    copies = small.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return rows.withColumn("_share", share).join(copies, [entity, "_share"]).drop("_share")
+
+
 def slice_window(entity: str, pos: str) -> WindowSpec:
     return Window.partitionBy(entity, "_slice").orderBy(pos)
 
@@ -50,6 +64,7 @@ def lag_by_value(
     """
     ks = [k for _, k in lags.values()]
     out = with_halo(df, pos, max(0, *ks), max(0, *[-k for k in ks]), size)
+    out = out.repartition(entity, "_slice")  # rows may come dealt by entity alone, which a window would accept
     w = slice_window(entity, pos)
     cols = {n: F.first(c).over(w.rangeBetween(-k, -k)) for n, (c, k) in lags.items()}
     return drop_halo(out.withColumns(cols))

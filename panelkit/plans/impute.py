@@ -138,22 +138,33 @@ def impute_period(
     return rows.filter(F.col("lambda").isNotNull()), rows.filter(F.col("lambda").isNull()).select(entity, t)
 
 
-def apply_imputation(panel: DataFrame, imputed: DataFrame, entity: str, t: str, y: str) -> DataFrame:
+def apply_imputation(
+    panel: DataFrame, imputed: DataFrame, entity: str, t: str, y: str, rejected: DataFrame | None = None
+) -> DataFrame:
     """Replace y by the imputed count where there is one; ``is_imputed`` marks the rows.
 
-    Rejected rows keep their count and are not marked. Lags have to be built again from the result, which also renews those of the
+    The count of a rejected row becomes null, and ``is_rejected`` marks it: it is
+    known to be faulty. Lags have to be built again from the result, which also renews those of the
     first days after the period.
     """
     out = panel.join(imputed.select(entity, t, "y_imputed"), [entity, t], "left")
+    bad = F.lit(False)
+    if rejected is not None:
+        out = out.join(rejected.select(entity, t, F.lit(True).alias("_bad")), [entity, t], "left")
+        bad = F.coalesce("_bad", F.lit(False))
     return out.withColumns(
-        {y: F.coalesce(F.col("y_imputed"), F.col(y).cast("double")), "is_imputed": F.col("y_imputed").isNotNull()}
-    ).drop("y_imputed")
+        {
+            y: F.when(~bad, F.coalesce(F.col("y_imputed"), F.col(y).cast("double"))),
+            "is_imputed": F.col("y_imputed").isNotNull(),
+            "is_rejected": bad,
+        }
+    ).drop("y_imputed", "_bad")
 
 
 def compare_periods(raw: DataFrame, imputed: DataFrame, entity: str, t: str, y: str) -> DataFrame:
-    """Mean of the raw and the imputed count, inside and outside the period, per entity."""
+    """Mean of the raw and the imputed count, imputed rows and others, per entity; rejected rows are left out."""
     r = raw.select(entity, t, F.col(y).cast("double").alias("y_raw"))
-    i = imputed.select(entity, t, F.col(y).alias("y_new"), "is_imputed")
+    i = imputed.filter(~F.col("is_rejected")).select(entity, t, F.col(y).alias("y_new"), "is_imputed")
     return (
         i.join(r, [entity, t])
         .groupBy(entity, "is_imputed")

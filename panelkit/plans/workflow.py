@@ -22,7 +22,6 @@ ENTITY, DATE, T, Y = "station", "date", "obs_count", "count"
 WEATHER = ["wind_speed", "precipitation", "snowfall", "snow_depth", "mean_temperature"]
 WEEK_LAG = "adj_lagged_count_by_week"
 BAD_MONTH = 8
-MONTHS = list(range(1, 12))
 
 
 def clean(raw: DataFrame) -> DataFrame:
@@ -46,28 +45,33 @@ def without_bad_month(panel: DataFrame) -> DataFrame:
     return panel.filter(F.col("month") != BAD_MONTH)
 
 
-def model_frame(panel: DataFrame) -> tuple[DataFrame, list[str], list[str], list[str]]:
-    """Derived regressors; returns the frame, weather, weekday and month terms."""
+def months_of(panel: DataFrame) -> list[int]:
+    """The months of the panel, twelve at most."""
+    return sorted(r["month"] for r in panel.select("month").distinct().collect())
+
+
+def model_frame(panel: DataFrame, levels: list[int] | None = None) -> tuple[DataFrame, list[str], list[str], list[str]]:
+    """Derived regressors; returns the frame, weather, weekday and month terms (against the first of ``levels``)."""
     df = add_quadratic(panel, "mean_temperature", "mean_temperature_sq")
     df = df.withColumns({"log_count": guarded_log(F.col(Y)), "log_week_lag": guarded_log(F.col(WEEK_LAG))})
     df, weekdays = one_hot(df, "weekday", cal.WEEKDAY_LEVELS, cal.WEEKDAY_BASE)
-    df, months = one_hot(df, "month", MONTHS)
+    df, months = one_hot(df, "month", months_of(panel) if levels is None else levels)
     return df, [*WEATHER, "mean_temperature_sq"], weekdays, months
 
 
 def fit_log_counts(panel: DataFrame) -> linear.LinearFit:
     """Within model of log counts: weather, months, weekdays, freezing and log weekly lag (24 columns)."""
     df, weather, weekdays, months = model_frame(panel)
-    months = [m for m in months if df.filter(F.col(m) == 1).limit(1).count()]  # a left-out month has no column
     xs = [*weather, *months, *weekdays, "IsFreezing", "log_week_lag"]
     return linear.within(df, "log_count", xs, ENTITY, [T, DATE])
 
 
 def fit_counts(panel: DataFrame) -> glm.PoissonFit:
     """Poisson model with station and month effects, weather, weekdays, freezing and weekly lag."""
-    df, weather, weekdays, _ = model_frame(panel)
-    present = [m for m in MONTHS if m != BAD_MONTH]
-    df = df.drop(*[f"month_{m}" for m in MONTHS[1:]])
+    panel = without_bad_month(panel)
+    present = months_of(panel)
+    df, weather, weekdays, months = model_frame(panel, present)
+    df = df.drop(*months)
     return glm.poisson_fe(df, Y, [*weather, *weekdays, "IsFreezing", WEEK_LAG], ENTITY, "month", present, [T])
 
 
@@ -98,7 +102,7 @@ def impute_bad_month(
     new, rejected = impute.impute_period(
         panel, day_table(panel, fit), model, ENTITY, T, Y, r["a"], r["b"], draw=draw, seed=seed
     )
-    done = impute.apply_imputation(panel.drop(WEEK_LAG, "adj_lagged_count"), new, ENTITY, T, Y)
+    done = impute.apply_imputation(panel.drop(WEEK_LAG, "adj_lagged_count"), new, ENTITY, T, Y, rejected)
     done = lags.gap_aware_lags(done, ENTITY, T, Y, {"adj_lagged_count": 1, WEEK_LAG: 7})
     return done, rejected
 
@@ -115,7 +119,7 @@ def temperature_sweep(panel: DataFrame, fit: linear.LinearFit, station: str, mon
     snow and month are those of its first day there. The freezing flag follows
     the temperature.
     """
-    rows, *_ = model_frame(panel.filter((F.col(ENTITY) == station) & (F.col("month") == month)))
+    rows, *_ = model_frame(panel.filter((F.col(ENTITY) == station) & (F.col("month") == month)), months_of(panel))
     means = {c: rows.agg(F.avg(c)).scalar() for c in ("wind_speed", "precipitation")}
     lag = rows.agg(F.avg(WEEK_LAG)).scalar()
     first = rows.orderBy(T).limit(1).withColumns({**means, "log_week_lag": F.ln(lag)})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fc
 from ..operators import describe, lags, quality, ranking, smooth
 from ..sources.panels import time_axis
-from .base import cte, events, longs, pa, pa_cells, query, raw, rounded, table
+from .base import cte, events, longs, pa, pa_cells, pa_days, query, raw, rounded, table
 from .shaping import BAND_SQL
 
 PROFILE_SQL = """SELECT '{c}' AS column_name, round(min({c}), 6) + 0.0 AS min, round(quantile_cont({c}, 0.25), 6) + 0.0 AS q1,
@@ -74,12 +74,13 @@ def _(spark, sf):
 
 @query(
     "q6_gap_runs",
-    """SELECT user_id, prev + 1 AS gap_start, t - 1 AS gap_end, t - prev - 1 AS gap_len
-       FROM (SELECT user_id, t, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS prev FROM pa) WHERE t - prev > 1""",
-    ("pa",),
+    """SELECT user_id, prev + 1 AS gap_start, t - 1 AS gap_end, t - prev - 1 AS gap_len FROM (
+         SELECT user_id, t, lag(t, 1, 0) OVER (PARTITION BY user_id ORDER BY t) AS prev FROM (
+           SELECT user_id, t FROM pa UNION ALL SELECT DISTINCT user_id, (SELECT max(t) + 1 FROM days) FROM pa)) WHERE t - prev > 1""",
+    ("pa", "days"),
 )
 def _(spark, sf):
-    return quality.gap_runs(pa(spark, sf), "user_id", "t")
+    return quality.gap_runs(pa(spark, sf), "user_id", "t", pa_days(spark, sf).count())
 
 
 @query("q6_first_observed", "SELECT user_id, min(d) AS first_d FROM cells GROUP BY 1", ("cells",))
@@ -234,9 +235,10 @@ def _(spark, sf):
     return rounded(describe.correlation(df, "x", "y", ["user_id"]), "cor", digits=4)
 
 
-HIST_SQL = """SELECT CAST(b AS INTEGER) AS bin, {lo} + (b - 1) * {w} AS "left", {lo} + b * {w} AS "right", coalesce(n, 0) AS n
-  FROM (SELECT unnest(generate_series(1, {k})) AS b) LEFT JOIN (SELECT greatest(1, least({k}, ceil((v - {lo}) / {w}))) AS b,
-  count(*) AS n FROM ({src}) WHERE v BETWEEN {lo} AND {lo} + {k} * {w} GROUP BY 1) USING (b)"""
+HIST_SQL = """SELECT CAST(b AS INTEGER) AS bin, CASE WHEN b > 0 THEN {lo} + (b - 1) * {w} END AS "left",
+  CASE WHEN b <= {k} THEN {lo} + b * {w} END AS "right", coalesce(n, 0) AS n
+  FROM (SELECT unnest(generate_series(0, {k} + 1)) AS b) LEFT JOIN (SELECT CASE WHEN v < {lo} THEN 0 WHEN v > {lo} + {k} * {w} THEN {k} + 1
+  ELSE greatest(1, least({k}, ceil((v - {lo}) / {w}))) END AS b, count(*) AS n FROM ({src}) WHERE v IS NOT NULL GROUP BY 1) USING (b)"""
 
 
 @query("a10_histogram", HIST_SQL.format(lo="0.0::DOUBLE", w="15.0::DOUBLE", k=24, src="SELECT value AS v FROM events"))

@@ -249,6 +249,23 @@ cte("i7src", "SELECT user_id, t, CAST(y AS DOUBLE) AS lam FROM pa", ("pa",))
 _draw_ctes("i7d", "i7src", "day")
 
 
+@query(
+    "i7_poisson_draw_large",
+    """SELECT user_id, t, CAST(k0 + CASE WHEN n % 2 = 1 THEN (n + 1) // 2 ELSE -(n // 2) END AS BIGINT) AS k FROM (
+         SELECT user_id, t, k0, count(CASE WHEN cdf < u THEN 1 END) AS n FROM (
+           SELECT user_id, t, k0, u, sum(exp(-lam + k * ln(lam) - lgamma(k + 1))) OVER (PARTITION BY user_id, t ORDER BY j) AS cdf FROM (
+             SELECT user_id, t, lam, j, floor(lam) AS k0, floor(lam) + CASE WHEN j % 2 = 1 THEN (j + 1) // 2 ELSE -(j // 2) END AS k,
+               CAST(('0x' || substr(md5(concat_ws('|', user_id, t, 1, 'large')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+             FROM (SELECT user_id, t, y * 100.0::DOUBLE + 700.5::DOUBLE AS lam FROM pa), (SELECT unnest(generate_series(0, 1100)) AS j)))
+         GROUP BY 1, 2, 3)""",
+    ("pa",),
+)
+def _(spark, sf):
+    df = pa(spark, sf).select("user_id", "t", (F.col("y") * 100.0 + 700.5).alias("lam"))
+    u = hash_uniform(F.col("user_id"), F.col("t"), F.lit(1), F.lit("large"))
+    return df.select("user_id", "t", poisson_draw(F.col("lam"), u).alias("k"))
+
+
 @query("i7_poisson_draw", "SELECT user_id, t, CAST(k AS BIGINT) AS k FROM i7d", ("i7d",))
 def _(spark, sf):
     df = pa(spark, sf).select("user_id", "t", F.col("y").cast("double").alias("lam"))
@@ -259,7 +276,7 @@ def _(spark, sf):
 cte(
     "newpa",
     """SELECT p.user_id, p.t, p.y AS y_raw, coalesce(o.yi, CAST(p.y AS DOUBLE)) AS y, o.yi IS NOT NULL AS is_imputed, p.rain, p.x / 100 AS xs
-       FROM pa p LEFT JOIN weout o ON o.user_id = p.user_id AND o.t = p.t""",
+       FROM pa p LEFT JOIN weout o ON o.user_id = p.user_id AND o.t = p.t WHERE o.user_id IS NULL OR o.lam IS NOT NULL""",
     ("pa", "weout"),
 )
 
@@ -271,8 +288,8 @@ cte(
     ("newpa", "spaced"),
 )
 def _(spark, sf):
-    panel, out, _ = imputed(spark, sf)
-    new = impute.apply_imputation(panel, out, "user_id", "t", "y")
+    panel, out, rejected = imputed(spark, sf)
+    new = impute.apply_imputation(panel, out, "user_id", "t", "y", rejected)
     chosen = ranking.sample_entities(panel, "user_id", 9)
     res = impute.compare_periods(panel, joins.rows_of_entities(new, chosen, "user_id"), "user_id", "t", "y")
     return rounded(res, "mean_raw", "mean_imputed", digits=5)
@@ -284,8 +301,8 @@ linear_ctes("rf", "newly", "ly", "xs", "rain", "user_id")
 
 @query("i9_refit", coef_sql("rf", [("xs", "b1", "s2 * i11"), ("rain", "b2", "s2 * i22")]), ("rff",))
 def _(spark, sf):
-    panel, out, _ = imputed(spark, sf)
-    new = impute.apply_imputation(panel, out, "user_id", "t", "y")
+    panel, out, rejected = imputed(spark, sf)
+    new = impute.apply_imputation(panel, out, "user_id", "t", "y", rejected)
     new = new.withColumns({"ly": guarded_log(F.col("y")), "xs": F.col("x") / 100})
     return coef_out(linear.coef_table(linear.within(new, "ly", ["xs", "rain"], "user_id")))
 

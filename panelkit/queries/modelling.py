@@ -148,10 +148,13 @@ def _(spark, sf):
     return rounded(out.select("term", "estimate", "std_error"), "estimate", "std_error", digits=4)
 
 
+BY_ENTITY = 12  # steps of the SQL; the difference of the last two tells convergence
+
+
 def _by_entity_ctes() -> None:
     cte("be", "SELECT user_id, CAST(y AS DOUBLE) AS yy, xs, xs - avg(xs) OVER (PARTITION BY user_id) AS z, avg(xs) OVER (PARTITION BY user_id) AS mx FROM pap", ("pap",))
     cte("beb0", "SELECT user_id, count(*) AS n_i, ln(avg(yy)) AS b0, CAST(0 AS DOUBLE) AS b1, max(mx) AS mx FROM be GROUP BY 1", ("be",))
-    for i in range(ITERATIONS):
+    for i in range(BY_ENTITY):
         cte(
             f"beb{i + 1}",
             f"""SELECT user_id, n_i, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0, b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b1, mx FROM (
@@ -167,11 +170,13 @@ _by_entity_ctes()
 
 @query(
     "m4_glm_poisson_by_entity",
-    f"SELECT user_id, n_i, round(b0 - b1 * mx, 4) + 0.0 AS b0, round(b1, 4) + 0.0 AS b1 FROM beb{ITERATIONS}",
-    (f"beb{ITERATIONS}",),
+    f"""SELECT user_id, n_i, round(a.b0 - a.b1 * a.mx, 4) + 0.0 AS b0, round(a.b1, 4) + 0.0 AS b1,
+       coalesce(greatest(abs(a.b0 - b.b0), abs(a.b1 - b.b1)) <= 1e-8 * (1 + abs(a.b0) + abs(a.b1)), FALSE) AS converged
+       FROM beb{BY_ENTITY} a JOIN (SELECT user_id, b0, b1 FROM beb{BY_ENTITY - 1}) b USING (user_id)""",
+    (f"beb{BY_ENTITY}", f"beb{BY_ENTITY - 1}"),
 )
 def _(spark, sf):
-    out = glm.glm_poisson_by_entity(pap(spark, sf), "y", "xs", "user_id", ITERATIONS)
+    out = glm.glm_poisson_by_entity(pap(spark, sf), "y", "xs", "user_id")
     return rounded(out.drop("step"), "b0", "b1", digits=4)
 
 

@@ -43,9 +43,12 @@ def read_panel_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
     A CSV file has its own column order, so the columns are matched by header
     name: the header line gives the order, ``schema`` gives the types. Columns
-    that ``schema`` does not name (a row-number column, say) are left out.
+    that ``schema`` does not name (a row-number column, say) are left out. A file
+    of the folder with another header, and a value that is not of its column's
+    type, raise an error when the rows are read.
     """
     reader = spark.read.option("header", True).option("nullValue", "NA")
+    reader = reader.option("enforceSchema", False).option("mode", "FAILFAST")
     types = {f.name: f.dataType for f in schema.fields}
     header = reader.csv(path).columns
     full = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])

@@ -38,7 +38,7 @@ def test_balance_and_incomplete(gap3):
 @pytest.mark.parametrize("size", [3, 4096])
 def test_missing_and_gaps(gap3, size):
     assert rows(quality.missing_times(gap3, "e", "t", 10, size), "e", "t") == [("B", 4)] + [("C", t) for t in range(1, 6)]
-    assert rows(quality.gap_runs(gap3, "e", "t", size), "e", "gap_start", "gap_end", "gap_len") == [("B", 4, 4, 1)]
+    assert rows(quality.gap_runs(gap3, "e", "t", size=size), "e", "gap_start", "gap_end", "gap_len") == [("B", 4, 4, 1)]
 
 
 def test_consistency_counts_null_as_a_value(weather2):
@@ -127,7 +127,7 @@ def test_constant_correlation_is_null(spark):
 
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (1.5,), (2.0,), (4.0,), (9.0,)], "v double")
-    assert [r.n for r in describe.histogram(df, "v", 0.0, 4.0, 1.0).orderBy("bin").collect()] == [2, 2, 0, 1]
+    assert [r.n for r in describe.histogram(df, "v", 0.0, 4.0, 1.0).orderBy("bin").collect()] == [0, 2, 2, 0, 1, 1]
     assert describe.sturges_breaks(0.0, 334.0, 334) == (0.0, 350.0, 50.0)
 
 
@@ -157,3 +157,52 @@ def test_half_even_rounding(spark):
 def test_row_key(spark):
     r = spark.range(1).select(fc.entity_of_row_key(F.lit("10th & E St-West-2022-01-05"))).first()
     assert r[0] == "10th & E St-West"
+
+
+def test_gap_runs_with_ends_cover_all_missing_times(gap3):
+    runs = rows(quality.gap_runs(gap3, "e", "t", 12), "e", "gap_start", "gap_end", "gap_len")
+    missing = quality.missing_times(gap3, "e", "t", 12).count()
+    assert sum(r[3] for r in runs) == missing
+    assert ("C", 1, 5, 5) in runs and ("A", 11, 12, 2) in runs
+
+
+def test_unlisted_level_is_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    from panelkit.functions.columns import one_hot
+
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "x string")
+    out, names = one_hot(df, "x", ["a", "b"])
+    assert names == ["x_b"] and sorted(r["x_b"] for r in out.filter("x_b is not null").collect()) == [0.0, 1.0]
+    with pytest.raises(PySparkException):
+        one_hot(df, "x", ["a", "c"])[0].collect()
+
+
+def test_csv_with_another_header_or_bad_values_is_an_error(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from panelkit.sources.panels import read_panel_csv
+
+    schema = T.StructType([T.StructField("station", T.StringType()), T.StructField("count", T.LongType())])
+    for name, parts in {"order": ["station,count\nA,1\n", "count,station\n7,C\n"], "value": ["station,count\nA,x2\n"], "good": ["station,count\nA,1\n", "station,count\nB,NA\n"]}.items():
+        (tmp_path / name).mkdir()
+        for k, text in enumerate(parts):
+            (tmp_path / name / f"{k}.csv").write_text(text)
+    assert sorted(r["station"] for r in read_panel_csv(spark, str(tmp_path / "good"), schema).collect()) == ["A", "B"]
+    for name in ("order", "value"):
+        with pytest.raises(Exception, match="header does not conform|[Mm]alformed"):
+            read_panel_csv(spark, str(tmp_path / name), schema).collect()
+
+
+def test_lags_after_a_join_are_dealt_by_slice(spark):
+    """A join leaves rows dealt by entity; the slices must still go to tasks of their own."""
+    from panelkit.operators.lags import gap_aware_lags
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(100).selectExpr("id % 3 AS e", "id AS t", "id AS y")
+        right = spark.range(3).selectExpr("id AS e", "id AS fe")
+        plan = gap_aware_lags(left.join(right, "e"), "e", "t", "y", {"l": 1})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "_slice" in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
