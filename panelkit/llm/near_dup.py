@@ -131,10 +131,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= PERCENT * union."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    used = texts.join(ends, texts.doc_id == ends.id, "left_semi")
-    left = pairs.join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     @F.pandas_udf("boolean")
     def linked(ta: pd.Series, tb: pd.Series) -> pd.Series:
@@ -294,6 +292,8 @@ def links(sets: DataFrame, texts: DataFrame, ties: DataFrame) -> DataFrame:
     found = cut_lineage(possible(members))
     pairs = found.filter("b is not null").select("a", "b").distinct()
     many = found.filter("b is null").select("a", "node").distinct()
+    ids = found.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct()
+    texts = cut_lineage(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi"))  # all texts move once, here
     return components(cut_lineage(confirmed(pairs, texts).union(dense(many, texts)).union(ties)))
 
 
