@@ -39,8 +39,8 @@ PERCENT = 85
 TREES = 6
 LEVELS = 5
 FAN = 2
-STEM = 1 + FAN * (LEVELS - 1)  # tokens of one tree
-TOKENS = TREES * STEM
+STEPS = FAN * (LEVELS - 1)  # child tokens of one tree
+TOKENS = TREES * (1 + STEPS)
 AGREE = 29
 SMALL, WEIGHT = 2048, 4_000_000  # members and shingles of a node that one task compares
 FEW = 4  # possible pairs per member up to which they are listed as pairs
@@ -91,7 +91,11 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two-part key of the set, minwise tokens (null for an empty set)."""
+    """doc_id, n_shingles, two-part key of the set and its minwise tokens (null for an empty set).
+
+    ``roots`` holds the first token of each tree, whole; ``steps`` those of the
+    children, of which 32 bits are enough, as a child also carries its parent.
+    """
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler()
@@ -100,13 +104,15 @@ def signatures(rows: DataFrame) -> DataFrame:
             for text in pdf["text"]:
                 s = shingles(text)
                 a, b = (xxhash.xxh64_intdigest(s.tobytes(), k) - (1 << 63) for k in (1, 2))
-                out.append((len(s), a, b, minwise(s).view(np.int64) if len(s) else None))
-            cols = pd.DataFrame(out, columns=["n_shingles", "ka", "kb", "tokens"])
+                m = minwise(s) if len(s) else None
+                roots, steps = (m[:TREES].view(np.int64), m[TREES:].astype(np.uint32).view(np.int32)) if len(s) else (None, None)
+                out.append((len(s), a, b, roots, steps))
+            cols = pd.DataFrame(out, columns=["n_shingles", "ka", "kb", "roots", "steps"])
             yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), cols], axis=1)
 
     kind = dict(rows.dtypes)["doc_id"]
     text_id = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-    out = text_id.mapInPandas(measure, "doc_id string, n_shingles long, ka long, kb long, tokens array<long>")
+    out = text_id.mapInPandas(measure, "doc_id string, n_shingles long, ka long, kb long, roots array<long>, steps array<int>")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
@@ -160,8 +166,7 @@ def descend(sets: DataFrame) -> DataFrame:
     A level holds the children of the last one's large nodes. At the last level
     a large node becomes one node per pair of its blocks.
     """
-    token = lambda t, k: F.get("tokens", t * STEM + k)
-    roots = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), token(F.lit(t), 0)).alias("node")) for t in range(TREES)])
+    roots = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.get("roots", F.lit(t))).alias("node")) for t in range(TREES)])
     members = sets.select("doc_id", "n_shingles", F.explode(roots).alias("x")).select("doc_id", "n_shingles", "x.t", "x.node")
     out = None
     for level in range(LEVELS):
@@ -174,8 +179,8 @@ def descend(sets: DataFrame) -> DataFrame:
         if not rest.limit(1).count():
             return out
         if level < LEVELS - 1:
-            rest = rest.join(sets.select("doc_id", "n_shingles", "tokens"), ["doc_id", "n_shingles"])
-            children = F.array(*[F.xxhash64("node", F.lit(f), token(F.col("t"), 1 + FAN * level + f)) for f in range(FAN)])
+            rest = rest.join(sets.select("doc_id", "n_shingles", "steps"), ["doc_id", "n_shingles"])
+            children = F.array(*[F.xxhash64("node", F.lit(f), F.get("steps", F.col("t") * STEPS + FAN * level + f)) for f in range(FAN)])
             members = rest.select("doc_id", "n_shingles", "t", F.explode(children).alias("node"))
             members = members.dropDuplicates(["node", "doc_id", "n_shingles"])
     blocks = F.ceil(F.greatest(F.col("n") * 2 / SMALL, F.col("weight") * 2 / WEIGHT)).cast("int")
@@ -201,13 +206,13 @@ def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def possible(members: DataFrame) -> DataFrame:
-    """(a, b, node): pairs that sizes and tokens allow; with b null, a member of a node where such pairs are many."""
+    """(a, b, node): pairs that sizes and sketches allow; with b null, a member of a node where such pairs are many."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, size = [], 0
         for g in grouped(batches):
             ids, n = g["doc_id"].to_numpy(), g["n_shingles"].to_numpy()
-            tokens = np.stack(g["tokens"].to_list())
+            tokens = np.stack(g["sketch"].to_list())
             agree = np.zeros((len(g), len(g)), np.uint8)
             for t in range(TOKENS):
                 agree += tokens[:, None, t] == tokens[None, :, t]
@@ -288,7 +293,9 @@ def dense(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame, texts: DataFrame, ties: DataFrame) -> DataFrame:
     """(id, root) of all classes that are linked with another; ``ties`` (a, b) are links that need no test."""
-    members = descend(sets).join(sets, ["doc_id", "n_shingles"])
+    # 15 bits of each token: equal tokens stay equal, so no pair is lost, and a member is small to move
+    sketch = F.transform(F.concat("roots", F.col("steps").cast("array<long>")), lambda x: F.pmod(x, F.lit(32768)).cast("short"))
+    members = descend(sets).join(sets.select("doc_id", "n_shingles", sketch.alias("sketch")), ["doc_id", "n_shingles"])
     found = cut_lineage(possible(members))
     pairs = found.filter("b is not null").select("a", "b").distinct()
     many = found.filter("b is null").select("a", "node").distinct()
@@ -309,7 +316,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ties = same.join(ties, "b").filter("a > low").select(F.col("low").alias("a"), F.col("a").alias("b"))
     found = copies.select("rep", F.col("ka").alias("k1"), F.col("kb").alias("k2"))
     reps = full.join(found, (F.col("rep") == F.col("doc_id")) & (F.col("ka") == F.col("k1")) & (F.col("kb") == F.col("k2")))
-    reps = cut_lineage(reps.dropDuplicates(["doc_id", "ka", "kb"]).select("doc_id", "n_shingles", "tokens"))
+    reps = cut_lineage(reps.dropDuplicates(["doc_id", "ka", "kb"]).select("doc_id", "n_shingles", "roots", "steps"))
     roots = links(reps, rows, ties)
     joined = same.join(roots, same.a == roots.id, "left").select(F.col("b").alias("doc_id"), F.coalesce("root", "a").alias("root"))
     joined = joined.groupBy("doc_id").agg(F.min("root").alias("component_id"))
