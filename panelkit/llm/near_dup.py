@@ -4,9 +4,10 @@ Equal sets are one class first. The classes then descend independent trees: at
 the root a class goes to the node of its minwise token, and in every node that
 is too large for one task it goes on to ``FAN`` children, chosen by further
 minwise tokens. A node that is small enough compares all its members in memory
-by their minwise tokens. What that leaves possible is confirmed on the full
-shingle sets: as pairs where they are few, else by comparing the sets of the
-node's members in one task, which returns no more links than it has members.
+by their minwise tokens. A pair that this leaves possible is assigned to one of
+the nodes it was found in, and the members of such pairs meet there once more
+with their whole texts: the task compares their full shingle sets and returns
+no more links than it has members.
 Nodes still too large at the last level are compared in blocks, so no case is
 dropped and no task holds more than two blocks.
 
@@ -135,31 +136,6 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= PERCENT * union."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-
-    @F.pandas_udf("boolean")
-    def linked(ta: pd.Series, tb: pd.Series) -> pd.Series:
-        shingles, last, out = Shingler(), {}, []
-
-        def of(text: str) -> np.ndarray:
-            if text not in last:
-                if len(last) > 8:
-                    last.clear()
-                last[text] = shingles(text)
-            return last[text]
-
-        for x, y in zip(ta, tb, strict=True):
-            a, b = of(x), of(y)
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * shared >= PERCENT * (len(a) + len(b) - shared))
-        return pd.Series(out)
-
-    return both.filter(linked("ta", "tb")).select("a", "b")
-
-
 def descend(sets: DataFrame) -> DataFrame:
     """Members of the nodes to compare, with two or more members each: (node, doc_id, n_shingles).
 
@@ -219,7 +195,7 @@ def possible(members: DataFrame) -> DataFrame:
             fits = (agree >= AGREE) & (100 * np.minimum.outer(n, n) >= PERCENT * np.maximum.outer(n, n)) & (ids[:, None] < ids[None, :])
             a, b = fits.nonzero()
             if len(a) <= FEW * len(g):
-                rows = pd.DataFrame({"a": ids[a], "b": ids[b]}).assign(node=0)
+                rows = pd.DataFrame({"a": ids[a], "b": ids[b], "node": g["node"].iloc[0]})
             else:
                 some = np.union1d(a, b)
                 rows = pd.DataFrame({"a": ids[some], "b": None, "node": g["node"].iloc[0]})
@@ -273,22 +249,16 @@ def spanning(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-def dense(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) among the members (a, node) of nodes with many possible pairs, by their full sets."""
-
-    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = Shingler()
-        for pdf in batches:
-            yield pd.DataFrame({"a": pdf["doc_id"], "shingles": [of(t).view(np.int64) for t in pdf["text"]]})
+def confirmed(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among the members (node, a) of each node, by the full sets of their texts."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingler()
         for g in grouped(batches):
-            yield pd.DataFrame(spanning(g["a"].to_numpy(), g["shingles"].to_list()), columns=["a", "b"])
+            yield pd.DataFrame(spanning(g["a"].to_numpy(), [shingles(t) for t in g["text"]]), columns=["a", "b"])
 
-    used = texts.join(members.select("a").distinct(), F.col("doc_id") == F.col("a"), "left_semi")
-    sets = used.select("doc_id", "text").mapInPandas(shingled, "a long, shingles array<long>")
-    rows = members.join(sets, "a").repartition("node").sortWithinPartitions("node")
-    return rows.select("node", "a", "shingles").mapInPandas(compare, "a long, b long")
+    rows = members.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").repartition("node").sortWithinPartitions("node")
+    return rows.select("node", "a", "text").mapInPandas(compare, "a long, b long")
 
 
 def links(sets: DataFrame, texts: DataFrame, ties: DataFrame) -> DataFrame:
@@ -297,11 +267,12 @@ def links(sets: DataFrame, texts: DataFrame, ties: DataFrame) -> DataFrame:
     sketch = F.transform(F.concat("roots", F.col("steps").cast("array<long>")), lambda x: F.pmod(x, F.lit(32768)).cast("short"))
     members = descend(sets).join(sets.select("doc_id", "n_shingles", sketch.alias("sketch")), ["doc_id", "n_shingles"])
     found = cut_lineage(possible(members))
-    pairs = found.filter("b is not null").select("a", "b").distinct()
-    many = found.filter("b is null").select("a", "node").distinct()
-    ids = found.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct()
-    texts = cut_lineage(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi"))  # all texts move once, here
-    return components(cut_lineage(confirmed(pairs, texts).union(dense(many, texts)).union(ties)))
+    pairs = found.filter("b is not null").groupBy("a", "b").agg(F.min("node").alias("node"))
+    few = pairs.select("node", F.explode(F.array("a", "b")).alias("a"))
+    meet = cut_lineage(few.union(found.filter("b is null").select("node", "a")).distinct())
+    ids = cut_lineage(meet.select("a").distinct())  # written, so that the next join is planned by its size
+    texts = cut_lineage(texts.join(ids, F.col("doc_id") == F.col("a"), "left_semi"))
+    return components(cut_lineage(confirmed(meet, texts).union(ties)))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
