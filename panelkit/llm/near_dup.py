@@ -280,17 +280,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = id_text(docs, id_col, text_col)
     sets = cut_lineage(signatures(rows))
     full = sets.filter("n_shingles > 0 and doc_id is not null")
-    copies = full.groupBy("ka", "kb").agg(F.min("doc_id").alias("rep"))
-    same = cut_lineage(full.select("doc_id", "ka", "kb").join(copies, ["ka", "kb"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    copies = full.groupBy("ka", "kb").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).filter("n > 1")
+    # the small side of each join is written first: its size is known then, and a hot group can be split
+    full = full.join(cut_lineage(copies.drop("n")), ["ka", "kb"], "left")
+    same = cut_lineage(full.select(F.coalesce("rep", "doc_id").alias("a"), F.col("doc_id").alias("b")))
     # an id with several sets ties their classes together
     ties = same.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low < high")
-    ties = same.join(ties, "b").filter("a > low").select(F.col("low").alias("a"), F.col("a").alias("b"))
-    found = copies.select("rep", F.col("ka").alias("k1"), F.col("kb").alias("k2"))
-    reps = full.join(found, (F.col("rep") == F.col("doc_id")) & (F.col("ka") == F.col("k1")) & (F.col("kb") == F.col("k2")))
-    reps = cut_lineage(reps.dropDuplicates(["doc_id", "ka", "kb"]).select("doc_id", "n_shingles", "roots", "steps"))
-    roots = links(reps, rows, ties)
-    joined = same.join(roots, same.a == roots.id, "left").select(F.col("b").alias("doc_id"), F.coalesce("root", "a").alias("root"))
-    joined = joined.groupBy("doc_id").agg(F.min("root").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles").join(joined, "doc_id", "left")
+    ties = same.join(cut_lineage(ties), "b").filter("a > low").select(F.col("low").alias("a"), F.col("a").alias("b"))
+    alone = full.filter("rep is null").select("doc_id", "n_shingles", "roots", "steps")
+    reps = full.filter("rep = doc_id").dropDuplicates(["doc_id", "ka", "kb"]).select(*alone.columns)
+    roots = links(cut_lineage(alone.union(reps)), rows, ties)
+    joined = same.join(roots, same.a == roots.id, "left").select(F.col("b").alias("doc_id"), F.coalesce("root", "a").alias("component_id"))
+    moved = joined.filter("component_id < doc_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = sets.select("doc_id", "n_shingles").join(cut_lineage(moved), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
