@@ -35,7 +35,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component, and documents without an id."""
-    gone = near_dup.classes(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    # written, so that the join with the texts is planned by the number of ids that go
+    gone = cut_lineage(near_dup.classes(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
