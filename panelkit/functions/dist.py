@@ -28,8 +28,8 @@ def _beta_cf(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ValueError(f"the tail at a={a}, b={b}, x={x} did not converge")
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -70,15 +70,22 @@ def gamma_upper(a: float, x: float) -> float:
         c = c if abs(c) > tiny else tiny
         h *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
+            return front * h
+    raise ValueError(f"the tail at a={a}, x={x} did not converge")
+
+
+LARGE_DF = 1e5  # from here on the expansion around the normal is closer than the continued fraction
 
 
 def t_two_sided(t: float, df: float) -> float:
+    if df > LARGE_DF and math.isfinite(t):  # error of order 1 / df ** 2
+        return normal_two_sided(t * (1 - 1 / (4 * df)) / math.sqrt(1 + t * t / (2 * df)))
     return beta_inc(df / 2, 0.5, df / (df + t * t)) if math.isfinite(t) else 0.0
 
 
 def f_upper(f: float, d1: float, d2: float) -> float:
+    if d1 == 1 and f > 0:
+        return t_two_sided(math.sqrt(f), d2)
     return 1.0 if f <= 0 else beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normal_quantile
-from ..session import cut_lineage, shuffle_partitions
+from ..session import cut_lineage
 from .ranking import exact_quantiles, global_rank
 from .slices import SLICE_ROWS, drop_halo, entity_position, slice_window, with_halo
 
@@ -153,9 +153,8 @@ def _lowess_pass(cur: DataFrame, entity: str) -> DataFrame:
     # the row lies within k-1 index steps of every anchor it serves
     a_lo = F.greatest(F.lit(0), F.floor((pos - k) / step) - 1).cast("long")
     a_hi = F.least(n_anchor, F.ceil((pos + k) / step) + 1).cast("long")
-    # a row grows into many terms: spread the rows first
-    spread = cur.select(entity, "_pos", "_y", "_n", "_k", "_step", "_rw")
-    spread = spread.repartition(shuffle_partitions(cur.sparkSession), entity, "_pos")
+    # a row grows into many terms: spread the rows first; adaptive execution may split and merge the partitions
+    spread = cur.select(entity, "_pos", "_y", "_n", "_k", "_step", "_rw").hint("rebalance", entity, "_pos")
     terms = spread.withColumn("_a", F.explode(F.sequence(a_lo, a_hi)))
     c = at(F.col("_a"))
     # k nearest indices of c, shifted inwards at the ends (ties keep the left side)

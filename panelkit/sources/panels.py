@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..operators.ranking import global_rank
 
+# The columns of the two input files.
 RAW_PANEL_SCHEMA = T.StructType(
     [
         T.StructField("station", T.StringType()),

@@ -258,6 +258,9 @@ def test_distribution_tables():
     assert dist.t_quantile(0.025, 5) == pytest.approx(-2.570581836, abs=1e-8)
     assert dist.t_quantile(0.975, 29390) == pytest.approx(1.960, abs=1e-3)
     assert np.isnan(dist.t_quantile(0.975, 0))
+    assert dist.t_two_sided(1.959963984540054, 1e12) == pytest.approx(0.05, abs=1e-10)
+    assert dist.f_upper(1.959963984540054**2, 1, 1e12) == pytest.approx(0.05, abs=1e-10)
+    assert dist.t_two_sided(2.0, 99_999) == pytest.approx(dist.t_two_sided(2.0, 100_001), abs=1e-8)
     assert dist.f_upper(4.964602744, 1, 10) == pytest.approx(0.05, abs=1e-8)
     assert dist.chi2_upper(3.841458821, 1) == pytest.approx(0.05, abs=1e-8)
     assert dist.chi2_upper(18.30703805, 10) == pytest.approx(0.05, abs=1e-8)
