@@ -19,6 +19,7 @@ from panelkit.session import cut_lineage
 
 MIN_QUALITY = 0.3
 MIN_SHARE = 0.4  # of the main language; below it a text is a mixture of many
+NEAR_PERCENT = 80  # shingles shared by near duplicates; op4_near_duplicates has its own 85
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component, and documents without an id."""
     # written, so that the join with the texts is planned by the number of ids that go
-    gone = cut_lineage(near_dup.classes(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = cut_lineage(near_dup.classes(docs, percent=NEAR_PERCENT).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 

@@ -12,9 +12,10 @@ Nodes still too large at the last level are compared in blocks, so no case is
 dropped and no task holds more than two blocks.
 
 With similarity s, a pair shares a root token with probability s and stays in
-one of two children with 1 - (1 - s)^2; ``TREES`` independent trees put the
-chance to miss a pair of 0.85 at about 1e-5. A pair of 0.85 that agrees in fewer
-than ``AGREE`` of its tokens, and is passed over for it, has probability 1e-8.
+one of two children with 1 - (1 - s)^2. A lower least similarity gets more trees:
+they put the chance that such a pair shares no root at about 1e-5 (six trees for
+0.85, seven for 0.8). A pair that agrees in too few of its tokens, and is passed
+over for it, has probability 1e-8 (fewer than 29 of 54 for 0.85).
 
 Defined cases: texts without a word have an empty set, link with nothing and
 are kept; texts shorter than a shingle are one shingle; rows that repeat a
@@ -24,6 +25,7 @@ null doc_id has a null component, links with nothing and is kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,17 +39,32 @@ from .common import id_text
 
 WORDS = 5
 PERCENT = 85
-TREES = 6
 LEVELS = 5
 FAN = 2
 STEPS = FAN * (LEVELS - 1)  # child tokens of one tree
-TOKENS = TREES * (1 + STEPS)
-AGREE = 29
+MISSED, PASSED = 1.3e-5, 1.3e-8  # chances that a pair of the least similarity shares no root, and agrees in too few tokens
 SMALL, WEIGHT = 2048, 4_000_000  # members and shingles of a node that one task compares
 FEW = 4  # possible pairs per member up to which they are listed as pairs
 KNOWN_WORDS = 200_000  # word hashes a worker remembers
 
 
+def trees_for(percent: int) -> int:
+    """Number of trees that a least similarity of ``percent`` needs."""
+    return math.ceil(math.log(MISSED) / math.log1p(-percent / 100))
+
+
+def tokens_of(trees: int) -> int:
+    return trees * (1 + STEPS)
+
+
+def agreement(percent: int) -> int:
+    """The tokens in which a pair of ``percent`` agrees but for a chance of ``PASSED``."""
+    n, p, k, below = tokens_of(trees_for(percent)), percent / 100, 0, 0.0
+    while (below := below + math.comb(n, k) * p**k * (1 - p) ** (n - k)) <= PASSED:
+        k += 1
+    return k
+
+
 class Shingler:
     """Distinct shingles of a text as sorted 64-bit hashes."""
 
@@ -81,17 +98,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def minwise(s: np.ndarray) -> np.ndarray:
-    """For each of ``TOKENS`` orders of all shingles, the first of the set."""
-    k = np.arange(1, TOKENS + 1, dtype=np.uint64)
+def minwise(s: np.ndarray, n: int) -> np.ndarray:
+    """For each of n orders of all shingles, the first of the set."""
+    k = np.arange(1, n + 1, dtype=np.uint64)
     seeds, odd = mixed(k * np.uint64(0xD1B54A32D192ED03))[:, None], mixed(k * np.uint64(0x8CB92BA72F3D8DD7))[:, None] | np.uint64(1)
-    out = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
+    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for part in range(0, len(s), 4096):  # bounded memory for long texts
         out = np.minimum(out, ((s[None, part : part + 4096] ^ seeds) * odd).min(1))
     return out
 
 
-def signatures(rows: DataFrame) -> DataFrame:
+def signatures(rows: DataFrame, trees: int) -> DataFrame:
     """doc_id, n_shingles, two-part key of the set and its minwise tokens (null for an empty set).
 
     ``roots`` holds the first token of each tree, whole; ``steps`` those of the
@@ -105,8 +122,8 @@ def signatures(rows: DataFrame) -> DataFrame:
             for text in pdf["text"]:
                 s = shingles(text)
                 a, b = (xxhash.xxh64_intdigest(s.tobytes(), k) - (1 << 63) for k in (1, 2))
-                m = minwise(s) if len(s) else None
-                roots, steps = (m[:TREES].view(np.int64), m[TREES:].astype(np.uint32).view(np.int32)) if len(s) else (None, None)
+                m = minwise(s, tokens_of(trees)) if len(s) else None
+                roots, steps = (m[:trees].view(np.int64), m[trees:].astype(np.uint32).view(np.int32)) if len(s) else (None, None)
                 out.append((len(s), a, b, roots, steps))
             cols = pd.DataFrame(out, columns=["n_shingles", "ka", "kb", "roots", "steps"])
             yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), cols], axis=1)
@@ -136,13 +153,13 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def descend(sets: DataFrame) -> DataFrame:
+def descend(sets: DataFrame, trees: int) -> DataFrame:
     """Members of the nodes to compare, with two or more members each: (node, doc_id, n_shingles).
 
     A level holds the children of the last one's large nodes. At the last level
     a large node becomes one node per pair of its blocks.
     """
-    roots = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.get("roots", F.lit(t))).alias("node")) for t in range(TREES)])
+    roots = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.get("roots", F.lit(t))).alias("node")) for t in range(trees)])
     members = sets.select("doc_id", "n_shingles", F.explode(roots).alias("x")).select("doc_id", "n_shingles", "x.t", "x.node")
     out = None
     for level in range(LEVELS):
@@ -181,8 +198,9 @@ def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
-def possible(members: DataFrame) -> DataFrame:
+def possible(members: DataFrame, percent: int) -> DataFrame:
     """(a, b, node): pairs that sizes and sketches allow; with b null, a member of a node where such pairs are many."""
+    least = agreement(percent)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, size = [], 0
@@ -190,9 +208,9 @@ def possible(members: DataFrame) -> DataFrame:
             ids, n = g["doc_id"].to_numpy(), g["n_shingles"].to_numpy()
             tokens = np.stack(g["sketch"].to_list())
             agree = np.zeros((len(g), len(g)), np.uint8)
-            for t in range(TOKENS):
+            for t in range(tokens.shape[1]):
                 agree += tokens[:, None, t] == tokens[None, :, t]
-            fits = (agree >= AGREE) & (100 * np.minimum.outer(n, n) >= PERCENT * np.maximum.outer(n, n)) & (ids[:, None] < ids[None, :])
+            fits = (agree >= least) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)) & (ids[:, None] < ids[None, :])
             a, b = fits.nonzero()
             if len(a) <= FEW * len(g):
                 rows = pd.DataFrame({"a": ids[a], "b": ids[b], "node": g["node"].iloc[0]})
@@ -212,7 +230,7 @@ def possible(members: DataFrame) -> DataFrame:
     return rows.mapInPandas(look, "a long, b long, node long")
 
 
-def spanning(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def spanning(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that tie together the members of each component; all pairs are compared, block by block."""
     size = np.array([len(s) for s in sets])
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -241,7 +259,7 @@ def spanning(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
                     part.append(m)
                 both += part[0] @ part[1].T
             total = size[i : i + step, None] + size[None, j : j + step] - both
-            for a, b in zip(*(100 * both >= PERCENT * total).nonzero(), strict=True):
+            for a, b in zip(*(100 * both >= percent * total).nonzero(), strict=True):
                 x, y = find(i + a), find(j + b)
                 if x != y:
                     root[max(x, y)] = min(x, y)
@@ -249,36 +267,36 @@ def spanning(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-def confirmed(members: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among the members (node, a) of each node, by the full sets of their texts."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler()
         for g in grouped(batches):
-            yield pd.DataFrame(spanning(g["a"].to_numpy(), [shingles(t) for t in g["text"]]), columns=["a", "b"])
+            yield pd.DataFrame(spanning(g["a"].to_numpy(), [shingles(t) for t in g["text"]], percent), columns=["a", "b"])
 
     rows = members.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").repartition("node").sortWithinPartitions("node")
     return rows.select("node", "a", "text").mapInPandas(compare, "a long, b long")
 
 
-def links(sets: DataFrame, texts: DataFrame, ties: DataFrame) -> DataFrame:
+def links(sets: DataFrame, texts: DataFrame, ties: DataFrame, percent: int) -> DataFrame:
     """(id, root) of all classes that are linked with another; ``ties`` (a, b) are links that need no test."""
     # 15 bits of each token: equal tokens stay equal, so no pair is lost, and a member is small to move
     sketch = F.transform(F.concat("roots", F.col("steps").cast("array<long>")), lambda x: F.pmod(x, F.lit(32768)).cast("short"))
-    members = descend(sets).join(sets.select("doc_id", "n_shingles", sketch.alias("sketch")), ["doc_id", "n_shingles"])
-    found = cut_lineage(possible(members))
+    members = descend(sets, trees_for(percent)).join(sets.select("doc_id", "n_shingles", sketch.alias("sketch")), ["doc_id", "n_shingles"])
+    found = cut_lineage(possible(members, percent))
     pairs = found.filter("b is not null").groupBy("a", "b").agg(F.min("node").alias("node"))
     few = pairs.select("node", F.explode(F.array("a", "b")).alias("a"))
     meet = cut_lineage(few.union(found.filter("b is null").select("node", "a")).distinct())
     ids = cut_lineage(meet.select("a").distinct())  # written, so that the next join is planned by its size
     texts = cut_lineage(texts.join(ids, F.col("doc_id") == F.col("a"), "left_semi"))
-    return components(cut_lineage(confirmed(meet, texts).union(ties)))
+    return components(cut_lineage(confirmed(meet, texts, percent).union(ties)))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row per input row."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, one row per input row; pairs of similarity ``percent`` or more link."""
     rows = id_text(docs, id_col, text_col)
-    sets = cut_lineage(signatures(rows))
+    sets = cut_lineage(signatures(rows, trees_for(percent)))
     full = sets.filter("n_shingles > 0 and doc_id is not null")
     copies = full.groupBy("ka", "kb").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).filter("n > 1")
     # the small side of each join is written first: its size is known then, and a hot group can be split
@@ -289,7 +307,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ties = same.join(cut_lineage(ties), "b").filter("a > low").select(F.col("low").alias("a"), F.col("a").alias("b"))
     alone = full.filter("rep is null").select("doc_id", "n_shingles", "roots", "steps")
     reps = full.filter("rep = doc_id").dropDuplicates(["doc_id", "ka", "kb"]).select(*alone.columns)
-    roots = links(cut_lineage(alone.union(reps)), rows, ties)
+    roots = links(cut_lineage(alone.union(reps)), rows, ties, percent)
     joined = same.join(roots, same.a == roots.id, "left").select(F.col("b").alias("doc_id"), F.coalesce("root", "a").alias("component_id"))
     moved = joined.filter("component_id < doc_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = sets.select("doc_id", "n_shingles").join(cut_lineage(moved), "doc_id", "left")

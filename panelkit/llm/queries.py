@@ -77,7 +77,7 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op4_near_duplicates")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
-    return near_dup.classes(table(spark, sf, "documents"))
+    return near_dup.classes(table(spark, sf, "documents"), percent=85)
 
 
 @query("op5_language_id")

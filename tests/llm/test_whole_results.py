@@ -1,0 +1,47 @@
+"""Cases in which an operator once did less than its whole job."""
+
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return dict(duckdb.execute(f"SELECT doc_id, coalesce(text, '') FROM '{SF}/documents.parquet'").fetchall())
+
+
+def smallest(texts, percent):
+    """Id -> smallest id of its component, by all pairs that share a shingle."""
+    sets, by, shared, root = {}, defaultdict(list), Counter(), {i: i for i in texts}
+    for i, t in texts.items():
+        w = t.encode().lower().split()
+        sets[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for x in sets[i]:
+            by[x].append(i)
+    for ids in by.values():
+        for k, a in enumerate(ids):
+            shared.update((a, b) for b in ids[k + 1 :])
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, b), n in shared.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in texts}
+
+
+def test_pipeline_drops_near_duplicates_from_four_fifths(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect())
+    want = smallest(texts, 80)
+    assert want != smallest(texts, 85)
+    assert got == sorted(i for i, j in want.items() if i == j)
