@@ -1,11 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 
 import corpus_pipeline
+from panelkit.llm import lm_automaton
 
 SF = "/root/testdata/sf0.01"
 
@@ -45,3 +48,20 @@ def test_pipeline_drops_near_duplicates_from_four_fifths(spark, texts):
     want = smallest(texts, 80)
     assert want != smallest(texts, 85)
     assert got == sorted(i for i, j in want.items() if i == j)
+
+
+def test_rare_words_are_states_too(spark):
+    """Each word has well under a thousandth of the tokens, and the next one is certain."""
+    rows = [(i, " ".join(f"w{(k + j) % 3000}" for j in range(20))) for i, k in enumerate(range(0, 4200, 7))]
+    train = [[*t.encode().split(), b""] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(x for w in train for x in w)
+    arcs = Counter(p for w in train for p in zip(["begin", *w], w, strict=False))
+    n, mu, a = sum(c.values()), lm_automaton.MU, lm_automaton.A
+    assert max(k for x, k in c.items() if x) < n / 1000
+    for r in lm_automaton.score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        w = [*rows[r["doc_id"]][1].encode().split(), b""]
+        want = 0.0
+        for p, x in zip(["begin", *w], w, strict=False):
+            visits = len(train) if p == "begin" else c[p]
+            want += math.log10((arcs[p, x] + mu * (c[x] + a) / (n + a * (len(c) + 1))) / (visits + mu))
+        assert math.isclose(r["score"], want, rel_tol=1e-9)
