@@ -9,7 +9,8 @@ without separators: one number written in two ways stays one number.
 Kinds: e-mail (the part before the @), card (13 to 19 digits, Luhn), IBAN (mod
 97), IPv4, phone (international, the country code stays), US social security
 number, date (years 1800 to 2199; y-m-d, d.m.y, d/m/y), and keyed secrets (access
-keys, and values behind password or key names). What fails its check stays.
+keys, and values behind password or key names, to their end). What fails its
+check stays, but cards and IBANs are looked for from each start and in each length.
 
 Defined cases: null texts stay null; texts without such values are unchanged;
 repeated rows are treated alike; an empty table gives an empty result; a
@@ -27,11 +28,11 @@ ROUNDS = 8
 HALF = 12  # characters on one side of a Feistel network: 26 ** 12 fits a long
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Kind, pattern. The first that matches at a place takes it; quantifiers are bounded, so a scan is linear.
+#: Kind, pattern. The first that matches at a place takes it; quantifiers are bounded or over one class, so a scan is linear.
 PATTERNS = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
     ("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("named_secret", r"(?:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9]{8,64}"),
+    ("named_secret", r"(?:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9]{8,}"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("date", r"(?<![0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![0-9])"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"),
@@ -39,7 +40,20 @@ PATTERNS = [
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"),
 ]
-ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)  # the date pattern has the only group, so \\1 stays right
+#: Cards and IBANs among other digits and capitals: where one may start, and the runs of groups in which it is looked for.
+STARTS = {"card": r"(?<![0-9+])(?<!(?:^|[^0-9])-)", "iban": "(?<![A-Za-z0-9])"}
+ENDS = {"card": "(?![0-9])", "iban": "(?![A-Za-z0-9])"}
+RUNS = {
+    "card": r"[0-9]{1,19}(?:[ -][0-9]{1,19}){0,18}",
+    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{0,30}(?: [A-Z0-9]{1,30}){0,9}",
+}
+NONE = "(?!)"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO GT HU LB PL",
+    29: "BR PS QA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+LENGTH_OF = {c: n for n, cs in IBAN_LENGTHS.items() for c in cs.split()}
 
 
 def _long(c: Column) -> Column:
@@ -167,7 +181,7 @@ def luhn_sum(digits: Column) -> Column:
 def _card(m: Column, key: str) -> Column:
     body = F.substring(m, F.lit(1), F.length(m) - 1)
     check = lambda p: F.pmod(-luhn_sum(F.concat(_digits_only(p), F.lit("0"))), F.lit(10)).cast("string")
-    return F.when(luhn_sum(_digits_only(m)) % 10 == 0, _let(permuted(body, key, "card"), lambda p: F.concat(p, check(p))))
+    return F.when(_luhn_right(m), _let(permuted(body, key, "card"), lambda p: F.concat(p, check(p))))
 
 
 def _mod97(s: Column) -> Column:
@@ -179,15 +193,13 @@ def _mod97(s: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    plain = F.regexp_replace(m, " ", "")
-    right = _mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1
     country = F.substring(m, 1, 2)
 
     def whole(rest: Column) -> Column:
         check = 98 - _mod97(F.concat(F.regexp_replace(rest, " ", ""), country, F.lit("00")))
         return F.concat(country, F.lpad(check.cast("string"), 2, "0"), rest)
 
-    return F.when(right, _let(permuted(F.substring(m, F.lit(5), F.length(m)), key, "iban"), whole))
+    return F.when(_iban_right(m), _let(permuted(F.substring(m, F.lit(5), F.length(m)), key, "iban"), whole))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -265,6 +277,53 @@ MAKERS = {
 }
 
 
+def _luhn_right(m: Column) -> Column:
+    return luhn_sum(_digits_only(m)) % 10 == 0
+
+
+def _iban_right(m: Column) -> Column:
+    plain = F.regexp_replace(m, " ", "")
+    return _mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1
+
+
+def _cards(run: Column) -> Column:
+    """Card numbers at the start of a run of groups, the longest first."""
+    tries = [F.regexp_extract(run, f"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", 0) for n in range(19, 12, -1)]
+    return F.filter(F.array(*tries), lambda m: (m != "") & _luhn_right(m))
+
+
+def _ibans(run: Column) -> Column:
+    """IBANs at the start of a run of groups: the length of the country first, then the longest."""
+    groups = F.split(run, " ")
+    tries = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, 1, k), " "))
+    form = dict(PATTERNS)["iban"]
+    right = F.filter(tries, lambda m: m.rlike(f"^{form}$") & _iban_right(m))
+    length = F.create_map(*[F.lit(x) for pair in LENGTH_OF.items() for x in pair])
+    own = lambda m: F.length(F.regexp_replace(m, " ", "")) == F.coalesce(F.try_element_at(length, F.substring(m, 1, 2)), F.lit(0))
+    return F.concat(F.filter(right, own), right)
+
+
+def _pattern(t: Column) -> Column:
+    """The pattern for one text: all kinds, with the cards and IBANs that pass their check listed as values.
+
+    Runs are looked at from every start, so a value is found whatever stands
+    beside it, and no match that fails its check covers another value.
+    """
+
+    def listed(kind: str, first) -> Column:
+        runs = F.array_distinct(F.regexp_extract_all(t, F.lit(f"{STARTS[kind]}(?=({RUNS[kind]}){ENDS[kind]})"), F.lit(1)))
+        best = F.filter(F.transform(runs, lambda run: F.get(first(run), 0)), lambda m: m.isNotNull())
+        # of values with the same start the longest goes first
+        best = F.reverse(F.array_sort(F.array_distinct(best)))
+        values = F.concat(F.lit(f"{STARTS[kind]}(?:"), F.array_join(best, "|"), F.lit(f"){ENDS[kind]}"))
+        return F.when(F.size(best) > 0, values).otherwise(F.lit(NONE))
+
+    # the date pattern has the only group, so \\1 stays right
+    lists = {"card": listed("card", _cards), "iban": listed("iban", _ibans)}
+    parts = [F.concat(F.lit("(?:"), lists.get(k, F.lit(p)), F.lit(")")) for k, p in PATTERNS]
+    return F.concat_ws("|", *parts)
+
+
 def _named(kind: str, new: Column) -> Column:
     return F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("new")))
 
@@ -280,15 +339,16 @@ def _found(m: Column, key: str) -> Column:
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The table with ``text_col`` replaced, and ``pii_kinds``: the kind of each value replaced, in order."""
-    found, between = "_found", "_between"
-    while {found, between} & set(docs.columns):
-        found, between = found + "_", between + "_"
+    found, between, pattern = "_found", "_between", "_pattern"
+    while {found, between, pattern} & set(docs.columns):
+        found, between, pattern = found + "_", between + "_", pattern + "_"
     t = F.col(text_col)
-    # most texts have no digit and no @; those go through untouched
-    some = t.rlike("[0-9@]")
-    matches = F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("old"), _found(m, key).alias("f")))
-    out = docs.withColumns({found: F.when(some, matches), between: F.when(some, F.split(t, ANY, -1))})
+    # texts without a digit, an @ or the name of a secret go through untouched
+    some = t.rlike("[0-9@]|AKIA|(?:password|passwd|secret|token|api_key|apikey) {0,2}[=:]")
+    docs = docs.withColumn(pattern, F.when(some, _pattern(t)))
+    matches = F.transform(F.regexp_extract_all(t, F.col(pattern), F.lit(0)), lambda m: F.struct(m.alias("old"), _found(m, key).alias("f")))
+    out = docs.withColumns({found: F.when(F.col(pattern).isNotNull(), matches), between: F.when(F.col(pattern).isNotNull(), F.split(t, F.col(pattern), -1))})
     new = F.zip_with(F.col(between), F.col(found), lambda b, f: F.concat(b, F.coalesce(f["f"]["new"], f["old"], F.lit(""))))
     kinds = F.filter(F.transform(F.col(found), lambda x: x["f"]["kind"]), lambda x: x.isNotNull())
     empty = F.array().cast("array<string>")
-    return out.withColumns({text_col: F.coalesce(F.array_join(new, ""), t), "pii_kinds": F.coalesce(kinds, empty)}).drop(found, between)
+    return out.withColumns({text_col: F.coalesce(F.array_join(new, ""), t), "pii_kinds": F.coalesce(kinds, empty)}).drop(found, between, pattern)
