@@ -35,10 +35,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component, and documents without an id."""
-    # written, so that the join with the texts is planned by the number of ids that go
-    gone = cut_lineage(near_dup.classes(docs, percent=NEAR_PERCENT).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Keeps one row of each component: with the smallest id, a null id being the largest, then with the smallest hash of its text.
+
+    Rows are known by their id and their text, and equal texts are one document
+    for the search, whatever their ids. Texts without a word are all kept.
+    """
+    row = [F.col("doc_id"), F.xxhash64("text")]
+    ids = docs.filter(F.col("text").rlike("[^ \\t-\\r]")).select(row[0].alias("_id"), row[1].alias("_text"))
+    texts = docs.select(row[1].alias("_text"), "text")
+    found = near_dup.classes(texts, id_col="_text", percent=NEAR_PERCENT).filter("not kept and n_shingles > 0")
+    # written, so that the joins are planned by the number of rows that go
+    moved = cut_lineage(found.select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_to")).distinct())
+    ids = ids.join(moved, "_text", "left").withColumn("_to", F.coalesce("_to", "_text"))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_text").alias("text"))
+    best = ids.groupBy("_to").agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    many = cut_lineage(ids.join(cut_lineage(best), "_to").withColumn("first", order == F.col("best")).groupBy("_id", "_text", "first").count())
+    gone = cut_lineage(many.filter("not first or count > 1").select("_id", "_text"))
+    same = row[0].eqNullSafe(F.col("_id")) & (row[1] == F.col("_text"))
+    # a null text has no row among those that go
+    out = docs.join(gone, same, "left_anti")
+    twice = cut_lineage(many.filter("first and count > 1").select("_id", "_text"))
+    if twice.limit(1).count():
+        again = docs.join(twice, same, "left_semi")
+        whole = again.groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(F.max(F.struct(*docs.columns)).alias("row"))
+        out = out.union(whole.select("row.*"))
+    return out
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

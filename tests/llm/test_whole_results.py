@@ -87,3 +87,12 @@ def test_digits_that_are_no_value_stay(spark):
     texts = ["4111111111111112 12/27", "1 2 3 4 5 6 7 8 9", "BE68 5390 0754 7035 BIC", "4111111111111112", "no password here"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     assert [r["text"] for r in pii.pseudonymised(df, "key").collect()] == texts
+
+
+def test_pipeline_keeps_one_row_of_repeated_rows_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a + " more"), (None, b), (None, b), (None, b + " more"), (5, a), (5, c), (7, None), (8, " "), (8, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert len(got) == 6 and {(1, a), (5, c), (7, None), (8, " ")} <= set(got) and got.count((8, " ")) == 2
+    assert [i for i, t in got if t in (b, b + " more")] == [None]
