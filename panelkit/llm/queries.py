@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, imatch, lang_mix, lm_automaton, near_dup, packing, pii, quality_gam, quality_rules, url_filter
+from . import bpe_tree, imatch, lang_mix, line_dedup, lm_automaton, near_dup, packing, pii, quality_gam, quality_rules, url_filter
 from .common import id_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,20 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe_tree.encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
+
+
+OP13_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+many AS (SELECT key FROM k WHERE length(key) >= {line_dedup.MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_DOCS}),
+j AS (SELECT k.*, many.key IS NOT NULL AS lost FROM k LEFT JOIN many USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
+
+
+@query("op13_line_dedup", OP13_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
