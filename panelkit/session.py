@@ -54,13 +54,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows once, as Parquet in the shared folder, and read them back.
 
     The result survives executor loss and does not change when a stage is run
-    again. The files go when the driver ends.
+    again. The files go when the driver ends, or earlier by ``drop_table``.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/panelkit-{uuid.uuid4().hex}"
     df.write.parquet(path)
     delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop_table(*written: DataFrame) -> None:
+    """Delete the files of tables that ``cut_lineage`` wrote, once all that reads them has been written itself."""
+    for df in written:
+        spark = df.sparkSession
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jpath, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
