@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, imatch, lang_mix, line_dedup, lm_automaton, near_dup, packing, pii, quality_gam, quality_rules, url_filter
+from . import bpe_tree, imatch, lang_mix, line_dedup, lm_automaton, near_dup, packing, pii, quality_gam, quality_rules, url_filter, vector_codes
 from .common import id_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,12 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return bpe_tree.encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+@query("op12_vector_codes")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    out = vector_codes.compress(table(spark, sf, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 OP13_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
