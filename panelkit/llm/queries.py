@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, imatch, lang_mix, line_dedup, lm_automaton, near_dup, packing, pii, quality_gam, quality_rules, url_filter, vector_codes
+from . import bpe_tree, conversation_repair, imatch, lang_mix, line_dedup, lm_automaton, near_dup, packing, pii, quality_gam, quality_rules, url_filter, vector_codes
 from .common import id_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,14 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return bpe_tree.encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    chats = table(spark, sf, "conversations")
+    rows, present = conversation_repair.damaged(chats)
+    out = conversation_repair.summaries(conversation_repair.edits(rows, present=present))
+    return out.withColumn("conv_id", F.when(~F.col("no_id"), F.col("conv_id").cast(dict(chats.dtypes)["conv_id"]))).drop("no_id")
+
+
 @query("op12_vector_codes")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     out = vector_codes.compress(table(spark, sf, "embeddings"))
