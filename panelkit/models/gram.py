@@ -83,10 +83,3 @@ def solve_spd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def inverse_spd(a: np.ndarray) -> np.ndarray:
     return solve_spd(a, np.eye(len(a)))
-
-
-def positive_inverse(a: np.ndarray, tol: float = 1e-10) -> np.ndarray:
-    """Inverse on the eigenvectors with a positive eigenvalue, zero elsewhere."""
-    w, v = np.linalg.eigh(a)
-    keep = w > tol * w.max()
-    return (v[:, keep] / w[keep]) @ v[:, keep].T

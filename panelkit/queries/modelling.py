@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import columns as fc
 from ..functions.columns import guarded_log, one_hot
-from ..models import glm, linear, robust, spec_tests
+from ..models import fgls, glm, linear, robust, spec_tests
 from ..operators import describe, joins, lags, ranking, smooth
 from .base import cte, longs, pa, pb, query, raw, rounded
 from .describing import lowess_ctes
@@ -264,8 +264,51 @@ def _(spark, sf):
 @query("m11_fgls_within")
 def _(spark, sf):
     df = pb(spark, sf)
-    fit = linear.fgls_within(df, "ly", XS, "l_suppkey", "t", df.agg(F.max("t")).first()[0])
-    return coef_out(linear.coef_table(fit))
+    return coef_out(linear.coef_table(fgls.fgls_within(df, "ly", XS, "l_suppkey", "t")))
+
+
+FGLS_T = 6  # periods of the short panel
+
+
+def _fgls_ctes() -> None:
+    """Residual covariance of the within fit, inverted by elimination; the last time is redundant once demeaned."""
+    cte("pby", f"""SELECT l_suppkey, CAST(floor((t - 1) / 14) AS INTEGER) AS t, CAST(sum(y) AS DOUBLE) AS y, avg(x1) AS x1, avg(x2) AS x2,
+      ln(CAST(sum(y) AS DOUBLE)) AS ly FROM pb GROUP BY 1, 2""", ("pb",))
+    linear_ctes("wy", "pby", "ly", "x1", "x2", "l_suppkey")
+    cte("fo", """SELECT a.t AS i, b.t AS j, sum(a.u * b.u) / count(*) AS v FROM wyd a JOIN wyd b USING (l_suppkey) GROUP BY 1, 2""", ("wyd",))
+    cte("fa0", f"""SELECT i, j, v FROM fo WHERE i < {FGLS_T - 1} AND j < {FGLS_T - 1} UNION ALL
+      SELECT i, {FGLS_T} + i, 1.0::DOUBLE FROM fo WHERE j = 0 AND i < {FGLS_T - 1}""", ("fo",))
+    for k in range(FGLS_T - 1):
+        # row k is scaled, then taken from the others; absent cells are zero
+        cte(f"fr{k}", f"SELECT r.j, r.v / d.v AS v FROM fa{k} r, fa{k} d WHERE r.i = {k} AND d.i = {k} AND d.j = {k}", (f"fa{k}",))
+        cte(
+            f"fa{k + 1}",
+            f"""SELECT i, j, sum(v) AS v FROM (
+                  SELECT i, j, v FROM fa{k} WHERE i <> {k} UNION ALL SELECT {k}, j, v FROM fr{k} UNION ALL
+                  SELECT c.i, r.j, -c.v * r.v FROM fa{k} c, fr{k} r WHERE c.j = {k} AND c.i <> {k}) GROUP BY 1, 2""",
+            (f"fa{k}", f"fr{k}"),
+        )
+    cte(
+        "fm",
+        f"""SELECT sum(a.d1 * o.v * b.d1) AS a, sum(a.d1 * o.v * b.d2) AS b, sum(a.d2 * o.v * b.d2) AS c, sum(a.d1 * o.v * b.dy) AS p,
+              sum(a.d2 * o.v * b.dy) AS q
+            FROM wyd a JOIN (SELECT i, j - {FGLS_T} AS j, v FROM fa{FGLS_T - 1} WHERE j >= {FGLS_T}) o ON a.t = o.i
+            JOIN wyd b ON b.l_suppkey = a.l_suppkey AND b.t = o.j""",
+        ("wyd", f"fa{FGLS_T - 1}"),
+    )
+    cte("fgf", """SELECT (c * p - b * q) / (a * c - b * b) AS b1, (a * q - b * p) / (a * c - b * b) AS b2, c / (a * c - b * b) AS v11,
+      a / (a * c - b * b) AS v22 FROM fm""", ("fm",))
+
+
+_fgls_ctes()
+
+
+@query("m11_fgls_short", coef_sql("fg", [("x1", "b1", "v11"), ("x2", "b2", "v22")]), ("fgf",))
+def _(spark, sf):
+    """Supplier totals over periods of 14 months, which every supplier has."""
+    df = pb(spark, sf).withColumn("t", F.floor((F.col("t") - 1) / 14).cast("int")).groupBy("l_suppkey", "t")
+    df = df.agg(F.sum("y").alias("y"), F.avg("x1").alias("x1"), F.avg("x2").alias("x2")).withColumn("ly", guarded_log(F.col("y")))
+    return coef_out(linear.coef_table(fgls.fgls_within(df, "ly", XS, "l_suppkey", "t")))
 
 
 @query(

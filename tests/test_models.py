@@ -184,46 +184,6 @@ def test_poisson_two_way_cluster(panel):
     assert np.allclose(robust.vcov_poisson_cluster(fit, ["e", "t"]), want, rtol=1e-5)
 
 
-def test_fgls_with_identity_covariance_is_within(spark, panel):
-    df, xs = panel
-    fit = linear.within(df, "ly", xs[:3], "e", ["t"])
-    means = fit.means
-    cols = [*fit.xs, "ly"]
-    blocks = fit.scored().groupBy("e").agg(F.collect_list(F.struct("t", *cols)).alias("r"))
-    blocks = blocks.select(
-        F.transform("r", lambda r: r["t"].cast("double")).alias("t"), F.lit(0).alias("u"),
-        *[F.transform("r", linear._minus(c, means[c])).alias(f"_x{i}") for i, c in enumerate(cols)],
-    )
-    gls = linear._gls(fit, blocks, np.eye(40), 3)
-    assert np.allclose(gls.beta, fit.beta, atol=1e-8)
-
-
-def test_fgls_matches_numpy_and_refuses_long_panels(panel):
-    df, xs = panel
-    df, xs = df.filter("t <= 8"), xs[2:4]
-    e, t, x, y = to_numpy(df, xs, "ly")
-    fit = linear.within(df, "ly", xs, "e", ["t"])
-    xd, yd = demeaned(x, e), demeaned(y, e)
-    u = yd - xd @ fit.beta
-    num, cnt = np.zeros((8, 8)), np.zeros((8, 8))
-    for i in range(25):
-        j = t[e == i] - 1
-        num[np.ix_(j, j)] += np.outer(u[e == i], u[e == i])
-        cnt[np.ix_(j, j)] += 1
-    om = num / np.maximum(cnt, 1)
-    a, b = np.zeros((2, 2)), np.zeros(2)
-    for i in range(25):
-        j = t[e == i] - 1
-        w, v = np.linalg.eigh(om[np.ix_(j, j)])
-        p = sum(np.outer(v[:, q], v[:, q]) / w[q] for q in range(len(w)) if w[q] > 1e-10 * w.max())
-        a += xd[e == i].T @ p @ xd[e == i]
-        b += xd[e == i].T @ p @ yd[e == i]
-    gls = linear.fgls_within(df, "ly", xs, "e", "t", 8)
-    assert np.allclose(gls.beta, np.linalg.solve(a, b), rtol=1e-6)
-    with pytest.raises(ValueError):
-        linear.fgls_within(df, "ly", xs, "e", "t", 401)
-
-
 def test_spec_tests_react(panel):
     df, xs = panel
     pool = linear.ols_pooled(df, "ly", xs[:4], ["e", "t"])
