@@ -9,9 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, drop_table
+
 # Above this many columns the cross products no longer fit one generated method
 # (23 s against 1 s measured for 25 columns), so partitions add them up in numpy.
 MAX_SQL_COLUMNS = 9
+MERGED = 32  # R factors that one task merges
+ILL = 1e8  # condition of the scaled cross products from which a fit goes by QR
 
 
 @dataclass
@@ -69,6 +73,66 @@ def moments(df: DataFrame, cols: list[Column], weight: Column | None = None) ->
     return _to_moments([r["v"] for r in sorted(sums.collect(), key=lambda r: r["i"])], k)
 
 
+def ill_conditioned(a: np.ndarray) -> bool:
+    """Whether normal equations would lose more than half of all digits."""
+    d = np.sqrt(np.clip(np.diag(a), 0, None))
+    return not np.all(d > 0) or np.linalg.cond(a / np.outer(d, d)) > ILL
+
+
+def triangle(df: DataFrame, cols: list[Column]) -> np.ndarray:
+    """R of the QR decomposition of all rows: R'R = X'X without ever forming a product.
+
+    Every task reduces its rows batch by batch to one R; ``MERGED`` of those make
+    a new one, level by level, until one task's worth is left for the driver.
+    """
+    k = len(cols)
+    rows = df.select(*[c.cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+
+    def shown(r: np.ndarray):
+        import pandas as pd
+
+        return pd.DataFrame({"r": [np.vstack([r, np.zeros((k - len(r), k))]).ravel()]})
+
+    def reduce_rows(batches: Iterator) -> Iterator:
+        r = np.zeros((0, k))
+        for b in batches:
+            r = np.linalg.qr(np.vstack([r, b.to_numpy(dtype=float)]), mode="r")
+        if len(r):
+            yield shown(r)
+
+    def merge(batches: Iterator) -> Iterator:
+        r = np.zeros((0, k))
+        for b in batches:
+            for other in b["r"]:
+                r = np.linalg.qr(np.vstack([r, np.asarray(other).reshape(k, k)]), mode="r")
+        if len(r):
+            yield shown(r)
+
+    level = cut_lineage(rows.mapInPandas(reduce_rows, "r array<double>"))
+    while (n := level.count()) > MERGED:
+        merged = cut_lineage(level.repartition(-(-n // MERGED)).mapInPandas(merge, "r array<double>"))
+        drop_table(level)
+        level = merged
+    top = [np.asarray(row["r"]).reshape(k, k) for row in level.collect()]  # at most MERGED
+    drop_table(level)
+    return np.linalg.qr(np.vstack([np.zeros((k, k)), *top]), mode="r")
+
+
+def independent(r: np.ndarray, k: int, whole: np.ndarray, tol: float = 1e-7) -> tuple[list[int], np.ndarray]:
+    """The first k columns that do not depend on those before them, and R of these and of the columns behind the k.
+
+    A column depends if less than ``tol`` of its length is left beside the others,
+    or no more than rounding of its length before effects were taken out (``whole``).
+    """
+    keep = list(range(r.shape[1]))
+    for j in range(k):
+        at = keep.index(j)
+        small = np.linalg.qr(r[:, keep], mode="r")
+        if abs(small[at, at]) <= max(tol * np.linalg.norm(small[: at + 1, at]), 1e-12 * whole[j]):
+            keep.remove(j)
+    return [j for j in keep if j < k], np.linalg.qr(r[:, keep], mode="r")
+
+
 def solve_spd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Solve after scaling to a unit diagonal; collinear columns raise an error."""
     d = np.diag(a)

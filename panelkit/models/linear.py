@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.columns import add_coef_terms
 from ..operators.slices import join_spread
-from .gram import cross_sums, inverse_spd, moments, solve_spd
+from .gram import MAX_SQL_COLUMNS, cross_sums, ill_conditioned, independent, inverse_spd, moments, solve_spd, triangle
 
 
 def estimation_sample(df: DataFrame, y: str, xs: list[str], keys: list[str], positive: list[str] = ()) -> DataFrame:
@@ -45,6 +45,7 @@ class LinearFit:
     n_entities: int | None = None
     fixef: DataFrame | None = None  # entity, n_i, fe
     means: dict[str, float] = field(default_factory=dict)
+    dropped: list[str] = field(default_factory=list)  # columns that depend on those before them
 
     @property
     def slopes(self) -> dict[str, float]:
@@ -93,60 +94,111 @@ def _shifted(cols: list[str], means: dict[str, float]) -> list[Column]:
     return [F.col(c) - F.lit(means[c]) for c in cols]
 
 
-def ols_pooled(df: DataFrame, y: str, xs: list[str], keys: list[str] = (), positive: list[str] = ()) -> LinearFit:
-    """Ordinary least squares with an intercept."""
+def _by_qr(rows: DataFrame, cols: list[Column], whole: list[Column], skip: int = 0) -> tuple[list[int], np.ndarray, float, float, np.ndarray, np.ndarray]:
+    """Kept columns, slopes, RSS, TSS, (X'X)^-1 and the first ``skip`` rows of R, from R of [skip columns, X, y].
+
+    ``whole`` are the covariates before entity effects are taken out.
+    """
+    k = len(whole)
+    lengths = np.sqrt(np.array(rows.agg(*[F.sum(c * c) for c in whole]).first(), float))
+    r = triangle(rows, cols)
+    lead, rest = r[:skip], r[skip:, skip:]
+    keep, small = independent(rest, k, lengths)
+    m = len(keep)
+    if not m:
+        raise np.linalg.LinAlgError("no column varies")
+    inverse = np.linalg.inv(small[:m, :m])
+    beta = inverse @ small[:m, m]
+    rss = float(small[m, m] ** 2)
+    return keep, beta, rss, rss + float(small[:m, m] @ small[:m, m]), inverse @ inverse.T, lead
+
+
+def ols_pooled(df: DataFrame, y: str, xs: list[str], keys: list[str] = (), positive: list[str] = (), qr: bool | None = None) -> LinearFit:
+    """Ordinary least squares with an intercept.
+
+    Many or nearly collinear columns go by QR of the rows (``qr`` forces it), the
+    others by cross products. Columns that depend on earlier ones are left out and named in ``dropped``.
+    """
     sample = _keep(estimation_sample(df, y, xs, list(keys), positive))
     means = _shifts(sample, [*xs, y])
-    m = moments(sample, _shifted([*xs, y], means))
-    c = m.centred()
-    k, n = len(xs), int(round(m.n))
-    slopes = solve_spd(c[:k, :k], c[:k, k])
-    tss = float(c[k, k])
-    rss = float(tss - slopes @ c[:k, k])
+    by_qr = len(xs) + 1 > MAX_SQL_COLUMNS if qr is None else qr
+    m = None if by_qr else moments(sample, _shifted([*xs, y], means))
+    by_qr = by_qr or (qr is None and ill_conditioned(m.centred()[: len(xs), : len(xs)]))
+    names = list(xs)
+    if by_qr:
+        keep, slopes, rss, tss, bread, lead = _by_qr(sample, [F.lit(1.0), *_shifted([*xs, y], means)], _shifted(xs, means), 1)
+        names = [xs[i] for i in keep]
+        n = int(round(lead[0, 0] ** 2))
+        left = lead[0, 1:] / lead[0, 0]  # what the means miss
+        mu, my = np.array([means[xs[i]] + left[i] for i in keep]), means[y] + left[-1]
+    else:
+        c = m.centred()
+        k, n = len(xs), int(round(m.n))
+        slopes = solve_spd(c[:k, :k], c[:k, k])
+        tss = float(c[k, k])
+        rss = float(tss - slopes @ c[:k, k])
+        bread = inverse_spd(c[:k, :k])
+        mu, my = np.array([means[x] for x in xs]) + m.s[:k] / m.n, means[y] + m.s[k] / m.n
+    k = len(names)
     df_resid = n - k - 1
     sigma2 = rss / df_resid
-    bread = inverse_spd(c[:k, :k])
-    mu = np.array([means[x] for x in xs]) + m.s[:k] / m.n
-    b0 = means[y] + m.s[k] / m.n - mu @ slopes
+    b0 = my - mu @ slopes
     v = np.zeros((k + 1, k + 1))
     v[1:, 1:] = bread
     v[0, 1:] = v[1:, 0] = -bread @ mu
     v[0, 0] = 1 / n + mu @ bread @ mu
     return LinearFit(
-        "pooled", y, list(xs), ["(Intercept)", *xs], np.append(b0, slopes), sigma2 * v, sigma2, n, df_resid,
-        rss, tss, bread, sample, means=means,
+        "pooled", y, names, ["(Intercept)", *names], np.append(b0, slopes), sigma2 * v, sigma2, n, df_resid,
+        rss, tss, bread, sample, means=means, dropped=[x for x in xs if x not in names],
     )
 
 
-def within(df: DataFrame, y: str, xs: list[str], entity: str, keys: list[str] = (), positive: list[str] = ()) -> LinearFit:
+def within(
+    df: DataFrame, y: str, xs: list[str], entity: str, keys: list[str] = (), positive: list[str] = (), qr: bool | None = None
+) -> LinearFit:
     """Entity fixed effects (one-way within estimator).
 
     The demeaned cross products are the total ones minus the between part
     sum_i n_i xbar_i xbar_i', so no demeaned row is ever formed or shuffled: one
     pass adds up the products, one partial aggregation makes entity sums.
+
+    Many or nearly collinear columns go by QR of the demeaned rows instead (``qr``
+    forces it): products would square the condition. Columns that depend on
+    earlier ones are left out and named in ``dropped``.
     """
     sample = _keep(estimation_sample(df, y, xs, [entity, *keys], positive))
     cols = [*xs, y]
     means = _shifts(sample, cols)
-    total = moments(sample, _shifted(cols, means))
     sums = [F.sum(c).alias(f"_s{i}") for i, c in enumerate(_shifted(cols, means))]
     ent = sample.groupBy(entity).agg(F.count(F.lit(1)).alias("n_i"), *sums)
-    between = moments(ent, [F.col(f"_s{i}") / F.sqrt("n_i") for i in range(len(cols))])
-    k, n, g = len(xs), int(round(total.n)), int(round(between.n))
-    c = total.c - between.c
-    beta = solve_spd(c[:k, :k], c[:k, k])
-    tss = float(c[k, k])
-    rss = float(tss - beta @ c[:k, k])
-    df_resid = n - g - k
+    k, names = len(xs), list(xs)
+    by_qr = k + 1 > MAX_SQL_COLUMNS if qr is None else qr
+    if not by_qr:
+        total = moments(sample, _shifted(cols, means))
+        between = moments(ent, [F.col(f"_s{i}") / F.sqrt("n_i") for i in range(len(cols))])
+        n, g = int(round(total.n)), int(round(between.n))
+        c = total.c - between.c
+        by_qr = qr is None and ill_conditioned(c[:k, :k])
+    if by_qr:
+        rows = join_spread(sample, ent, entity)
+        dm = [s - F.col(f"_s{i}") / F.col("n_i") for i, s in enumerate(_shifted(cols, means))]
+        keep, beta, rss, tss, bread, _ = _by_qr(rows, dm, _shifted(xs, means))
+        names = [xs[i] for i in keep]
+        n, g = (int(v) for v in ent.agg(F.sum("n_i"), F.count(F.lit(1))).first())
+    else:
+        beta = solve_spd(c[:k, :k], c[:k, k])
+        tss = float(c[k, k])
+        rss = float(tss - beta @ c[:k, k])
+        bread = inverse_spd(c[:k, :k])
+    df_resid = n - g - len(names)
     sigma2 = rss / df_resid
-    bread = inverse_spd(c[:k, :k])
     fe = F.col(f"_s{k}") / F.col("n_i") + F.lit(means[y])
-    for i, x in enumerate(xs):
-        fe = fe - F.lit(float(beta[i])) * (F.col(f"_s{i}") / F.col("n_i") + F.lit(means[x]))
+    for b, x in zip(beta, names):
+        fe = fe - F.lit(float(b)) * (F.col(f"_s{xs.index(x)}") / F.col("n_i") + F.lit(means[x]))
     fixef = ent.select(entity, "n_i", fe.alias("fe"))
     return LinearFit(
-        "within", y, list(xs), list(xs), beta, sigma2 * bread, sigma2, n, df_resid, rss, tss, bread, sample,
-        entity, g, fixef, means,
+        "within", y, names, names, beta, sigma2 * bread, sigma2, n, df_resid, rss, tss, bread, sample,
+        entity, g, fixef, means, [x for x in xs if x not in names],
     )
 
 

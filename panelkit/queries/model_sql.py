@@ -89,3 +89,22 @@ def poisson_ctes(p: str, src: str, y: str, x1: str, x2: str, entity: str) -> Non
               SELECT r.*, xb1, xb2, exp(b1 * z1 + b2 * z2 + fe) AS lam FROM {p}s r JOIN {p}e USING ({entity}), {p}f) r""",
         (f"{p}s", f"{p}e", f"{p}f"),
     )
+
+
+def inverse_cte(name: str, cells: str, k: int, needs: tuple[str, ...]) -> None:
+    """``name`` (i, j, v): the inverse of the k x k matrix that ``cells`` gives as (i, j, v), counted from 1.
+
+    Rows are lists, with the unit matrix behind; column by column is eliminated.
+    """
+    body = f"""SELECT list(r ORDER BY i) AS m FROM (
+                 SELECT i, list_concat(list(v ORDER BY j), list_transform(range(1, {k + 1}), lambda c: CASE WHEN c = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS r
+                 FROM ({cells}) GROUP BY i)"""
+    for c in range(1, k + 1):
+        body = f"""SELECT list_transform(m, lambda r, i: CASE WHEN i = {c} THEN list_transform(r, lambda v: v / r[{c}])
+                     ELSE list_transform(r, lambda v, j: v - r[{c}] * m[{c}][j] / m[{c}][{c}]) END) AS m FROM ({body})"""
+    cte(
+        name,
+        f"""SELECT i, unnest(range(1, {k + 1})) AS j, unnest(m[i][{k + 1}:{2 * k}]) AS v
+            FROM (SELECT m, unnest(range(1, {k + 1})) AS i FROM ({body}))""",
+        needs,
+    )

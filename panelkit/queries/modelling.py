@@ -8,10 +8,11 @@ from ..functions import calendar as cal
 from ..functions import columns as fc
 from ..functions.columns import guarded_log, one_hot
 from ..models import fgls, glm, linear, robust, spec_tests
+from ..models.poisson_two import poisson_two_way
 from ..operators import describe, joins, lags, ranking, smooth
 from .base import cte, longs, pa, pb, query, raw, rounded
 from .describing import lowess_ctes
-from .model_sql import ITERATIONS, linear_ctes, poisson_ctes
+from .model_sql import ITERATIONS, inverse_cte, linear_ctes, poisson_ctes
 
 linear_ctes("w", "pb", "ly", "x1", "x2", "l_suppkey")
 linear_ctes("p", "pb", "ly", "x1", "x2", None)
@@ -196,9 +197,48 @@ def _(spark, sf):
     return coef_out(linear.coef_table(within_fit(spark, sf)))
 
 
-@query("m6_within_full")
+FULL = ["x", "x_sq", "rain", *[f"weekday_{d}" for d in cal.WEEKDAY_LEVELS[1:]], "cold", "ll"]
+
+
+def _full_ctes() -> None:
+    number = {d: k for k, d in enumerate(cal.WEEKDAYS, 1)}
+    days = ", ".join(f"CASE WHEN isodow(a.d) = {number[d]} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for d in cal.WEEKDAY_LEVELS[1:])
+    cte(
+        "fl0",
+        f"""SELECT row_number() OVER () AS r, a.user_id, ln(CAST(a.y AS DOUBLE)) AS ly,
+              [a.x, a.x * a.x, a.rain, {days}, CASE WHEN a.temp <= 49.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, ln(CAST(b.y AS DOUBLE))] AS xs
+            FROM pa a JOIN pa b ON a.user_id = b.user_id AND b.t = a.t - 7 WHERE a.y > 0 AND b.y > 0 AND a.x IS NOT NULL""",
+        ("pa",),
+    )
+    cte("fl1", f"SELECT r, user_id, ly, unnest(xs) AS v, unnest(range(1, {len(FULL) + 1})) AS j FROM fl0", ("fl0",))
+    cte(
+        "fl",
+        "SELECT r, user_id, j, v - avg(v) OVER (PARTITION BY user_id, j) AS d, ly - avg(ly) OVER (PARTITION BY user_id, j) AS e FROM fl1",
+        ("fl1",),
+    )
+    cte("flc", "SELECT a.j AS i, b.j AS j, sum(a.d * b.d) AS v FROM fl a JOIN fl b USING (r) GROUP BY 1, 2", ("fl",))
+    inverse_cte("flv", "SELECT i, j, v FROM flc", len(FULL), ("flc",))
+    cte("flq", "SELECT j, sum(d * e) AS q FROM fl GROUP BY 1", ("fl",))
+    cte("flb", "SELECT v.i, sum(v.v * q.q) AS b FROM flv v JOIN flq q USING (j) GROUP BY 1", ("flv", "flq"))
+    cte(
+        "fls",
+        f"""SELECT (tss - fitted) / (n - g - {len(FULL)}) AS s2 FROM (SELECT sum(b.b * q.q) AS fitted FROM flb b JOIN flq q ON b.i = q.j),
+              (SELECT sum(e * e) AS tss, count(*) AS n, count(DISTINCT user_id) AS g FROM fl WHERE j = 1)""",
+        ("flb", "flq", "fl"),
+    )
+
+
+_full_ctes()
+
+
+@query(
+    "m6_within_full",
+    f"""SELECT {FULL!r}[b.i] AS term, round(b.b, 6) + 0.0 AS estimate, round(sqrt(s2 * v.v), 6) + 0.0 AS std_error,
+          round(b.b / sqrt(s2 * v.v), 4) + 0.0 AS statistic FROM flb b JOIN flv v ON v.i = b.i AND v.j = b.i, fls""",
+    ("flb", "flv", "fls"),
+)
 def _(spark, sf):
-    """Quadratic term, weekday dummies, flag and weekly lag (11 columns)."""
+    """Quadratic term, weekday dummies, flag and weekly lag (11 columns, by QR)."""
     df = cal.add_calendar(lags.gap_aware_lags(pa(spark, sf), "user_id", "t", "y", {"lag7": 7}), "d")
     df, days = one_hot(df, "weekday", cal.WEEKDAY_LEVELS)
     df = df.withColumns(
@@ -239,13 +279,67 @@ def _(spark, sf):
     return coef_out(linear.coef_table(poisson_two(spark, sf)))
 
 
-@query("m9_poisson_fe_months")
+MONTHS = [*XS, *[f"month_{m}" for m in range(2, 13)]]
+
+
+def _months_ctes() -> None:
+    """Newton's method with supplier effects concentrated out and months as columns."""
+    k = len(MONTHS)
+    dummies = ", ".join(f"CASE WHEN month = {m} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for m in range(2, 13))
+    cte("mo", f"SELECT row_number() OVER () AS r, l_suppkey, CAST(y AS DOUBLE) AS y, [x1, x2, {dummies}] AS xs FROM pb", ("pb",))
+    cte("mob0", f"SELECT list_transform(range(1, {k + 1}), lambda i: 0.0::DOUBLE) AS b")
+    cte("mop", f"SELECT unnest(range(1, {k + 1})) AS i")
+    cte("mopp", "SELECT p.i, q.i AS j FROM mop p, mop q", ("mop",))
+    for n in range(ITERATIONS + 1):
+        cte(f"mow{n}", f"SELECT r, l_suppkey, y, xs, exp(list_inner_product(xs, b)) AS w FROM mo, mob{n}", ("mo", f"mob{n}"))
+        cte(
+            f"moe{n}",
+            f"""SELECT l_suppkey, max(rate) AS rate, list(xb ORDER BY i) AS xb FROM (
+                  SELECT l_suppkey, i, sum(y) / sum(w) AS rate, sum(w * xs[i]) / sum(w) AS xb FROM mow{n}, mop GROUP BY 1, 2) GROUP BY 1""",
+            (f"mow{n}", "mop"),
+        )
+        cte(
+            f"mod{n}",
+            f"""SELECT r, y, w * rate AS lam, list_transform(xs, lambda x, i: x - xb[i]) AS d FROM mow{n} JOIN moe{n} USING (l_suppkey)""",
+            (f"mow{n}", f"moe{n}"),
+        )
+        inverse_cte(f"mov{n}", f"SELECT i, j, sum(lam * d[i] * d[j]) AS v FROM mod{n}, mopp GROUP BY 1, 2", k, (f"mod{n}", "mopp"))
+        if n < ITERATIONS:
+            cte(f"mog{n}", f"SELECT i, sum((y - lam) * d[i]) AS v FROM mod{n}, mop GROUP BY 1", (f"mod{n}", "mop"))
+            cte(
+                f"mob{n + 1}",
+                f"""SELECT list(b[i] + v ORDER BY i) AS b FROM mob{n}, (
+                      SELECT h.i, sum(h.v * g.v) AS v FROM mov{n} h JOIN mog{n} g ON h.j = g.i GROUP BY 1)""",
+                (f"mob{n}", f"mov{n}", f"mog{n}"),
+            )
+    cte("mof", f"SELECT v.i, b[v.i] AS b, sqrt(v.v) AS se FROM mov{ITERATIONS} v, mob{ITERATIONS} WHERE v.i = v.j", (f"mov{ITERATIONS}", f"mob{ITERATIONS}"))
+
+
+_months_ctes()
+MONTHS_SQL = f"""SELECT {MONTHS!r}[i] AS term, round(b, 6) + 0.0 AS estimate, round(se, 6) + 0.0 AS std_error, round(b / se, 4) + 0.0 AS statistic FROM mof"""
+
+
+@query("m9_poisson_fe_months", MONTHS_SQL, ("mof",))
 def _(spark, sf):
     """Supplier and month effects (13 columns)."""
     fit = glm.poisson_fe(pb(spark, sf), "y", XS, "l_suppkey", "month", list(range(1, 13)), ["t"])
     return coef_out(linear.coef_table(fit))
 
 
+@query(
+    "m9_poisson_two_way",
+    f"""SELECT {MONTHS!r}[i] AS term, round(b, 6) + 0.0 AS estimate, CASE WHEN i <= {len(XS)} THEN round(se, 6) + 0.0 END AS std_error FROM mof
+        UNION ALL SELECT 'month_1', 0.0::DOUBLE, CAST(NULL AS DOUBLE)""",
+    ("mof",),
+)
+def _(spark, sf):
+    """The same fit with both effects concentrated out: slopes, and the months as levels of the second side."""
+    fit = poisson_two_way(pb(spark, sf), "y", XS, "l_suppkey", "month", ["t"])
+    slopes = linear.coef_table(fit).select("term", "estimate", "std_error")
+    months = fit.other_fixef.select(F.format_string("month_%d", "month").alias("term"), F.col("fe").alias("estimate"), F.lit(None).cast("double").alias("std_error"))
+    return rounded(slopes.unionByName(months), "estimate", "std_error")
+
+
 @query(
     "m10_poisson_fixef",
     """SELECT 'user_id' AS kind, user_id AS level, round(fe, 6) + 0.0 AS fe FROM pwe
