@@ -73,5 +73,20 @@ def drop_table(*written: DataFrame) -> None:
         jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jpath, True)
 
 
+class Scratch:
+    """Tables written on the way to a result, deleted together once it has been written itself."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables.append(cut_lineage(df))
+        return self.tables[-1]
+
+    def drop(self, *but: DataFrame) -> None:
+        drop_table(*[t for t in self.tables if all(t is not b for b in but)])
+        self.tables = list(but)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
