@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
@@ -12,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import add_coef_terms, log_factorial, one_hot
+from ..operators.describe import histogram
+from ..operators.ranking import exact_quantiles
 from ..operators.slices import join_spread
-from ..session import cut_lineage
+from ..session import Scratch, cut_lineage
 from .gram import MAX_SQL_COLUMNS, inverse_spd, moments, solve_spd
 from .linear import _keep, _shifted, _shifts, estimation_sample
 
@@ -63,24 +66,28 @@ def glm_binomial(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
 def glm_poisson_by_entity(df: DataFrame, y: str, x: str, entity: str, tol: float = 1e-10) -> DataFrame:
     """Poisson y ~ 1 + x for every entity, all entities in step.
 
-    An iteration joins the current coefficients to the rows, makes five sums per
-    entity and updates both coefficients in closed form, until no entity moves by
-    ``tol``. Returns (entity, n_i, b0, b1, step, converged): ``step`` is the size of
+    Rows with the same entity and x are merged to one with their number and total. An
+    iteration joins the coefficients of the entities that still move to these,
+    makes five sums per entity and updates both coefficients in closed form, until
+    no entity moves by ``tol``; an entity that has settled is not read again by a
+    join. Returns (entity, n_i, b0, b1, step, converged): ``step`` is the size of
     the last update; the coefficients are null, and ``converged`` false, where x or
     the total of y has no variation to fit. Entities that still move after
     ``MAX_STEPS`` are not ``converged`` either.
     """
-    s = estimation_sample(df, y, [x], [entity]).persist(StorageLevel.MEMORY_AND_DISK)
-    X, Y = F.col(x), F.col(y)
-    cur = s.groupBy(entity).agg(
-        F.count(F.lit(1)).alias("n_i"), F.ln(F.nullif(F.avg(Y), F.lit(0.0))).alias("b0"), F.lit(0.0).alias("b1"),
-        F.avg(X).alias("_mx"), F.lit(None).cast("double").alias("step"),
-    )
-    cur = cut_lineage(cur)
+    scratch = Scratch()
+    X, Y, N = F.col("_x"), F.col("_sy"), F.col("_n")
+    sample = estimation_sample(df, y, [x], [entity])
+    cells = scratch.keep(sample.groupBy(entity, F.col(x).alias("_x")).agg(F.sum(y).alias("_sy"), F.count(F.lit(1)).alias("_n")))
+    start = cells.groupBy(entity).agg(F.sum(N).alias("n_i"), F.sum(Y).alias("_y"), (F.sum(X * N) / F.sum(N)).alias("_mx"))
+    level = F.ln(F.nullif(F.col("_y") / F.col("n_i"), F.lit(0.0)))
+    none = F.lit(None).cast("double")
+    active = scratch.keep(start.select(entity, "n_i", level.alias("b0"), F.lit(0.0).alias("b1"), "_mx", none.alias("step")))
+    settled = []
     for _ in range(MAX_STEPS):
-        rows = join_spread(s, cur, entity)
+        rows = join_spread(cells, active, entity)
         xc = X - F.col("_mx")
-        mu = F.exp(F.col("b0") + F.col("b1") * xc)
+        mu = N * F.exp(F.col("b0") + F.col("b1") * xc)
         r = Y - mu
         sums = rows.groupBy(entity).agg(
             *[F.max(c).alias(c) for c in ("n_i", "b0", "b1", "_mx")],
@@ -92,22 +99,44 @@ def glm_poisson_by_entity(df: DataFrame, y: str, x: str, entity: str, tol: float
         ok = det > 1e-20 * h00 * h00 * F.col("_mx") * F.col("_mx")  # x varies beyond rounding
         d0 = F.when(ok, F.try_divide(h11 * g0 - h01 * g1, det))
         d1 = F.when(ok, F.try_divide(h00 * g1 - h01 * g0, det))
-        cur = cut_lineage(
+        cur = scratch.keep(
             sums.select(
                 entity, "n_i", (F.col("b0") + d0).alias("b0"), (F.col("b1") + d1).alias("b1"), "_mx",
                 F.greatest(F.abs(d0), F.abs(d1)).alias("step"),
             )
         )
         # an exactly solvable entity may swing in the last digit of a large coefficient
-        moved = cur.filter(F.col("step") > tol * (1 + F.abs("b0") + F.abs("b1")))
-        if not moved.limit(1).count():
+        moves = F.coalesce(F.col("step") > tol * (1 + F.abs("b0") + F.abs("b1")), F.lit(False))
+        settled.append(cur.filter(~moves))
+        active = cur.filter(moves)
+        if not active.limit(1).count():
             break
-    s.unpersist()
+    else:
+        settled.append(active)
+    cur = cut_lineage(reduce(DataFrame.union, settled))
+    scratch.drop()
     done = F.coalesce(F.col("step") <= 1e-8 * (1 + F.abs("b0") + F.abs("b1")), F.lit(False))
     b0 = F.col("b0") - F.col("b1") * F.col("_mx")
     return cur.select(entity, "n_i", b0.alias("b0"), "b1", "step", done.alias("converged"))
 
 
+def coefficient_summary(by_entity: DataFrame, pooled: DataFrame, x: str) -> DataFrame:
+    """(coef, stat, value): the distribution of the converged entities' coefficients beside those of the pooled fit."""
+    long = by_entity.filter("converged").unpivot([], ["b0", "b1"], "coef", "v")
+    quartiles = exact_quantiles(long, "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["coef"])
+    ends = long.groupBy("coef").agg(F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"))
+    names = ["min", "q1", "median", "mean", "q3", "max"]
+    out = ends.join(quartiles, "coef").unpivot(["coef"], names, "stat", "value")
+    of = F.when(F.col("term") == "(Intercept)", "b0").when(F.col("term") == x, "b1")
+    every = pooled.select(of.alias("coef"), F.lit("all").alias("stat"), F.col("estimate").alias("value"))
+    return out.unionByName(every)
+
+
+def coefficient_histogram(by_entity: DataFrame, coef: str, lo: float, hi: float, width: float) -> DataFrame:
+    """Counts of the converged entities' coefficients per bin, values beyond the breaks in the outer bins."""
+    return histogram(by_entity.filter("converged"), coef, lo, hi, width)
+
+
 @dataclass
 class PoissonFit:
     """Poisson regression with entity (and time category) effects."""

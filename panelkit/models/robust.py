@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import quadratic_form
+from ..operators.slices import join_spread
 from .glm import PoissonFit
 from .gram import moments
-from .linear import LinearFit, demean
+from .linear import LinearFit
 
 
 def score_meat(rows: DataFrame, scores: list[str], by: list[str]) -> tuple[np.ndarray, int]:
@@ -38,13 +39,26 @@ def vcov_arellano(fit: LinearFit) -> np.ndarray:
 
 
 def vcov_white2_hc3(fit: LinearFit) -> np.ndarray:
-    """One error variance per entity from leverage-adjusted residuals."""
-    rows = demean(fit.scored(), fit.entity, fit.xs)
-    dm = [f"{x}_dm" for x in fit.xs]
+    """One error variance per entity from leverage-adjusted residuals.
+
+    X'X and the mean squared residual are aggregated together per entity and only
+    entity rows are combined. The means come by a join that deals an entity's rows
+    to several tasks, so the sums of a hot entity are partial ones.
+    """
+    sample = fit.scored()
+    k = len(fit.xs)
+    means = sample.groupBy(fit.entity).agg(*[F.avg(x).alias(f"_m{i}") for i, x in enumerate(fit.xs)])
+    dm = [f"_d{i}" for i in range(k)]
+    rows = join_spread(sample.select(fit.entity, "resid", *fit.xs), means, fit.entity)
+    rows = rows.select(fit.entity, "resid", *[(F.col(x) - F.col(f"_m{i}")).alias(d) for i, (x, d) in enumerate(zip(fit.xs, dm))])
     adj = F.col("resid") / (1 - quadratic_form(dm, fit.bread))
     rows = rows.withColumn("_e2", adj * adj)
-    s2 = rows.groupBy(fit.entity).agg(F.avg("_e2").alias("_s2"))
-    meat = moments(rows.join(s2, fit.entity), [F.col(c) for c in dm], F.col("_s2")).c
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = rows.groupBy(fit.entity).agg(F.avg("_e2").alias("_s2"), *[F.sum(F.col(dm[i]) * F.col(dm[j])).alias(f"_p{i}_{j}") for i, j in pairs])
+    row = sums.agg(*[F.sum(F.col("_s2") * F.col(f"_p{i}_{j}")) for i, j in pairs]).first()
+    meat = np.zeros((k, k))
+    for (i, j), v in zip(pairs, row):
+        meat[i, j] = meat[j, i] = v
     return fit.bread @ meat @ fit.bread
 
 

@@ -202,19 +202,28 @@ _wave_ctes("we", False)
 _wave_ctes("wp", True)
 
 
+def known_counts(panel, out):
+    """(user_id, t) of the days with a count, observed before the period or imputed within."""
+    return panel.filter(F.col("t") < FIRST).select("user_id", "t").union(out.select("user_id", "t"))
+
+
+def days_later(known, k):
+    return known.select("user_id", (F.col("t") + k).alias("t"))
+
+
+cte("wave_rows", "SELECT user_id, t, c1, c2, lam_l FROM welf1 UNION ALL SELECT user_id, t, c1, c2, lam_l FROM welf2", ("welf1", "welf2"))
+
+
 @query(
     "i3_lambda_prediction",
-    f"""SELECT user_id, t, round(exp(b1 * d.rain + d.eff + fe + b2 * l.y), 6) + 0.0 AS lambda FROM pa p JOIN pa l USING (user_id)
-        JOIN ime e USING (user_id) JOIN eday d ON d.t = p.t, imf WHERE l.t = p.t - 7 AND p.t BETWEEN {FIRST} AND {FIRST + 6}""".replace(
-        "SELECT user_id, t,", "SELECT user_id, p.t,"
-    ),
-    ("pa", "ime", "imf", "eday"),
+    "SELECT user_id, t, round(lam_l, 6) + 0.0 AS lambda FROM wave_rows WHERE c1 IS NOT NULL AND lam_l IS NOT NULL",
+    ("wave_rows",),
 )
 def _(spark, sf):
-    panel, days, model = imputation_inputs(spark, sf)
-    out, _ = impute.impute_period(panel, days, model, "user_id", "t", "y", FIRST, FIRST + 6, draw="expected")
-    lag = panel.select("user_id", (F.col("t") + 7).alias("t"))  # keep the days with a count one week ago
-    return rounded(out.join(lag, ["user_id", "t"], "left_semi").select("user_id", "t", "lambda"), "lambda")
+    """All waves: means of the days with a count one week ago, which from the second wave on is an imputed one."""
+    panel, out, _ = imputed(spark, sf)
+    out = out.join(days_later(known_counts(panel, out), 7), ["user_id", "t"], "left_semi")
+    return rounded(out.select("user_id", "t", "lambda"), "lambda")
 
 
 @query("i4_impute_expected", "SELECT user_id, t, round(lam, 5) + 0.0 AS lambda, round(yi, 5) + 0.0 AS y_imputed FROM weout WHERE lam IS NOT NULL", ("weout",))
@@ -229,14 +238,14 @@ def _(spark, sf):
 
 @query(
     "i5_fallback_one_week",
-    "SELECT user_id, t, round(lam_l, 5) + 0.0 AS lambda FROM welf1 WHERE c1 IS NULL AND c2 IS NOT NULL AND lam_l IS NOT NULL",
-    ("welf1",),
+    "SELECT user_id, t, round(lam_l, 5) + 0.0 AS lambda FROM wave_rows WHERE c1 IS NULL AND c2 IS NOT NULL AND lam_l IS NOT NULL",
+    ("wave_rows",),
 )
 def _(spark, sf):
+    """All waves: days without a count one week ago but with one two weeks ago."""
     panel, out, _ = imputed(spark, sf)
-    out = out.filter(F.col("t") < FIRST + 7)
-    seen = lambda k: panel.select("user_id", (F.col("t") + k).alias("t"))
-    out = out.join(seen(7), ["user_id", "t"], "left_anti").join(seen(14), ["user_id", "t"], "left_semi")
+    known = known_counts(panel, out)
+    out = out.join(days_later(known, 7), ["user_id", "t"], "left_anti").join(days_later(known, 14), ["user_id", "t"], "left_semi")
     return rounded(out.select("user_id", "t", "lambda"), "lambda", digits=5)
 
 

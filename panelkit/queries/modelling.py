@@ -152,35 +152,73 @@ def _(spark, sf):
 BY_ENTITY = 12  # steps of the SQL; the difference of the last two tells convergence
 
 
-def _by_entity_ctes() -> None:
-    cte("be", "SELECT user_id, CAST(y AS DOUBLE) AS yy, xs, xs - avg(xs) OVER (PARTITION BY user_id) AS z, avg(xs) OVER (PARTITION BY user_id) AS mx FROM pap", ("pap",))
-    cte("beb0", "SELECT user_id, count(*) AS n_i, ln(avg(yy)) AS b0, CAST(0 AS DOUBLE) AS b1, max(mx) AS mx FROM be GROUP BY 1", ("be",))
+def _by_entity_ctes(p: str, key: str) -> None:
+    cte(p, f"SELECT {key}, CAST(y AS DOUBLE) AS yy, xs, xs - avg(xs) OVER (PARTITION BY {key}) AS z, avg(xs) OVER (PARTITION BY {key}) AS mx FROM pap", ("pap",))
+    cte(f"{p}b0", f"SELECT {key}, count(*) AS n_i, ln(avg(yy)) AS b0, CAST(0 AS DOUBLE) AS b1, max(mx) AS mx FROM {p} GROUP BY 1", (p,))
     for i in range(BY_ENTITY):
         cte(
-            f"beb{i + 1}",
-            f"""SELECT user_id, n_i, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0, b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b1, mx FROM (
-                SELECT user_id, max(n_i) AS n_i, max(b0) AS b0, max(b1) AS b1, max(mx) AS mx, sum(yy - m) AS g0, sum((yy - m) * z) AS g1,
+            f"{p}b{i + 1}",
+            f"""SELECT {key}, n_i, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0, b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b1, mx FROM (
+                SELECT {key}, max(n_i) AS n_i, max(b0) AS b0, max(b1) AS b1, max(mx) AS mx, sum(yy - m) AS g0, sum((yy - m) * z) AS g1,
                   sum(m) AS h00, sum(m * z) AS h01, sum(m * z * z) AS h11
-                FROM (SELECT user_id, yy, z, n_i, b0, b1, b.mx, exp(b0 + b1 * z) AS m FROM be JOIN beb{i} b USING (user_id)) GROUP BY 1)""",
-            ("be", f"beb{i}"),
+                FROM (SELECT {key}, yy, z, n_i, b0, b1, b.mx, exp(b0 + b1 * z) AS m FROM {p} JOIN {p}b{i} b USING ({key})) GROUP BY 1)""",
+            (p, f"{p}b{i}"),
         )
+    cte(
+        f"{p}f",
+        f"""SELECT {key}, n_i, a.b0 - a.b1 * a.mx AS b0, a.b1 AS b1,
+              coalesce(greatest(abs(a.b0 - b.b0), abs(a.b1 - b.b1)) <= 1e-8 * (1 + abs(a.b0) + abs(a.b1)), FALSE) AS converged
+            FROM {p}b{BY_ENTITY} a JOIN (SELECT {key}, b0, b1 FROM {p}b{BY_ENTITY - 1}) b USING ({key})""",
+        (f"{p}b{BY_ENTITY}", f"{p}b{BY_ENTITY - 1}"),
+    )
 
 
-_by_entity_ctes()
+_by_entity_ctes("be", "user_id")
+_by_entity_ctes("bp", "one")
 
 
 @query(
     "m4_glm_poisson_by_entity",
-    f"""SELECT user_id, n_i, round(a.b0 - a.b1 * a.mx, 4) + 0.0 AS b0, round(a.b1, 4) + 0.0 AS b1,
-       coalesce(greatest(abs(a.b0 - b.b0), abs(a.b1 - b.b1)) <= 1e-8 * (1 + abs(a.b0) + abs(a.b1)), FALSE) AS converged
-       FROM beb{BY_ENTITY} a JOIN (SELECT user_id, b0, b1 FROM beb{BY_ENTITY - 1}) b USING (user_id)""",
-    (f"beb{BY_ENTITY}", f"beb{BY_ENTITY - 1}"),
+    "SELECT user_id, n_i, round(b0, 4) + 0.0 AS b0, round(b1, 4) + 0.0 AS b1, converged FROM bef",
+    ("bef",),
 )
 def _(spark, sf):
     out = glm.glm_poisson_by_entity(pap(spark, sf), "y", "xs", "user_id")
     return rounded(out.drop("step"), "b0", "b1", digits=4)
 
 
+cte("bel", "SELECT 'b0' AS coef, b0 AS v FROM bef WHERE converged UNION ALL SELECT 'b1', b1 FROM bef WHERE converged", ("bef",))
+_STATS = {"min": "min(v)", "q1": "quantile_cont(v, 0.25)", "median": "quantile_cont(v, 0.5)", "mean": "avg(v)", "q3": "quantile_cont(v, 0.75)", "max": "max(v)"}
+
+
+@query(
+    "m4_coefficient_summary",
+    "SELECT coef, stat, round(value, 4) + 0.0 AS value FROM ("
+    + " UNION ALL ".join(f"SELECT coef, '{k}' AS stat, {v} AS value FROM bel GROUP BY coef" for k, v in _STATS.items())
+    + " UNION ALL SELECT 'b0', 'all', b0 FROM bpf UNION ALL SELECT 'b1', 'all', b1 FROM bpf)",
+    ("bel", "bpf"),
+)
+def _(spark, sf):
+    """Distribution of the coefficients of all entities beside the fit on all rows."""
+    df = pap(spark, sf)
+    by = glm.glm_poisson_by_entity(df, "y", "xs", "user_id")
+    return rounded(glm.coefficient_summary(by, glm.glm_poisson(df, "y", ["xs"]), "xs"), "value", digits=4)
+
+
+@query(
+    "m4_coefficient_histogram",
+    """SELECT CAST(i AS INTEGER) AS bin, CASE WHEN i > 0 THEN -2.0::DOUBLE + (i - 1) * 0.25::DOUBLE END AS left, CASE WHEN i <= 16 THEN -2.0::DOUBLE + i * 0.25::DOUBLE END AS right,
+         coalesce(n, 0) AS n FROM (SELECT unnest(range(18)) AS i) LEFT JOIN (
+           SELECT CASE WHEN v < -2 THEN 0 WHEN v > 2 THEN 17 ELSE greatest(1, least(16, ceil((v + 2) / 0.25))) END AS i, count(*) AS n
+           FROM bel WHERE coef = 'b1' GROUP BY 1) USING (i)""",
+    ("bel",),
+)
+def _(spark, sf):
+    """Slopes of all entities in fixed bins."""
+    by = glm.glm_poisson_by_entity(pap(spark, sf), "y", "xs", "user_id")
+    return glm.coefficient_histogram(by, "b1", -2.0, 2.0, 0.25)
+
+
 @query(
     "m5_ols_by_entity",
     """SELECT l_suppkey, n_i, round(b0, 6) + 0.0 AS b0, round(b1, 6) + 0.0 AS b_x1, round(b2, 6) + 0.0 AS b_x2,
