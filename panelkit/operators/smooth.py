@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import normal_quantile
 from ..session import cut_lineage
+from . import local_lines
 from .ranking import exact_quantiles, global_rank
-from .slices import SLICE_ROWS, drop_halo, entity_position, slice_window, with_halo
+from .slices import SLICE_ROWS, drop_halo, entity_position, join_spread, slice_window, with_halo
 
 
 def moving_average(
@@ -97,9 +98,8 @@ def residual_smooths(
     return kernel_smooth(long, "x", resid, bandwidth, [entity, "covariate"], n_points)
 
 
-# Fixed values of robust local regression (Cleveland 1979): weights within this
-# share of the radius count fully, beyond that share not at all.
-_NEAR, _FAR = 0.001, 0.999
+WHOLE_ROWS = 32_768  # rows of an entity that one task fits with all passes
+TILE_ROWS = 16_384  # rows of a longer entity that one task fits at once
 
 
 def lowess(
@@ -111,88 +111,104 @@ def lowess(
     passes: int = 3,
     delta_share: float = 0.01,
     size: int = SLICE_ROWS,
+    whole_rows: int = WHOLE_ROWS,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Robust local-linear trend of y over the row index, per entity.
 
     Lines are fitted at anchor rows no more than ``delta_share`` of the index
     range apart and interpolated in between (the usual default; 0 fits at every
-    row). So an entity of n rows has at most some 200 anchors, and a row adds
-    its weighted terms to those whose neighbourhood holds it: the work grows
-    with the rows, partial sums run before the shuffle, and no pair of rows is
-    formed. Rows with a null y are left out before indexing.
+    row). The sums of a line come from prefix moments of blocks of rows
+    (``local_lines``), so the work grows with the rows, whatever the span and the
+    number of anchors. An entity of up to ``whole_rows`` rows is one task's work with all
+    its passes; a longer one is cut into tiles of ``tile_rows``, each of which gets its
+    own rows, those at the ends of its windows, and the moments of all blocks.
+    Rows with a null y are left out before indexing.
     Returns (entity, t, pos, y, trend).
     """
-    if not delta_share > 0:
-        raise ValueError("delta_share must be positive: a fit at every row needs all row pairs")
+    if delta_share < 0:
+        raise ValueError("delta_share must not be negative")
     base = entity_position(
         df.filter(F.col(y).isNotNull()).select(entity, t, F.col(y).cast("double").alias("_y")), entity, t, "_pos", size
     )
     n_of = base.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
     n = F.col("_n")
-    k = F.greatest(F.lit(2), F.least(n, F.floor(F.lit(span) * n + 1e-7)))
+    k = F.least(n, F.greatest(F.lit(2), F.least(n, F.floor(F.lit(span) * n + 1e-7))))
     step = F.greatest(F.lit(1), F.floor(F.lit(delta_share) * (n - 1)))
-    cur = base.join(n_of, entity).select(
-        entity, t, "_pos", "_y", "_n", k.cast("long").alias("_k"), step.cast("long").alias("_step"),
-        F.lit(1.0).alias("_rw"),
+    cur = cut_lineage(
+        join_spread(base, n_of, entity).select(entity, t, "_pos", "_y", "_n", k.cast("long").alias("_k"), step.cast("long").alias("_step"))
     )
-    cur = cut_lineage(cur)
+    out = _lowess_whole(cur.filter(n <= whole_rows), entity, passes)
+    if cur.filter(n > whole_rows).limit(1).count():
+        out = out.unionByName(_lowess_tiles(cur.filter(n > whole_rows), entity, passes, tile_rows))
+    return out.select(entity, t, F.col("_pos").alias("pos"), F.col("_y").alias("y"), F.col("_fit").alias("trend"))
+
+
+def _lowess_whole(cur: DataFrame, entity: str, passes: int) -> DataFrame:
+    def fit(pdf):
+        pdf = pdf.sort_values("_pos")
+        k, step = int(pdf["_k"].iloc[0]), int(pdf["_step"].iloc[0])
+        return pdf.assign(_fit=local_lines.whole_entity(pdf["_y"].to_numpy(), k, step, passes))
+
+    return cur.groupBy(entity).applyInPandas(fit, _with(cur, "_fit double"))
+
+
+def _with(df: DataFrame, more: str) -> str:
+    return ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes], more])
+
+
+def _lowess_tiles(cur: DataFrame, entity: str, passes: int, tile_rows: int) -> DataFrame:
+    block = F.greatest(F.lit(local_lines.MIN_BLOCK), F.least(F.lit(local_lines.MAX_BLOCK), F.ceil(F.col("_k") / 16))).cast("long")
+    cur = cur.withColumns({"_size": block, "_rw": F.lit(1.0)})
+    cur = cut_lineage(cur.withColumn("_b", F.floor((F.col("_pos") - 1) / F.col("_size"))))
+    plan = cut_lineage(_tiles(cur, entity, tile_rows))
     for it in range(passes + 1):
-        cur = _lowess_pass(cur, entity)
+        cur = _tiles_pass(cur, plan, entity, tile_rows)
         if it < passes:
             cur = _robust_weights(cur, entity)
-    return cur.select(entity, t, F.col("_pos").alias("pos"), F.col("_y").alias("y"), F.col("_fit").alias("trend"))
-
-
-def _lowess_pass(cur: DataFrame, entity: str) -> DataFrame:
-    pos, n, k, step = (F.col(c) for c in ("_pos", "_n", "_k", "_step"))
-    n_anchor = F.ceil((n - 1) / step)  # anchors 0..n_anchor at 1, 1+step, ..., n
-
-    def at(a: Column) -> Column:
-        return F.least(n, 1 + a * step)
-
-    # the row lies within k-1 index steps of every anchor it serves
-    a_lo = F.greatest(F.lit(0), F.floor((pos - k) / step) - 1).cast("long")
-    a_hi = F.least(n_anchor, F.ceil((pos + k) / step) + 1).cast("long")
-    # a row grows into many terms: spread the rows first; adaptive execution may split and merge the partitions
-    spread = cur.select(entity, "_pos", "_y", "_n", "_k", "_step", "_rw").hint("rebalance", entity, "_pos")
-    terms = spread.withColumn("_a", F.explode(F.sequence(a_lo, a_hi)))
-    c = at(F.col("_a"))
-    # k nearest indices of c, shifted inwards at the ends (ties keep the left side)
-    left = F.greatest(F.lit(1), F.least(n - k + 1, c - F.floor(k / 2)))
-    h = F.greatest(c - left, left + k - 1 - c).cast("double")
-    d = F.abs(pos - c).cast("double")
-    terms = terms.withColumns({"_c": c, "_d": d, "_h": h}).filter((F.col("_d") <= _FAR * F.col("_h")) & (F.col("_rw") > 0))
-    q = F.col("_d") / F.col("_h")
-    terms = terms.withColumn("_g", 1 - q * q * q)
-    tri = F.col("_g") * F.col("_g") * F.col("_g")
-    w = F.when(F.col("_d") <= _NEAR * F.col("_h"), 1.0).otherwise(tri) * F.col("_rw")
-    terms = terms.select(entity, "_a", "_c", "_n", "_y", (pos - F.col("_c")).cast("double").alias("_d"), w.alias("_w"))
-    W, D, Y = F.col("_w"), F.col("_d"), F.col("_y")
-    s = terms.groupBy(entity, "_a", "_c", "_n").agg(
-        F.sum(W).alias("sw"),
-        F.sum(W * D).alias("sd"),
-        F.sum(W * D * D).alias("sdd"),
-        F.sum(W * Y).alias("sy"),
-        F.sum(W * D * Y).alias("sdy"),
-    )
-    # distance is measured from the anchor, so the line's value there is its intercept
-    var = F.col("sdd") / F.col("sw") - F.pow(F.col("sd") / F.col("sw"), 2)
-    slope = F.try_divide(F.col("sdy") - F.col("sd") * F.col("sy") / F.col("sw"), F.col("sw") * var)
-    level = F.col("sy") / F.col("sw")
-    flat = F.sqrt(F.greatest(var, F.lit(0.0))) <= 0.001 * (n - 1)
-    s = s.select(
-        entity, "_a", F.when(flat, level).otherwise(level - slope * F.col("sd") / F.col("sw")).alias("_v")
-    )
-    lo = s.select(entity, F.col("_a").alias("_alo"), F.col("_v").alias("_vlo"))
-    hi = s.select(entity, F.col("_a").alias("_ahi"), F.col("_v").alias("_vhi"))
-    rows = cur.withColumn("_alo", F.floor((pos - 1) / step))
-    rows = rows.withColumn("_ahi", F.least(n_anchor, F.col("_alo") + 1))
-    rows = rows.join(lo, [entity, "_alo"], "left").join(hi, [entity, "_ahi"], "left")
-    c_lo, c_hi = at(F.col("_alo")), at(F.col("_ahi"))
-    share = F.when(c_hi > c_lo, (pos - c_lo) / (c_hi - c_lo)).otherwise(0.0)
-    v_lo = F.coalesce("_vlo", "_y")  # an anchor without weight keeps its own value
-    fit = F.when(share == 0, v_lo).otherwise(v_lo + share * (F.coalesce("_vhi", "_y") - v_lo))
-    return rows.withColumn("_fit", fit).drop("_alo", "_ahi", "_vlo", "_vhi")
+    return cur.select(entity, *[c for c in cur.columns if c not in (entity, "_rw", "_size", "_b")])
+
+
+def _tiles(cur: DataFrame, entity: str, tile_rows: int) -> DataFrame:
+    """(entity, tile, block): the blocks whose rows a tile needs."""
+    one = cur.groupBy(entity).agg(*[F.max(c).alias(c) for c in ("_n", "_k", "_step", "_size")])
+    n, k, step, size = (F.col(c) for c in ("_n", "_k", "_step", "_size"))
+    one = one.withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / tile_rows))))
+    c0 = F.greatest(F.lit(1), F.col("_tile") * tile_rows + 1 - step)
+    c1 = F.least(n, (F.col("_tile") + 1) * tile_rows + step)
+    left = lambda c: F.greatest(F.lit(1), F.least(n - k + 1, c - F.floor(k / 2)))
+    slack = F.floor(k * local_lines.NEAR) + 2  # windows end a little inside, and the middle reaches a little out
+    blocks = lambda a, b: F.sequence(F.floor((F.greatest(F.lit(1), a) - 1) / size), F.floor((F.least(n, b) - 1) / size))
+    need = F.concat(blocks(c0 - slack, c1 + slack), blocks(left(c0), left(c1) + slack), blocks(left(c0) + k - 1 - slack, left(c1) + k - 1))
+    return one.select(entity, "_tile", F.explode(F.array_distinct(need)).alias("_b"))
+
+
+def _tiles_pass(cur: DataFrame, plan: DataFrame, entity: str, tile_rows: int) -> DataFrame:
+    degree = local_lines.DEGREE
+    u = (F.col("_pos") - (F.col("_b") * F.col("_size") + (F.col("_size") + 1) / 2)) / F.col("_k")
+    power = [F.col("_rw")]
+    for m in range(1, degree):
+        power.append(F.col("_rw") * F.pow(u, F.lit(float(m))))
+    sums = [F.sum(p * v) for v in (F.lit(1.0), F.col("_y")) for p in power]
+    whole = cur.groupBy(entity, "_b").agg(F.array(*sums).alias("m"))
+    whole = whole.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct("_b", "m"))).alias("m"))  # one row per block, not per row
+    whole = whole.select(F.col(entity).alias("_e"), F.flatten(F.transform("m", lambda x: x["m"])).alias("m"))
+    tiles = plan.select(F.col(entity).alias("_e"), F.col("_tile").alias("_of")).distinct().join(whole, "_e")
+    rows = plan.join(cur, [entity, "_b"])
+    shown = [c for c in cur.columns if c != entity]
+
+    def fit(left, right):
+        pdf = left.sort_values("_pos")
+        n, k, step, size, tile = (int(pdf[c].iloc[0]) for c in ("_n", "_k", "_step", "_size", "_tile"))
+        pos, y = pdf["_pos"].to_numpy(), pdf["_y"].to_numpy()
+        known, run = local_lines.running(pos, y, pdf["_rw"].to_numpy(), pdf["_b"].to_numpy(), size, k)
+        moments = np.asarray(right["m"].iloc[0], float).reshape(-1, 2, degree)
+        own = (pos > tile * tile_rows) & (pos <= (tile + 1) * tile_rows)
+        v = local_lines.fitted(local_lines.Rows(n, k, size, known, run, moments), pos[own], y[own], step)
+        return pdf.loc[own, [entity, *shown]].assign(_fit=v)
+
+    out = rows.groupBy(entity, "_tile").cogroup(tiles.groupBy("_e", "_of")).applyInPandas(fit, _with(cur.select(entity, *shown), "_fit double"))
+    return cut_lineage(out)
 
 
 def _robust_weights(fit: DataFrame, entity: str) -> DataFrame:
@@ -206,8 +222,8 @@ def _robust_weights(fit: DataFrame, entity: str) -> DataFrame:
     bisq = F.pow(1 - q * q, 2)
     w = (
         F.when(c < 1e-7 * F.col("_mean"), F.col("_rw"))
-        .when(F.col("_res") <= _NEAR * c, 1.0)
-        .when(F.col("_res") <= _FAR * c, bisq)
+        .when(F.col("_res") <= local_lines.NEAR * c, 1.0)
+        .when(F.col("_res") <= local_lines.FAR * c, bisq)
         .otherwise(0.0)
     )
     return res.withColumn("_rw", w).drop("_res", "_mad", "_mean", "_fit")
