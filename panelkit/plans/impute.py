@@ -53,9 +53,9 @@ def impute_period(
     A day's mean depends on the count one week ago, so days with the same
     weekday offset form a chain and all else is independent. The panel is turned
     into one row per (entity, offset), holding the counts of the three weeks
-    before and which days of the period exist; every wave is then a column
-    computed from earlier ones, with no shuffle and no loop over days or
-    entities.
+    before and which days of the period exist. A fold over the weeks carries the
+    last three counts, so there is one shuffle, no loop over days or entities, and
+    a plan of the same size for any number of weeks.
 
     If the count a week ago is absent or null, it is drawn from that day's own
     mean given the count two weeks ago, which in turn may be drawn given the one
@@ -77,63 +77,61 @@ def impute_period(
     at = lambda s, c: F.max(F.when(step == s, c))  # noqa: E731  (entity, t) is unique
     chains = near.groupBy(entity, offset.alias("_o")).agg(
         *[at(s, F.col(y).cast("double")).alias(f"_y{s}") for s in range(3)],
-        *[F.coalesce(at(s, F.lit(True)), F.lit(False)).alias(f"_has{s}") for s in range(3, n_steps)],
+        F.collect_set(F.when(step >= 3, step)).alias("_has"),
     )
     base = add_coef_terms(model.day_terms) + F.col(effect)
     extra = F.col(july_effect) if july_effect else F.lit(0.0)
-    # one row per weekday offset: the day part of the linear predictor of each step
+    # one row per weekday offset: the day part of the linear predictor of each week, for its own and for drawn past days
     etas = (
         days.filter(F.col(t).between(start, last))
         .groupBy(offset.alias("_o"))
-        .agg(
-            *[at(s, base).alias(f"_e{s}") for s in range(n_steps)],
-            *[at(s, base + extra).alias(f"_p{s}") for s in range(n_steps)],
-        )
+        .agg(F.map_from_entries(F.collect_list(F.struct(step, F.struct(base.alias("own"), (base + extra).alias("past"))))).alias("_m"))
     )
+    etas = etas.select("_o", F.transform(F.sequence(F.lit(0), F.lit(n_steps - 1)), lambda s: F.try_element_at("_m", s)).alias("_eta"))
     out = chains.join(F.broadcast(etas), "_o").join(model.fixef.select(entity, "fe"), entity, "left")
 
-    def mean(eta: str, lag: Column) -> Column:
-        return F.exp(F.col(eta) + F.col("fe") + F.lit(float(model.lag_coef)) * lag)
+    def mean(eta: Column, lag: Column) -> Column:
+        return F.exp(eta + F.col("fe") + F.lit(float(model.lag_coef)) * lag)
 
-    def drawn(lam: Column, s: int, kind: str) -> Column:
+    def drawn(lam: Column, s: Column, kind: str) -> Column:
         if draw == "expected":
             return lam
-        return poisson_draw(lam, F.col(f"_u_{kind}{s}")).cast("double")
-
-    if draw == "poisson":
-        uniforms = {}
-        for s in range(3, n_steps):
-            day = F.lit(start + s * period) + F.col("_o")
-            for kind in ("back2", "back1", "day"):
-                uniforms[f"_u_{kind}{s}"] = hash_uniform(F.col(entity), day, F.lit(seed), F.lit(kind))
-        out = out.withColumns(uniforms)
-
-    for s in range(3, n_steps):
-        w = s - 3
-        # counts one, two and three weeks back
-        c1, c2, c3 = F.col(f"_y{s - 1}"), F.col(f"_y{s - 2}"), F.col(f"_y{s - 3}")
-        past = lambda i: f"_p{i}" if i < 3 else f"_e{i}"
-        # null unless needed: the draw of a null mean is null
-        m2 = F.when(c1.isNull() & c2.isNull(), mean(past(s - 2), c3))
-        out = out.withColumn(f"_f2_{w}", F.coalesce(c2, drawn(m2, s, "back2")))
-        m1 = F.when(c1.isNull(), mean(past(s - 1), F.col(f"_f2_{w}")))
-        out = out.withColumn(f"_f1_{w}", F.coalesce(c1, drawn(m1, s, "back1")))
-        out = out.withColumn(f"_lam{s}", F.when(F.col(f"_has{s}"), mean(f"_e{s}", F.col(f"_f1_{w}"))))
-        out = out.withColumn(f"_y{s}", drawn(F.col(f"_lam{s}"), s, "day"))
-
-    cells = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    (F.lit(start + s * period) + F.col("_o")).cast("int").alias(t),
-                    F.col(f"_has{s}").alias("has"),
-                    F.col(f"_lam{s}").alias("lambda"),
-                    F.col(f"_y{s}").alias("y_imputed"),
-                )
-                for s in range(3, n_steps)
-            ]
-        )
-    )
+        day = F.lit(start) + s * period + F.col("_o")
+        return poisson_draw(lam, hash_uniform(F.col(entity), day, F.lit(seed), F.lit(kind))).cast("double")
+
+    def let(value: Column, body) -> Column:
+        """``body`` of a value that is computed once."""
+        return F.get(F.transform(F.array(value), body), 0)
+
+    def past(s: Column) -> Column:
+        e = F.get("_eta", s)
+        return F.when(s < 3, e["past"]).otherwise(e["own"])
+
+    def week(c: Column, s: Column) -> Column:
+        # c1, c2, c3: counts one, two and three weeks back; a draw is null unless needed, as that of a null mean is null
+        back2 = F.coalesce(c["c2"], drawn(F.when(c["c1"].isNull() & c["c2"].isNull(), mean(past(s - 2), c["c3"])), s, "back2"))
+        has = F.array_contains("_has", s)
+
+        def today(lam: Column) -> Column:
+            cell = lambda new: F.struct(s.alias("s"), has.alias("has"), lam.alias("lambda"), new.alias("y"))
+            return let(
+                drawn(lam, s, "day"),
+                lambda new: F.struct(new.alias("c1"), c["c1"].alias("c2"), c["c2"].alias("c3"), F.concat(c["out"], F.array(cell(new))).alias("out")),
+            )
+
+        def lagged(lag: Column) -> Column:
+            return let(F.when(has, mean(F.get("_eta", s)["own"], lag)), today)
+
+        return let(back2, lambda two: let(F.coalesce(c["c1"], drawn(F.when(c["c1"].isNull(), mean(past(s - 1), two)), s, "back1")), lagged))
+
+    none = F.array().cast("array<struct<s:int,has:boolean,lambda:double,y:double>>")
+    begin = F.struct(F.col("_y2").alias("c1"), F.col("_y1").alias("c2"), F.col("_y0").alias("c3"), none.alias("out"))
+    weeks = F.aggregate(F.sequence(F.lit(3), F.lit(n_steps - 1)), begin, week, lambda c: c["out"])
+    out = out.select(entity, "_o", F.explode(weeks).alias("_w"))
+    cells = F.struct(
+        (F.lit(start) + F.col("_w.s") * period + F.col("_o")).cast("int").alias(t),
+        F.col("_w.has").alias("has"), F.col("_w.lambda").alias("lambda"), F.col("_w.y").alias("y_imputed"),
+    )
     rows = out.select(entity, cells.alias("_c")).select(entity, "_c.*").filter("has").drop("has")
     return rows.filter(F.col("lambda").isNotNull()), rows.filter(F.col("lambda").isNull()).select(entity, t)
 

@@ -98,6 +98,26 @@ def test_poisson_waves_equal_the_sequential_loop(wave, spark):
     assert {(r.e, r.t): r.y_imputed for r in again.collect()} == got
 
 
+def test_plan_does_not_grow_with_the_period(spark):
+    """Planning 52 weeks takes about as long as planning 2, and all weeks are there."""
+    import time
+
+    panel = spark.range(14 * 400).selectExpr("cast(id % 14 as int) e", "cast(id div 14 as int) t", "cast(1 + id % 5 as double) y")
+    days = panel.select("t").distinct().selectExpr("t", "0.01 * (t % 3) as rain", "0.0 as effect")
+    model = impute.CountModel({"rain": 0.1}, 0.02, panel.select("e").distinct().selectExpr("e", "0.5 as fe"))
+
+    def planned(weeks):
+        start = time.perf_counter()
+        out, _ = impute.impute_period(panel, days, model, "e", "t", "y", 30, 29 + 7 * weeks)
+        size = len(out._jdf.queryExecution().optimizedPlan().toString())
+        return time.perf_counter() - start, size, out
+
+    planned(2)
+    two, fifty = planned(2), planned(52)
+    assert fifty[0] < 1.5 * two[0] + 0.5 and fifty[1] < 1.1 * two[1]
+    assert fifty[2].count() == 14 * 52 * 7
+
+
 def test_apply_imputation_renews_rows(wave):
     panel, days, model, *_ = wave
     out, _ = impute.impute_period(panel, days, model, "e", "t", "y", 22, 35, draw="expected")
