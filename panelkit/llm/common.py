@@ -35,3 +35,22 @@ def words(c: Column) -> Column:
 def id_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; -1 where the id is null."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % n, F.lit(-1)).cast("int")
+
+
+FILTER_BITS = 1 << 24
+
+
+def may_be_in(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``_may``: false where the key is surely not among the hashes ``wanted.h``.
+
+    A Bloom filter of ``FILTER_BITS`` bits with one hash, built by partial ORs. It is
+    a table of at most ``FILTER_BITS`` / 64 rows, however many keys there are, so
+    it can be broadcast; with very many keys it lets more rows pass, never fewer.
+    """
+    bit = F.pmod(F.col("h"), F.lit(FILTER_BITS))
+    words = wanted.select((bit / 64).cast("int").alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(h, {FILTER_BITS}) % 64 as int))").alias("b"))
+    words = words.groupBy("_word").agg(F.bit_or("b").alias("_bits"))
+    at = F.pmod(key, F.lit(FILTER_BITS))
+    out = rows.withColumns({"_word": (at / 64).cast("int"), "_bit": (at % 64).cast("int")}).join(F.broadcast(words), "_word", "left")
+    may = F.coalesce(F.getbit("_bits", F.col("_bit")) == 1, F.lit(False))
+    return out.withColumn("_may", may).drop("_word", "_bit", "_bits")

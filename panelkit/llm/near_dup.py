@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .common import id_text
+from ..session import Scratch, cut_lineage, drop_table
+from .common import id_text, may_be_in
 
 WORDS = 5
 PERCENT = 85
@@ -142,18 +142,21 @@ def components(edges: DataFrame) -> DataFrame:
     checkpointed.
     """
     both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = cut_lineage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("root")))
+    last = roots = cut_lineage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("root")))
     while True:
         offers = both.join(roots, both.b == roots.id).groupBy("a").agg(F.min("root").alias("offer"))
         low = roots.join(offers, roots.id == offers.a).select("id", F.col("root").alias("old"), F.least("root", "offer").alias("low"))
         up = roots.select(F.col("id").alias("low"), F.col("root").alias("up"))
         new = cut_lineage(low.join(up, "low", "left").select("id", "old", F.least("low", "up").alias("root")))
         roots = new.select("id", "root")
+        drop_table(last)
+        last = new
         if not new.filter("root < old").limit(1).count():
+            drop_table(both)
             return roots
 
 
-def descend(sets: DataFrame, trees: int) -> DataFrame:
+def descend(sets: DataFrame, trees: int, scratch: Scratch) -> DataFrame:
     """Members of the nodes to compare, with two or more members each: (node, doc_id, n_shingles).
 
     A level holds the children of the last one's large nodes. At the last level
@@ -164,7 +167,7 @@ def descend(sets: DataFrame, trees: int) -> DataFrame:
     out = None
     for level in range(LEVELS):
         sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).filter("n > 1")
-        nodes = cut_lineage(members.join(sizes, "node"))
+        nodes = scratch.keep(members.join(sizes, "node"))
         large = (F.col("n") > SMALL) | ((F.col("weight") > WEIGHT) & (F.col("n") > 2))
         part = nodes.filter(~large).select("node", "doc_id", "n_shingles")
         out = part if out is None else out.union(part)
@@ -275,41 +278,51 @@ def confirmed(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         for g in grouped(batches):
             yield pd.DataFrame(spanning(g["a"].to_numpy(), [shingles(t) for t in g["text"]], percent), columns=["a", "b"])
 
-    rows = members.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").repartition("node").sortWithinPartitions("node")
-    return rows.select("node", "a", "text").mapInPandas(compare, "a long, b long")
+    # only texts that may be wanted are moved; the join is the same at every size
+    texts = may_be_in(texts.select(F.col("doc_id").alias("a"), "text"), F.xxhash64("a"), members.select(F.xxhash64("a").alias("h")))
+    rows = texts.filter("_may").select("a", "text").join(members.hint("shuffle_hash"), "a")  # texts are not sorted
+    return rows.select("node", "a", "text").repartition("node").sortWithinPartitions("node").mapInPandas(compare, "a long, b long")
 
 
 def links(sets: DataFrame, texts: DataFrame, ties: DataFrame, percent: int) -> DataFrame:
     """(id, root) of all classes that are linked with another; ``ties`` (a, b) are links that need no test."""
     # 15 bits of each token: equal tokens stay equal, so no pair is lost, and a member is small to move
     sketch = F.transform(F.concat("roots", F.col("steps").cast("array<long>")), lambda x: F.pmod(x, F.lit(32768)).cast("short"))
-    members = descend(sets, trees_for(percent)).join(sets.select("doc_id", "n_shingles", sketch.alias("sketch")), ["doc_id", "n_shingles"])
+    scratch = Scratch()
+    members = descend(sets, trees_for(percent), scratch).join(sets.select("doc_id", "n_shingles", sketch.alias("sketch")), ["doc_id", "n_shingles"])
     found = cut_lineage(possible(members, percent))
+    scratch.drop()
     pairs = found.filter("b is not null").groupBy("a", "b").agg(F.min("node").alias("node"))
     few = pairs.select("node", F.explode(F.array("a", "b")).alias("a"))
     meet = cut_lineage(few.union(found.filter("b is null").select("node", "a")).distinct())
-    ids = cut_lineage(meet.select("a").distinct())  # written, so that the next join is planned by its size
-    texts = cut_lineage(texts.join(ids, F.col("doc_id") == F.col("a"), "left_semi"))
-    return components(cut_lineage(confirmed(meet, texts, percent).union(ties)))
+    drop_table(found)
+    edges = cut_lineage(confirmed(meet, texts, percent).union(ties))
+    drop_table(meet)
+    roots = components(edges)
+    drop_table(edges)
+    return roots
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per input row; pairs of similarity ``percent`` or more link."""
     rows = id_text(docs, id_col, text_col)
-    sets = cut_lineage(signatures(rows, trees_for(percent)))
+    scratch = Scratch()
+    sets = scratch.keep(signatures(rows, trees_for(percent)))
     full = sets.filter("n_shingles > 0 and doc_id is not null")
     copies = full.groupBy("ka", "kb").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).filter("n > 1")
     # the small side of each join is written first: its size is known then, and a hot group can be split
-    full = full.join(cut_lineage(copies.drop("n")), ["ka", "kb"], "left")
-    same = cut_lineage(full.select(F.coalesce("rep", "doc_id").alias("a"), F.col("doc_id").alias("b")))
+    full = full.join(scratch.keep(copies.drop("n")), ["ka", "kb"], "left")
+    same = scratch.keep(full.select(F.coalesce("rep", "doc_id").alias("a"), F.col("doc_id").alias("b")))
     # an id with several sets ties their classes together
     ties = same.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low < high")
-    ties = same.join(cut_lineage(ties), "b").filter("a > low").select(F.col("low").alias("a"), F.col("a").alias("b"))
+    ties = same.join(scratch.keep(ties), "b").filter("a > low").select(F.col("low").alias("a"), F.col("a").alias("b"))
     alone = full.filter("rep is null").select("doc_id", "n_shingles", "roots", "steps")
     reps = full.filter("rep = doc_id").dropDuplicates(["doc_id", "ka", "kb"]).select(*alone.columns)
-    roots = links(cut_lineage(alone.union(reps)), rows, ties, percent)
+    roots = links(scratch.keep(alone.union(reps)), rows, ties, percent)
     joined = same.join(roots, same.a == roots.id, "left").select(F.col("b").alias("doc_id"), F.coalesce("root", "a").alias("component_id"))
     moved = joined.filter("component_id < doc_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles").join(cut_lineage(moved), "doc_id", "left")
+    moved, sizes = cut_lineage(moved), cut_lineage(sets.select("doc_id", "n_shingles"))
+    scratch.drop()  # tokens are no longer needed
+    out = sizes.join(moved, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
