@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.llm import lang_mix, near_dup, packing, pii, quality_gam
+from panelkit.llm.common import may_be_in
 from panelkit.llm.queries import PII_KEY
-from panelkit.session import cut_lineage
+from panelkit.session import Scratch, cut_lineage, drop_table
 
 MIN_QUALITY = 0.3
 MIN_SHARE = 0.4  # of the main language; below it a text is a mixture of many
@@ -40,25 +41,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are known by their id and their text, and equal texts are one document
     for the search, whatever their ids. Texts without a word are all kept.
     """
-    row = [F.col("doc_id"), F.xxhash64("text")]
-    ids = docs.filter(F.col("text").rlike("[^ \\t-\\r]")).select(row[0].alias("_id"), row[1].alias("_text"))
-    texts = docs.select(row[1].alias("_text"), "text")
-    found = near_dup.classes(texts, id_col="_text", percent=NEAR_PERCENT).filter("not kept and n_shingles > 0")
+    scratch = Scratch()
+    # the row is one column, so that none of its columns can clash with a key
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    ids = docs.filter(F.col("text").rlike("[^ \\t-\\r]")).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    texts = docs.select(F.xxhash64("text").alias("hash"), "text")
+    found = near_dup.classes(texts, id_col="hash", percent=NEAR_PERCENT).filter("not kept and n_shingles > 0")
     # written, so that the joins are planned by the number of rows that go
-    moved = cut_lineage(found.select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_to")).distinct())
-    ids = ids.join(moved, "_text", "left").withColumn("_to", F.coalesce("_to", "_text"))
-    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_text").alias("text"))
-    best = ids.groupBy("_to").agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    many = cut_lineage(ids.join(cut_lineage(best), "_to").withColumn("first", order == F.col("best")).groupBy("_id", "_text", "first").count())
-    gone = cut_lineage(many.filter("not first or count > 1").select("_id", "_text"))
-    same = row[0].eqNullSafe(F.col("_id")) & (row[1] == F.col("_text"))
-    # a null text has no row among those that go
-    out = docs.join(gone, same, "left_anti")
-    twice = cut_lineage(many.filter("first and count > 1").select("_id", "_text"))
+    moved = scratch.keep(found.select(F.col("doc_id").alias("hash"), F.col("component_id").alias("to")).distinct())
+    ids = ids.join(moved, "hash", "left").withColumn("to", F.coalesce("to", "hash"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    best = ids.groupBy("to").agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    many = scratch.keep(ids.join(scratch.keep(best), "to").withColumn("first", order == F.col("best")).groupBy("id", "hash", "first").count())
+    gone = cut_lineage(many.filter("not first or count > 1").select(F.col("id").alias("gone"), F.col("hash").alias("gone_hash")))
+    twice = cut_lineage(many.filter("first and count > 1").select(F.col("id").alias("gone"), F.col("hash").alias("gone_hash")))
+    scratch.drop()
+    same = F.col("id").eqNullSafe(F.col("gone")) & (F.col("hash") == F.col("gone_hash"))
+    # a row whose key is surely not among those that go stays where it is; a null text has no row among them
+    rows = may_be_in(rows, F.coalesce("hash", F.lit(0)), gone.select(F.col("gone_hash").alias("h")))
+    out = rows.filter("not _may").select("row.*")
+    out = out.union(rows.filter("_may").join(gone.hint("shuffle_hash"), same, "left_anti").select("row.*"))
     if twice.limit(1).count():
-        again = docs.join(twice, same, "left_semi")
-        whole = again.groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(F.max(F.struct(*docs.columns)).alias("row"))
-        out = out.union(whole.select("row.*"))
+        again = rows.filter("_may").join(twice.hint("shuffle_hash"), same, "left_semi")
+        out = out.union(again.groupBy("id", "hash").agg(F.max_by("row", F.to_json("row")).alias("row")).select("row.*"))
     return out
 
 
@@ -87,7 +92,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir))
+        drop_table(*before)
+        before = [docs]
     return docs
