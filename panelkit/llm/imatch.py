@@ -8,10 +8,12 @@ the corpus: that bounds the lexicon that is sent with the job.
 
 ``SUBSETS`` randomised lexicons keep one term in 64 of the band each, chosen by
 two digits of a term's digest: so few that a part survives an edit elsewhere. A fingerprint has one part per subset: the digest of
-the document's sorted distinct terms in it, or ``-`` if it has none. Likeness is 1
+the document's sorted distinct terms in it, or ``-`` if it has none. A document
+without any part has the digest of all its distinct terms instead, behind ``=``, so
+that texts of other terms never share a fingerprint. Likeness is 1
 for equal fingerprints, else the share of equal parts among those that either has.
 
-Defined cases: null and empty texts have the fingerprint of no terms; repeated
+Defined cases: null and empty texts have the digest of no terms; repeated
 rows count in the frequencies and are fingerprinted each; an empty table gives an
 empty result; a document that is alone is its own next one.
 """
@@ -49,7 +51,7 @@ def in_band(text: Column, lex: list[str]) -> Column:
 
 
 def parts(found: Column) -> Column:
-    """The fingerprint, from the sorted terms with their digests."""
+    """The part of each subset, from the sorted terms with their digests."""
 
     def part(k: int) -> Column:
         # a term is in subset k if digits k and k + 1 of its digest are 00 to 03
@@ -59,6 +61,14 @@ def parts(found: Column) -> Column:
     return F.concat_ws(".", *[part(k) for k in range(SUBSETS)])
 
 
+def with_fingerprint(rows: DataFrame, text: str, name: str, lex: list[str]) -> DataFrame:
+    """Adds the fingerprint of a text column: its parts or, if no subset has a term of it, the digest of all its terms."""
+    out = rows.withColumn("found", in_band(F.col(text), lex)).withColumn("_parts", parts(F.col("found")))
+    whole = F.concat(F.lit("="), F.md5(F.array_join(F.sort_array(terms(F.col(text))), " ").cast("binary")))
+    none = F.lit(".".join(["-"] * SUBSETS))
+    return out.withColumn(name, F.when(F.col("_parts") == none, whole).otherwise(F.col("_parts"))).drop("found", "_parts")
+
+
 def likeness(a: Column, b: Column) -> Column:
     x, y = F.split(a, "\\."), F.split(b, "\\.")
     pairs = F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: (p["x"] != "-") | (p["y"] != "-"))
@@ -96,8 +106,7 @@ def with_next(rows: DataFrame, lex: list[str]) -> DataFrame:
     kind = dict(rows.dtypes)["doc_id"]
     closing = closing.select(F.lit(None).cast(kind).alias("doc_id"), "text", "run", F.lit(True).alias("copy"))
     both = rows.select("doc_id", "text", "run", F.lit(False).alias("copy")).union(closing)
-    both = both.withColumn("found", in_band(F.col("text"), lex))
-    both = both.withColumn("fingerprint", parts(F.col("found"))).drop("found")
+    both = with_fingerprint(both, "text", "fingerprint", lex)
     w = Window.partitionBy("run").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     both = both.withColumns({"next_text": F.lead("text").over(w), "next_fingerprint": F.lead("fingerprint").over(w)})
     return both.filter(~F.col("copy")).drop("run", "copy")
@@ -114,5 +123,4 @@ def match(docs: DataFrame, low: float = LOW, high: float = HIGH, id_col: str = "
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     out = with_next(rows, lex).withColumn("edited", edited).drop("next_text")
-    out = out.withColumn("found", in_band(F.col("edited"), lex))
-    return out.withColumn("edited_fingerprint", parts(F.col("found"))).drop("found")
+    return with_fingerprint(out, "edited", "edited_fingerprint", lex)

@@ -114,12 +114,15 @@ parts AS (SELECT doc_id, k, s, substr(md5(string_agg(w, ' ' ORDER BY encode(w)))
   WHERE substr(md5(w), s, 2) < '04' GROUP BY ALL),
 fp AS (SELECT doc_id, k, list(coalesce(part, '-') ORDER BY s) AS f FROM (SELECT doc_id, k, unnest(range(1, {imatch.SUBSETS} + 1)) AS s FROM t)
   LEFT JOIN parts USING (doc_id, k, s) GROUP BY ALL),
-f AS (SELECT doc_id, max(f) FILTER (k = 0) AS a, max(f) FILTER (k = 1) AS b, max(f) FILTER (k = 2) AS c FROM fp GROUP BY 1)
-SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '.') AS fingerprint,
-  array_to_string(b, '.') AS edited_fingerprint,
-  CASE WHEN a = b THEN 1.0::DOUBLE ELSE len([p FOR p IN list_zip(a, b) IF p[1] = p[2] AND p[1] <> '-']) /
+whole AS (SELECT doc_id, k, string_agg(w, ' ' ORDER BY encode(w)) AS words FROM w GROUP BY ALL),
+fw AS (SELECT doc_id, k, f, CASE WHEN len([p FOR p IN f IF p <> '-']) = 0 THEN '=' || md5(coalesce(words, '')) ELSE array_to_string(f, '.') END AS s
+  FROM fp LEFT JOIN whole USING (doc_id, k)),
+f AS (SELECT doc_id, max(f) FILTER (k = 0) AS a, max(f) FILTER (k = 1) AS b, max(f) FILTER (k = 2) AS c,
+  max(s) FILTER (k = 0) AS sa, max(s) FILTER (k = 1) AS sb, max(s) FILTER (k = 2) AS sc FROM fw GROUP BY 1)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, sa AS fingerprint, sb AS edited_fingerprint,
+  CASE WHEN sa = sb THEN 1.0::DOUBLE ELSE len([p FOR p IN list_zip(a, b) IF p[1] = p[2] AND p[1] <> '-']) /
     greatest(len([p FOR p IN list_zip(a, b) IF p[1] <> '-' OR p[2] <> '-']), 1) END AS near_edited,
-  CASE WHEN a = c THEN 1.0::DOUBLE ELSE len([p FOR p IN list_zip(a, c) IF p[1] = p[2] AND p[1] <> '-']) /
+  CASE WHEN sa = sc THEN 1.0::DOUBLE ELSE len([p FOR p IN list_zip(a, c) IF p[1] = p[2] AND p[1] <> '-']) /
     greatest(len([p FOR p IN list_zip(a, c) IF p[1] <> '-' OR p[2] <> '-']), 1) END AS near_next
 FROM e JOIN f USING (doc_id)"""
 
