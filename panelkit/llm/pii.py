@@ -7,9 +7,10 @@ on the key and the kind only, so equal values stay equal across documents, and
 without separators: one number written in two ways stays one number.
 
 Kinds: e-mail (the part before the @), card (13 to 19 digits, Luhn), IBAN (mod
-97), IPv4, phone (international, the country code stays), US social security
-number, date (years 1800 to 2199; y-m-d, d.m.y, d/m/y), and keyed secrets (access
-keys, and values behind password or key names, to their end). What fails its
+97), IPv4, phone (international, the country code stays; local, with the area
+code in brackets), US social security number, date (years 1800 to 2199; y-m-d, d.m.y, d/m/y), and keyed secrets (access
+keys, and values behind password or key names in any case, up to white space or a
+quote; their letters and digits change, other characters keep their places). What fails its
 check stays, but cards and IBANs are looked for from each start and in each length.
 
 Defined cases: null texts stay null; texts without such values are unchanged;
@@ -28,15 +29,18 @@ ROUNDS = 8
 HALF = 12  # characters on one side of a Feistel network: 26 ** 12 fits a long
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: The name of a secret in any case and what stands before its value, which ends at white space or a quote.
+NAME = r"""(?i:password|passwd|secret|token|api[_-]?key)["']? {0,2}[=:] {0,2}["']?"""
 #: Kind, pattern. The first that matches at a place takes it; quantifiers are bounded or over one class, so a scan is linear.
 PATTERNS = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
-    ("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("named_secret", r"(?:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9]{8,}"),
+    ("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36,255})(?![A-Za-z0-9])"),
+    ("named_secret", NAME + r"""[^\s"']{8,}"""),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("date", r"(?<![0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![0-9])"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"),
     ("phone", r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"),
+    ("local_phone", r"(?<![0-9+])\([2-9][0-9]{2}\)[ -]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"),
 ]
@@ -216,6 +220,10 @@ def _phone(m: Column, key: str) -> Column:
     return F.when(F.length(_digits_only(m)).between(8, 15), F.concat(code, permuted(rest, key, "phone")))
 
 
+def _local_phone(m: Column, key: str) -> Column:
+    return permuted(m, key, "phone")
+
+
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substring(m, at, n).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
     right = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
@@ -263,17 +271,17 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    return F.concat(F.lit("AKIA"), permuted(F.substring(m, F.lit(5), F.length(m)), key, "secret"))
+    return F.concat(F.substring(m, 1, 4), permuted(F.substring(m, F.lit(5), F.length(m)), key, "secret"))
 
 
 def _named_secret(m: Column, key: str) -> Column:
-    name = F.regexp_extract(m, "^[a-z_]+ {0,2}[=:] {0,2}[\"']?", 0)
+    name = F.regexp_extract(m, f"^{NAME}", 0)
     return F.concat(name, permuted(F.substring(m, F.length(name) + 1, F.length(m)), key, "secret"))
 
 
 MAKERS = {
     "email": _email, "secret": _secret, "named_secret": _named_secret, "iban": _iban, "date": _date, "ip": _ip,
-    "phone": _phone, "ssn": _ssn, "card": _card,
+    "phone": _phone, "local_phone": _local_phone, "ssn": _ssn, "card": _card,
 }
 
 
@@ -344,7 +352,7 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
         found, between, pattern = found + "_", between + "_", pattern + "_"
     t = F.col(text_col)
     # texts without a digit, an @ or the name of a secret go through untouched
-    some = t.rlike("[0-9@]|AKIA|(?:password|passwd|secret|token|api_key|apikey) {0,2}[=:]")
+    some = t.rlike(f"[0-9@]|AKIA|gh[opsu]_|{NAME}")
     docs = docs.withColumn(pattern, F.when(some, _pattern(t)))
     matches = F.transform(F.regexp_extract_all(t, F.col(pattern), F.lit(0)), lambda m: F.struct(m.alias("old"), _found(m, key).alias("f")))
     out = docs.withColumns({found: F.when(F.col(pattern).isNotNull(), matches), between: F.when(F.col(pattern).isNotNull(), F.split(t, F.col(pattern), -1))})

@@ -84,6 +84,20 @@ def test_odd_rows_in_every_stage(spark, docs, tmp_path):
             df = spark.read.parquet(f"{tmp_path}/{name}-{rows is docs}")
 
 
+def test_stages_with_clashing_columns(spark, tmp_path):
+    """Extra columns with the names that stages use inside, a map column, repeated rows."""
+    spark.createDataFrame([(1, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["_id", "_text", "id", "hash", "row", "to", "gone", "gone_hash", "_may", "_word", "_bit", "_bits", "first", "best", "node", "score"]
+    df = spark.createDataFrame([(i, t, x, None, 5) for i, t, x in CASES], "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.withColumns({n: F.col("doc_id") for n in names} | {"attributes": F.create_map(F.lit("a"), F.col("doc_id"))})
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, df, str(tmp_path))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == df.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        df = spark.read.parquet(f"{tmp_path}/{name}")
+
+
 def test_rule_order_changes_work_only(docs):
     measured = quality_rules.measure(docs)
     one = quality_rules.cascade(measured, quality_rules.RULES).select("doc_id", "kept")
