@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..operators.lags import gap_aware_lags
-from .gram import moments, solve_spd
+from .gram import solve_spd
+from .lag_products import lag_products
 from .linear import LinearFit, demean, ols_pooled
 
 _SCHEMA = "statistic double, df1 double, df2 double, p_value double"
@@ -123,17 +124,15 @@ def breusch_godfrey(fit: LinearFit, t: str, order: int | None = None) -> DataFra
     """N R2 of the within residual on the demeaned covariates and its lags.
 
     Lags without a row count as zero. The default order is the fewest rows of an
-    entity.
+    entity; the products of all lags come from one pass over the rows.
     """
     if order is None:
         order = int(fit.fixef.agg(F.min("n_i")).first()[0])
     if order < 1:
         raise ValueError("order must be at least 1")
+    names = [f"{x}_dm" for x in fit.xs]
     rows = demean(fit.scored().select(fit.entity, t, *fit.xs, "resid"), fit.entity, fit.xs)
-    names = [f"_u{k}" for k in range(1, order + 1)]
-    rows = gap_aware_lags(rows, fit.entity, t, "resid", dict(zip(names, range(1, order + 1))))
-    z = [F.col(f"{x}_dm") for x in fit.xs] + [F.coalesce(n, F.lit(0.0)) for n in names]
-    c = moments(rows, [*z, F.col("resid")]).c
-    k = len(z)
+    c = lag_products(rows, fit.entity, t, "resid", names, order)
+    k = len(c) - 1
     stat = fit.n * float(c[:k, k] @ solve_spd(c[:k, :k], c[:k, k])) / float(c[k, k])
     return _row(fit.sample.sparkSession, stat, order, None, dist.chi2_upper(stat, order))

@@ -7,6 +7,7 @@ rule written the same way in both languages.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,8 @@ def sql_with(needs: tuple[str, ...], body: str) -> str:
         visit(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body
+    word = "WITH RECURSIVE " if any(re.search(rf"\bFROM {n}\b", CTES[n][1]) for n in order) else "WITH "
+    return word + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body
 
 
 def query(key: str, sql: str | None = None, needs: tuple[str, ...] = ()):

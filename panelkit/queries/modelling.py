@@ -747,7 +747,37 @@ def _(spark, sf):
     return test_out(spec_tests.breusch_godfrey(within_fit(spark, sf), "t", 1))
 
 
-@query("t10_breusch_godfrey_default_order")
+cte("bgo", "SELECT min(n) AS k FROM (SELECT count(*) AS n FROM wd GROUP BY l_suppkey)", ("wd",))
+cte("bgr", "SELECT l_suppkey, t, d1, d2, u FROM wd", ("wd",))
+# the columns of a row: the covariates, the lags that have a row, the residual
+cte(
+    "bgz",
+    """SELECT l_suppkey, t, 1 AS j, d1 AS v FROM bgr UNION ALL SELECT l_suppkey, t, 2, d2 FROM bgr
+       UNION ALL SELECT r.l_suppkey, r.t, 2 + r.t - l.t, l.u FROM bgr r JOIN bgr l ON r.l_suppkey = l.l_suppkey AND l.t < r.t, bgo WHERE r.t - l.t <= k
+       UNION ALL SELECT l_suppkey, t, 3 + k, u FROM bgr, bgo""",
+    ("bgr", "bgo"),
+)
+cte("bgc", "SELECT a.j AS i, b.j, sum(a.v * b.v) AS v FROM bgz a JOIN bgz b USING (l_suppkey, t) GROUP BY ALL", ("bgz",))
+cte(
+    "bgm",
+    """SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(coalesce(v, 0) ORDER BY j) AS r FROM
+         (SELECT i, unnest(range(1, k + 4)) AS j FROM (SELECT k, unnest(range(1, k + 4)) AS i FROM bgo)) LEFT JOIN bgc USING (i, j) GROUP BY i)""",
+    ("bgc", "bgo"),
+)
+# what is left of the residual's square once all other columns are eliminated, first column first
+cte(
+    "bge",
+    """SELECT m FROM bgm UNION ALL SELECT list_transform(m[2:], lambda r: list_transform(r[2:], lambda v, j: v - r[1] * m[1][j + 1] / m[1][1]))
+       FROM bge WHERE len(m) > 1""",
+    ("bgm",),
+)
+
+
+@query(
+    "t10_breusch_godfrey_default_order",
+    test_sql("n * (1 - e.m[1][1] / uu)", "k", None, "(SELECT count(*) AS n, sum(u * u) AS uu FROM bgr), bgo, bge e WHERE len(e.m) = 1"),
+    ("bgr", "bgo", "bge"),
+)
 def _(spark, sf):
     return test_out(spec_tests.breusch_godfrey(within_fit(spark, sf), "t"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from panelkit.functions import dist
 from panelkit.functions.columns import one_hot
 from panelkit.models import glm, gram, linear, robust, spec_tests
+from panelkit.models.lag_products import lag_products
 
 
 @pytest.fixture(scope="module")
@@ -201,6 +202,44 @@ def test_spec_tests_react(panel):
         spec_tests.breusch_godfrey(fit, "t", 0)
 
 
+def direct_godfrey(e, t, x, u, order):
+    """N R2 with a column per lag, and how many rows there are."""
+    known = {k: v for k, v in zip(zip(e.tolist(), t.tolist()), u.tolist(), strict=True)}
+    x = x - np.array([x[e == i].mean(0) for i in e])
+    lag = np.array([[known.get((i, s - k), 0.0) for k in range(1, order + 1)] for i, s in zip(e.tolist(), t.tolist(), strict=True)])
+    z = np.hstack([x, lag])
+    return len(u) * (u @ z @ np.linalg.lstsq(z, u, rcond=None)[0]) / (u @ u)
+
+
+@pytest.mark.parametrize("order,size", [(1, 4096), (3, 8), (None, 16)])
+def test_godfrey_equals_a_column_per_lag(panel, order, size, monkeypatch):
+    df, xs = panel
+    fit = linear.within(df, "ly", xs[:4], "e", ["t"])
+    rows = fit.scored().select("e", "t", *xs[:4], "resid")
+    e, t, x, u = to_numpy(rows, xs[:4], "resid")
+    products = spec_tests.lag_products
+    monkeypatch.setattr(spec_tests, "lag_products", lambda *a: products(*a, size=size))
+    got = spec_tests.breusch_godfrey(fit, "t", order).first()
+    assert got.statistic == pytest.approx(direct_godfrey(e, t, x, u, int(got.df1)), rel=1e-8)
+
+
+def test_lag_products_of_a_long_hot_entity(spark):
+    """300 lags of one entity with nearly all rows, over slices, with gaps and short chunks of rows."""
+    rng = np.random.default_rng(3)
+    times = np.sort(rng.choice(6000, 5000, replace=False))
+    rows = [("hot", int(s), float(v), float(w)) for s, v, w in zip(times, rng.normal(size=5000), rng.normal(size=5000), strict=True)]
+    rows += [("a", 5, 1.0, 2.0), ("a", 400, 3.0, 4.0)]
+    df = spark.createDataFrame(rows, "e string, t int, u double, x double")
+    got = lag_products(df, "e", "t", "u", ["x"], 300)
+    want = np.zeros((302, 302))
+    for name in ("hot", "a"):
+        line = {s: (u, x) for n, s, u, x in rows if n == name}
+        z = np.array([[x, *[line.get(s - k, (0.0,))[0] for k in range(1, 301)], u] for s, (u, x) in line.items()])
+        want += z.T @ z
+    assert np.allclose(got, want, atol=1e-8)
+    assert not lag_products(df.limit(0), "e", "t", "u", ["x"], 2).any()
+
+
 def test_logit_of_missingness(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=800)
