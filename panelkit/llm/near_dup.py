@@ -8,8 +8,12 @@ by their minwise tokens. A pair that this leaves possible is assigned to one of
 the nodes it was found in, and the members of such pairs meet there once more
 with their whole texts: the task compares their full shingle sets and returns
 no more links than it has members.
-Nodes still too large at the last level are compared in blocks, so no case is
-dropped and no task holds more than two blocks.
+Nodes still too large at the last level hold the near copies of few templates:
+their members meet once with their texts, a task's worth at a time beside the
+same few pivots, which ties most of them into one component. Pairs inside a
+component need no further test; only the members outside the largest one of a
+node are compared with all of it, in blocks, so no case is dropped, no
+task holds more than two blocks, and the work grows with the members.
 
 With similarity s, a pair shares a root token with probability s and stays in
 one of two children with 1 - (1 - s)^2. A lower least similarity gets more trees:
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, cut_lineage, drop_table
@@ -44,6 +48,7 @@ FAN = 2
 STEPS = FAN * (LEVELS - 1)  # child tokens of one tree
 MISSED, PASSED = 1.3e-5, 1.3e-8  # chances that a pair of the least similarity shares no root, and agrees in too few tokens
 SMALL, WEIGHT = 2048, 4_000_000  # members and shingles of a node that one task compares
+PIVOTS = 4  # members that stand beside every group of a large node
 FEW = 4  # possible pairs per member up to which they are listed as pairs
 KNOWN_WORDS = 200_000  # word hashes a worker remembers
 
@@ -156,11 +161,10 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def descend(sets: DataFrame, trees: int, scratch: Scratch) -> DataFrame:
-    """Members of the nodes to compare, with two or more members each: (node, doc_id, n_shingles).
+def descend(sets: DataFrame, trees: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Members of the nodes to compare and of those still large at the last level: (node, doc_id, n_shingles).
 
-    A level holds the children of the last one's large nodes. At the last level
-    a large node becomes one node per pair of its blocks.
+    Each node has two or more members; a level holds the children of the last one's large nodes.
     """
     roots = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.get("roots", F.lit(t))).alias("node")) for t in range(trees)])
     members = sets.select("doc_id", "n_shingles", F.explode(roots).alias("x")).select("doc_id", "n_shingles", "x.t", "x.node")
@@ -173,17 +177,57 @@ def descend(sets: DataFrame, trees: int, scratch: Scratch) -> DataFrame:
         out = part if out is None else out.union(part)
         rest = nodes.filter(large)
         if not rest.limit(1).count():
-            return out
+            return out, None
         if level < LEVELS - 1:
             rest = rest.join(sets.select("doc_id", "n_shingles", "steps"), ["doc_id", "n_shingles"])
             children = F.array(*[F.xxhash64("node", F.lit(f), F.get("steps", F.col("t") * STEPS + FAN * level + f)) for f in range(FAN)])
             members = rest.select("doc_id", "n_shingles", "t", F.explode(children).alias("node"))
             members = members.dropDuplicates(["node", "doc_id", "n_shingles"])
-    blocks = F.ceil(F.greatest(F.col("n") * 2 / SMALL, F.col("weight") * 2 / WEIGHT)).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    return out.union(rest.select(pair.alias("node"), "doc_id", "n_shingles"))
+    return out, rest.select("node", "doc_id", "n_shingles")
+
+
+def n_blocks() -> Column:
+    """Blocks of the members that an aggregate counts, of which two are one task's worth."""
+    parts = F.ceil(F.greatest(F.count("*") * 2 / SMALL, F.sum("n_shingles") * 2 / WEIGHT))
+    return F.greatest(F.lit(1), parts.cast("int"))
+
+
+def around_pivots(dense: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, a): each member of large nodes once, in a group of bounded size with the pivots of one of its nodes.
+
+    Pivots are members with the smallest of some hashes, so nodes of much the same members have the same.
+    """
+    small = F.col("n_shingles") <= WEIGHT // (8 * PIVOTS)
+    least = [F.min(F.when(small, F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), "doc_id")))["doc_id"] for i in range(PIVOTS)]
+    pivots = dense.groupBy("node").agg(F.array_sort(F.array_distinct(F.array_compact(F.array(*least)))).alias("pivots"))
+    pivots = scratch.keep(pivots.withColumn("key", F.xxhash64("pivots")))
+    # a row of the sets is an id and a size; an id with several sets is here with its largest
+    own = dense.join(pivots.select("node", "key"), "node").groupBy("doc_id").agg(F.min("key").alias("key"), F.max("n_shingles").alias("n_shingles"))
+    own = scratch.keep(own)
+    parts = scratch.keep(own.groupBy("key").agg(n_blocks().alias("parts")))
+    group = F.xxhash64("key", "part").alias("node")
+    rows = own.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), "parts").cast("int")).select(group, F.col("doc_id").alias("a"))
+    few = parts.join(pivots.select("key", "pivots").dropDuplicates(["key"]), "key")
+    few = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "part", F.explode("pivots").alias("a"))
+    return rows.union(few.select(group, "a")).distinct()
+
+
+def loose(dense: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, doc_id, n_shingles): members outside the largest component of a large node, in blocks with all its members."""
+    known = dense.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    known = scratch.keep(known)
+    tied = known.groupBy("node", "root").agg(F.count("*").alias("n"))
+    main = tied.groupBy("node").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    main = scratch.keep(main.drop("roots"))
+    blocks = known.join(main, "node").groupBy("node").agg(n_blocks().alias("blocks"))
+    odd = scratch.keep(known.join(main, "node").filter("root <> main").select("node", "doc_id", "n_shingles"))
+    counts = scratch.keep(blocks.join(odd.groupBy("node").agg(n_blocks().alias("odd_blocks")), "node"))
+    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    one = known.select("node", "doc_id", "n_shingles").join(counts, "node").select("*", deal("blocks").alias("b"), every("o", "odd_blocks"))
+    two = odd.join(counts, "node").select("*", deal("odd_blocks").alias("o"), every("b", "blocks"))
+    cols = [F.xxhash64("node", "o", "b").alias("node"), "doc_id", "n_shingles"]
+    return one.select(*cols).union(two.select(*cols)).distinct()
 
 
 def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,7 +333,13 @@ def links(sets: DataFrame, texts: DataFrame, ties: DataFrame, percent: int) -> D
     # 15 bits of each token: equal tokens stay equal, so no pair is lost, and a member is small to move
     sketch = F.transform(F.concat("roots", F.col("steps").cast("array<long>")), lambda x: F.pmod(x, F.lit(32768)).cast("short"))
     scratch = Scratch()
-    members = descend(sets, trees_for(percent), scratch).join(sets.select("doc_id", "n_shingles", sketch.alias("sketch")), ["doc_id", "n_shingles"])
+    nodes, dense = descend(sets, trees_for(percent), scratch)
+    if dense is not None:
+        meet = scratch.keep(around_pivots(dense, scratch))
+        ties = cut_lineage(confirmed(meet, texts, percent).union(ties))
+        tied = components(ties)
+        nodes = nodes.union(loose(dense, tied, scratch))
+    members = nodes.join(sets.select("doc_id", "n_shingles", sketch.alias("sketch")), ["doc_id", "n_shingles"])
     found = cut_lineage(possible(members, percent))
     scratch.drop()
     pairs = found.filter("b is not null").groupBy("a", "b").agg(F.min("node").alias("node"))
@@ -297,7 +347,7 @@ def links(sets: DataFrame, texts: DataFrame, ties: DataFrame, percent: int) -> D
     meet = cut_lineage(few.union(found.filter("b is null").select("node", "a")).distinct())
     drop_table(found)
     edges = cut_lineage(confirmed(meet, texts, percent).union(ties))
-    drop_table(meet)
+    drop_table(meet, *([ties] if dense is not None else []))
     roots = components(edges)
     drop_table(edges)
     return roots

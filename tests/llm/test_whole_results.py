@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -112,3 +113,49 @@ def test_texts_of_different_terms_share_no_fingerprint(spark):
         by.setdefault(r["fingerprint"], set()).add(frozenset((r["text"] or "").encode().lower().split()))
     assert all(len(terms) == 1 for f, terms in by.items() if f.startswith("=")) and any(f.startswith("=") for f in by)
     assert not any(set(f) == {"-", "."} for f in by)
+
+
+def template_copies(spark, n, seed=1):
+    """Texts of one template with a word changed in each, beside texts with every tenth word changed, which are like no other."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.choice(300, 1, replace=False) if i % 50 else range(0, 300, 10):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+
+
+def test_dense_nodes_grow_with_their_members(spark, monkeypatch):
+    from panelkit.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "SMALL", 256)
+    laid, plain = [], near_dup.possible
+
+    def counted(members, percent):
+        laid.append(members.count())
+        return plain(members, percent)
+
+    monkeypatch.setattr(near_dup, "possible", counted)
+    for n in (1500, 3000):
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.classes(template_copies(spark, n)).collect()}
+        assert got == {i: i if i % 50 == 0 else 1 for i in range(n)}
+    assert laid[1] < 3 * laid[0] and laid[1] < 20 * 3000
+
+
+def test_loose_members_meet_all_of_their_node(spark, monkeypatch):
+    """Without any pivot's help each pair of a node is laid out together at least once."""
+    from panelkit.llm import near_dup
+    from panelkit.session import Scratch
+
+    monkeypatch.setattr(near_dup, "SMALL", 16)
+    dense = spark.createDataFrame([(7, i, 50) for i in range(60)], "node long, doc_id long, n_shingles int")
+    roots = spark.createDataFrame([(i, 0 if i < 20 else 20 if i < 30 else i) for i in range(60)], "id long, root long")
+    groups = {}
+    for r in near_dup.loose(dense, roots, Scratch()).collect():
+        groups.setdefault(r["node"], set()).add(r["doc_id"])
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert met >= {(a, b) for a in range(60) for b in range(max(a + 1, 20), 60)}
+    assert max(map(len, groups.values())) <= 32
