@@ -7,6 +7,10 @@ running moments about its own middle, so the part of a window in a block is
 the difference of two of them; whole blocks between are moved to the middle of the
 anchor's block once for all its anchors, and from there to each anchor. All coordinates
 are shares of the window, at most 1, so nothing cancels beyond the size of the sums.
+
+Entities of few rows are many, and a block of theirs would cost more calls than rows. Those
+with the same number of rows have the same windows, so their sums are products of their
+weights and values with one table (anchor x row), for thousands of entities at once.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import numpy as np
 
 DEGREE = 12  # moments 0..11: tricube (9) times the square of a distance (2)
 MIN_BLOCK, MAX_BLOCK = 16, 4096
+TABLE_CELLS = 1 << 20  # anchors x rows of an entity up to which its lines come from a table
 
 # Fixed values of robust local regression (Cleveland 1979): weights within this
 # share of the radius count fully, beyond that share not at all.
@@ -48,6 +53,23 @@ def running(pos: np.ndarray, y: np.ndarray, w: np.ndarray, block: np.ndarray, si
     return known, out
 
 
+def windows(c: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last of the k rows nearest to each anchor, and the distance to the farther one."""
+    left = np.clip(c - k // 2, 1, n - k + 1)
+    right = left + k - 1
+    return left, right, np.maximum(c - left, right - c).astype(float)
+
+
+def line_values(sw: np.ndarray, sd: np.ndarray, sdd: np.ndarray, sy: np.ndarray, sdy: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Value at the anchor of the line with these sums, distances being shares of the window; NaN where no row has weight."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = sdd / sw - (sd / sw) ** 2
+        level = sy / sw
+        slope = (sdy - sd * sy / sw) / (sw * var)
+        flat = np.sqrt(np.maximum(var, 0)) * k <= 0.001 * (n - 1)
+        return np.where(sw > 0, np.where(flat, level, level - slope * sd / sw), np.nan)
+
+
 @dataclass
 class Rows:
     """What a task holds of an entity: running moments of some blocks, moments of all."""
@@ -91,9 +113,7 @@ class Rows:
 
     def lines(self, c: np.ndarray) -> np.ndarray:
         """Value at each anchor of the line fitted to its k nearest rows; NaN where no row has weight."""
-        left = np.clip(c - self.k // 2, 1, self.n - self.k + 1)
-        right = left + self.k - 1
-        h = np.maximum(c - left, right - c).astype(float)
+        left, right, h = windows(c, self.n, self.k)
         lo, hi = np.maximum(left, np.ceil(c - FAR * h)).astype(int), np.minimum(right, np.floor(c + FAR * h)).astype(int)
         near = np.floor(NEAR * h).astype(int)
         lo, hi = np.minimum(lo, c), np.maximum(hi, c)
@@ -102,13 +122,7 @@ class Rows:
         r = np.where(h > 0, self.k / np.where(h > 0, h, 1), 0.0)[:, None]
         tri = lambda m, s, a: m[:, :, a] - s * 3 * r**3 * m[:, :, a + 3] + 3 * r**6 * m[:, :, a + 6] - s * r**9 * m[:, :, a + 9]
         s = [full[:, :, a] + tri(before, -1, a) + tri(behind, 1, a) for a in range(3)]
-        sw, sd, sdd, sy, sdy = s[0][:, 0], s[1][:, 0], s[2][:, 0], s[0][:, 1], s[1][:, 1]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            var = sdd / sw - (sd / sw) ** 2
-            level = sy / sw
-            slope = (sdy - sd * sy / sw) / (sw * var)
-            flat = np.sqrt(np.maximum(var, 0)) * self.k <= 0.001 * (self.n - 1)
-            return np.where(sw > 0, np.where(flat, level, level - slope * sd / sw), np.nan)
+        return line_values(s[0][:, 0], s[1][:, 0], s[2][:, 0], s[0][:, 1], s[1][:, 1], self.n, self.k)
 
 
 def anchors_for(first: int, last: int, n: int, step: int) -> np.ndarray:
@@ -117,26 +131,31 @@ def anchors_for(first: int, last: int, n: int, step: int) -> np.ndarray:
     return np.unique(np.minimum(n, 1 + inner * step))
 
 
-def fitted(rows: Rows, pos: np.ndarray, y: np.ndarray, step: int) -> np.ndarray:
-    """Trend at each row: lines at the anchors, interpolated between; without a line a row keeps its own value."""
-    a = anchors_for(int(pos[0]), int(pos[-1]), rows.n, step)
-    v = np.concatenate([rows.lines(a[i : i + 4096]) for i in range(0, len(a), 4096)])
+def interpolated(a: np.ndarray, v: np.ndarray, pos: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Values at the rows between the anchors ``a`` with lines ``v``; without a line a row keeps its own value."""
     hi = np.searchsorted(a, pos)
     lo = np.where(a[hi] == pos, hi, hi - 1)
-    v_lo = np.where(np.isnan(v[lo]), y, v[lo])
+    below, above = v[..., lo], v[..., hi]
+    v_lo = np.where(np.isnan(below), y, below)
     share = np.where(hi > lo, (pos - a[lo]) / np.maximum(a[hi] - a[lo], 1), 0.0)
-    return np.where(share == 0, v_lo, v_lo + share * (np.where(np.isnan(v[hi]), y, v[hi]) - v_lo))
+    return np.where(share == 0, v_lo, v_lo + share * (np.where(np.isnan(above), y, above) - v_lo))
+
+
+def fitted(rows: Rows, pos: np.ndarray, y: np.ndarray, step: int) -> np.ndarray:
+    """Trend at each row: lines at the anchors, interpolated between."""
+    a = anchors_for(int(pos[0]), int(pos[-1]), rows.n, step)
+    v = np.concatenate([rows.lines(a[i : i + 4096]) for i in range(0, len(a), 4096)])
+    return interpolated(a, v, pos, y)
 
 
 def robust(y: np.ndarray, fit: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Bisquare weights from six times the median absolute residual."""
+    """Bisquare weights from six times the median absolute residual, over the last axis."""
     res = np.abs(y - fit)
-    c = 6 * np.median(res)
-    if c < 1e-7 * res.mean():
-        return w
+    c = 6 * np.median(res, axis=-1, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
         q = res / c
-    return np.where(res <= NEAR * c, 1.0, np.where(res <= FAR * c, (1 - q * q) ** 2, 0.0))
+    bisq = np.where(res <= NEAR * c, 1.0, np.where(res <= FAR * c, (1 - q * q) ** 2, 0.0))
+    return np.where(c < 1e-7 * res.mean(axis=-1, keepdims=True), w, bisq)
 
 
 def whole_entity(y: np.ndarray, k: int, step: int, passes: int) -> np.ndarray:
@@ -150,3 +169,31 @@ def whole_entity(y: np.ndarray, k: int, step: int, passes: int) -> np.ndarray:
         if it < passes:
             w = robust(y, fit, w)
     return fit
+
+
+def alike_entities(y: np.ndarray, k: int, step: int, passes: int) -> np.ndarray:
+    """All passes over entities with the same number of rows, one in each row of ``y``."""
+    n = y.shape[1]
+    pos, a = np.arange(1, n + 1), anchors_for(1, n, n, step)
+    if len(a) * n > TABLE_CELLS:
+        return np.array([whole_entity(one, k, step, passes) for one in y])
+    finite = np.isfinite(y).all(axis=1)
+    if not finite.all():  # a product would spread the value over lines out of its reach
+        out = np.empty(y.shape)
+        out[~finite] = [whole_entity(one, k, step, passes) for one in y[~finite]]
+        if finite.any():
+            out[finite] = alike_entities(y[finite], k, step, passes)
+        return out
+    h = windows(a, n, k)[2]
+    d = np.subtract.outer(pos, a).astype(float)
+    far = np.abs(d)
+    cube = (1 - (far / np.where(h > 0, h, 1)) ** 3) ** 3
+    tri = np.where(far <= NEAR * h, 1.0, np.where(far <= FAR * h, cube, 0.0))
+    level, first, second = (tri * (d / k) ** m for m in range(3))
+    w = np.ones(y.shape)
+    for it in range(passes + 1):
+        wy = w * y
+        fit = interpolated(a, line_values(w @ level, w @ first, w @ second, wy @ level, wy @ first, n, k), pos, y)
+        if it < passes:
+            w = robust(y, fit, w)
+    return fit

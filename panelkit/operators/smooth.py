@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +100,7 @@ def residual_smooths(
 
 
 WHOLE_ROWS = 32_768  # rows of an entity that one task fits with all passes
+BATCH_ROWS = 32_768  # rows of such entities that a task fits at once, and those of the last one
 TILE_ROWS = 16_384  # rows of a longer entity that one task fits at once
 
 
@@ -121,7 +123,8 @@ def lowess(
     row). The sums of a line come from prefix moments of blocks of rows
     (``local_lines``), so the work grows with the rows, whatever the span and the
     number of anchors. An entity of up to ``whole_rows`` rows is one task's work with all
-    its passes; a longer one is cut into tiles of ``tile_rows``, each of which gets its
+    its passes, together with others of as many rows, from one table of weights as long
+    as that stays small; a longer one is cut into tiles of ``tile_rows``, each of which gets its
     own rows, those at the ends of its windows, and the moments of all blocks.
     Rows with a null y are left out before indexing.
     Returns (entity, t, pos, y, trend).
@@ -145,12 +148,35 @@ def lowess(
 
 
 def _lowess_whole(cur: DataFrame, entity: str, passes: int) -> DataFrame:
-    def fit(pdf):
-        pdf = pdf.sort_values("_pos")
-        k, step = int(pdf["_k"].iloc[0]), int(pdf["_step"].iloc[0])
-        return pdf.assign(_fit=local_lines.whole_entity(pdf["_y"].to_numpy(), k, step, passes))
-
-    return cur.groupBy(entity).applyInPandas(fit, _with(cur, "_fit double"))
+    def of(table: pa.Table) -> pa.Table:
+        n, k, step, y = (table[c].to_numpy() for c in ("_n", "_k", "_step", "_y"))
+        starts = np.flatnonzero(np.diff(n, prepend=0))  # entities of as many rows follow each other
+        fit = [
+            local_lines.alike_entities(y[i:j].reshape(-1, n[i]), int(k[i]), int(step[i]), passes).ravel()
+            for i, j in zip(starts, [*starts[1:], len(n)])
+        ]
+        number = lambda v: pa.array(v, from_pandas=True)  # noqa: E731  # NaN is null, as in the tiles
+        table = table.set_column(table.column_names.index("_y"), "_y", number(y))
+        return table.append_column("_fit", number(np.concatenate(fit)))
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < BATCH_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            n = table["_n"].to_numpy()
+            whole = rows - int((n == n[-1]).sum()) % int(n[-1])  # the last entity may go on in the next batch
+            if whole:
+                yield from of(table.slice(0, whole)).to_batches()
+            held, rows = table.slice(whole).to_batches(), rows - whole
+        if rows:
+            yield from of(pa.Table.from_batches(held)).to_batches()
+
+    rows = cur.repartition(entity).sortWithinPartitions("_n", entity, "_pos")
+    return rows.mapInArrow(run, _with(cur, "_fit double"))
 
 
 def _with(df: DataFrame, more: str) -> str:

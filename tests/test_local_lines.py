@@ -57,3 +57,59 @@ def test_tiles_give_the_same(spark, span, share):
         k = min(n, max(2, int(span * n + 1e-7)))
         fit = got[got["e"] == e].sort_values("pos")["trend"].to_numpy()
         assert np.allclose(fit, direct(vs, k, max(1, int(share * (n - 1))), 3), atol=1e-8)
+
+
+def entities(spark, n_of, seed=3):
+    """Rows of entity i with n_of[i] values, some series in many entities, and a frame of them."""
+    known = {}
+    for i, n in enumerate(n_of):
+        known.setdefault((i % 4, n), series(n, seed + i))
+    rows = [(i, t * 2, float(v)) for i, n in enumerate(n_of) for t, v in enumerate(known[i % 4, n])]
+    return known, spark.createDataFrame(rows, "e long, t int, y double").repartition(3)
+
+
+def test_short_entities_are_fitted_together(spark, monkeypatch):
+    """No call per entity, and batches that end anywhere within an entity."""
+
+    def alone(*_):
+        raise AssertionError("an entity of few rows was fitted alone")
+
+    monkeypatch.setattr(local_lines, "whole_entity", alone)
+    monkeypatch.setattr(smooth, "BATCH_ROWS", 300)
+    n_of = [(27, 31, 82, 150)[i % 5 % 4] for i in range(120)] + [1, 2, 700]
+    known, df = entities(spark, n_of)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = smooth.lowess(df, "e", "t", "y").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == sum(n_of)
+    want = {(g, n): direct(y, min(n, max(2, int(2 / 3 * n + 1e-7))), max(1, int(0.01 * (n - 1))), 3) for (g, n), y in known.items()}
+    for e, rows in got.groupby("e"):
+        rows = rows.sort_values("pos")
+        assert list(rows["pos"]) == list(range(1, n_of[e] + 1))
+        assert np.array_equal(rows["y"], known[e % 4, n_of[e]])
+        assert np.allclose(rows["trend"], want[e % 4, n_of[e]], atol=1e-9)
+
+
+def test_five_rows_are_their_own_trend(spark):
+    """Windows of three rows give weight to one or two of them, whatever rounding leaves of the residuals."""
+    y = np.random.default_rng(5).standard_t(2, size=(200, 5))
+    rows = [(e, t, float(v)) for e, vs in enumerate(y) for t, v in enumerate(vs)]
+    got = smooth.lowess(spark.createDataFrame(rows, "e long, t int, y double"), "e", "t", "y").toPandas()
+    assert len(got) == 1000 and np.allclose(got["trend"], got["y"], atol=1e-9)
+
+
+def test_nan_becomes_null(spark):
+    rows = [(e, t, float("nan") if (e, t) == (1, 4) else float(t)) for e in (1, 2) for t in range(5)]
+    got = smooth.lowess(spark.createDataFrame(rows, "e long, t int, y double"), "e", "t", "y").collect()
+    assert [(r.e, r.t) for r in got if r.y is None] == [(1, 4)] and all(r.trend is not None for r in got if r.e == 2)
+
+
+def test_a_value_that_is_not_finite_stays_with_its_entity():
+    y = np.array([series(60, s) for s in range(3)])
+    y[1, 50] = np.nan
+    got = local_lines.alike_entities(y, 20, 1, 3)
+    for one, fit in zip(y[[0, 2]], got[[0, 2]]):
+        assert np.allclose(fit, direct(one, 20, 1, 3), atol=1e-9)
+    assert np.array_equal(got[1], local_lines.whole_entity(y[1], 20, 1, 3), equal_nan=True)
