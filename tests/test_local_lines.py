@@ -113,3 +113,14 @@ def test_a_value_that_is_not_finite_stays_with_its_entity():
     for one, fit in zip(y[[0, 2]], got[[0, 2]]):
         assert np.allclose(fit, direct(one, 20, 1, 3), atol=1e-9)
     assert np.array_equal(got[1], local_lines.whole_entity(y[1], 20, 1, 3), equal_nan=True)
+
+
+@pytest.mark.parametrize(("n", "step"), [(82, 1), (300, 2), (1200, 11)])
+def test_table_and_moments_agree(monkeypatch, n, step):
+    """Residuals of months or longer: one table for all entities, and moments where it would be too large."""
+    y = np.array([series(n, s) for s in range(5)])
+    k = int(2 / 3 * n)
+    table = local_lines.alike_entities(y, k, step, 3)
+    monkeypatch.setattr(local_lines, "TABLE_CELLS", 0)
+    assert np.allclose(table, local_lines.alike_entities(y, k, step, 3), atol=1e-9)
+    assert np.allclose(table[0], direct(y[0], k, step, 3), atol=1e-9)
