@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normal_quantile
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_table
 from . import local_lines
 from .ranking import exact_quantiles, global_rank
 from .slices import SLICE_ROWS, drop_halo, entity_position, join_spread, slice_window, with_halo
@@ -126,21 +126,22 @@ def lowess(
     its passes, together with others of as many rows, from one table of weights as long
     as that stays small; a longer one is cut into tiles of ``tile_rows``, each of which gets its
     own rows, those at the ends of its windows, and the moments of all blocks.
-    Rows with a null y are left out before indexing.
+    Rows with a null y, entity or t are left out before indexing.
     Returns (entity, t, pos, y, trend).
     """
     if delta_share < 0:
         raise ValueError("delta_share must not be negative")
-    base = entity_position(
-        df.filter(F.col(y).isNotNull()).select(entity, t, F.col(y).cast("double").alias("_y")), entity, t, "_pos", size
-    )
-    n_of = base.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
+    known = df.filter(F.col(y).isNotNull() & F.col(entity).isNotNull() & F.col(t).isNotNull())
+    rows = cut_lineage(known.select(entity, t, F.col(y).cast("double").alias("_y")))  # positions and counts read it, the input is computed once
+    base = entity_position(rows, entity, t, "_pos", size)
+    n_of = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
     n = F.col("_n")
     k = F.least(n, F.greatest(F.lit(2), F.least(n, F.floor(F.lit(span) * n + 1e-7))))
     step = F.greatest(F.lit(1), F.floor(F.lit(delta_share) * (n - 1)))
     cur = cut_lineage(
         join_spread(base, n_of, entity).select(entity, t, "_pos", "_y", "_n", k.cast("long").alias("_k"), step.cast("long").alias("_step"))
     )
+    drop_table(rows)
     out = _lowess_whole(cur.filter(n <= whole_rows), entity, passes)
     if cur.filter(n > whole_rows).limit(1).count():
         out = out.unionByName(_lowess_tiles(cur.filter(n > whole_rows), entity, passes, tile_rows))

@@ -124,3 +124,19 @@ def test_table_and_moments_agree(monkeypatch, n, step):
     monkeypatch.setattr(local_lines, "TABLE_CELLS", 0)
     assert np.allclose(table, local_lines.alike_entities(y, k, step, 3), atol=1e-9)
     assert np.allclose(table[0], direct(y[0], k, step, 3), atol=1e-9)
+
+
+def test_the_input_is_computed_once(spark):
+    """Counts, positions and lengths read the rows as written, so a fit behind them does not run for each; rows without a key go."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = [(e, i, float(i * i % 7)) for e in ("a", "b") for i in range(30)] + [(None, 1, 1.0), ("a", None, 1.0), ("b", 31, None)]
+    df = spark.createDataFrame(rows, "e string, t int, y double").mapInPandas(counted, "e string, t int, y double")
+    got = smooth.lowess(df, "e", "t", "y").collect()
+    assert sorted((r.e, r.t, r.pos) for r in got) == [(e, i, i + 1) for e in ("a", "b") for i in range(30)]
+    assert seen.value == len(rows)
