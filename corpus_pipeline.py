@@ -45,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # the row is one column, so that none of its columns can clash with a key
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     ids = docs.filter(F.col("text").rlike("[^ \\t-\\r]")).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    ids = scratch.keep(ids)  # read twice, without the texts
     texts = docs.select(F.xxhash64("text").alias("hash"), "text")
     found = near_dup.classes(texts, id_col="hash", percent=NEAR_PERCENT).filter("not kept and n_shingles > 0")
     # written, so that the joins are planned by the number of rows that go

@@ -4,10 +4,11 @@ Equal sets are one class first. The classes then descend independent trees: at
 the root a class goes to the node of its minwise token, and in every node that
 is too large for one task it goes on to ``FAN`` children, chosen by further
 minwise tokens. A node that is small enough compares all its members in memory
-by their minwise tokens. A pair that this leaves possible is assigned to one of
-the nodes it was found in, and the members of such pairs meet there once more
-with their whole texts: the task compares their full shingle sets and returns
-no more links than it has members.
+by their minwise tokens, but for those that share too few with all others
+together. A pair that this leaves possible is assigned to one of the nodes it
+was found in, and the members of such pairs meet there once more with their
+whole texts: the task compares full shingle sets until every pair is compared
+or lies within one component, and returns fewer links than it has members.
 Nodes still too large at the last level hold the near copies of few templates:
 their members meet once with their texts, a task's worth at a time beside the
 same few pivots, which ties most of them into one component. Pairs inside a
@@ -30,7 +31,8 @@ null doc_id has a null component, links with nothing and is kept.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -50,7 +52,9 @@ MISSED, PASSED = 1.3e-5, 1.3e-8  # chances that a pair of the least similarity s
 SMALL, WEIGHT = 2048, 4_000_000  # members and shingles of a node that one task compares
 PIVOTS = 4  # members that stand beside every group of a large node
 FEW = 4  # possible pairs per member up to which they are listed as pairs
-KNOWN_WORDS = 200_000  # word hashes a worker remembers
+TOGETHER = 1 << 16  # bytes of text that are hashed at a time
+PART = 4096  # words of a long text that are hashed at a time
+LONG_WORD = 4096
 
 
 def trees_for(percent: int) -> int:
@@ -70,30 +74,75 @@ def agreement(percent: int) -> int:
     return k
 
 
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and place of each word, in order, without an object per word.
+
+    A word is the sum of a number per byte and place in the word; the xxh64 of
+    the bytes stands for words over ``LONG_WORD`` bytes.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    ink = INK[b]
+    edge = np.flatnonzero(np.diff(ink, prepend=False, append=False))
+    starts, n = edge[::2], edge[1::2] - edge[::2]
+    long = np.flatnonzero(n > LONG_WORD)
+    whole = [xxhash.xxh64_intdigest(raw[starts[i] : starts[i] + n[i]]) for i in long]
+    for i in long:
+        ink[starts[i] + 1 : starts[i] + n[i]] = False
+        n[i] = 1
+    letters, first = b[ink], np.cumsum(n) - n
+    if not len(n):
+        return np.zeros(0, np.uint64), starts
+    place = np.arange(len(letters)) - np.repeat(first, n)
+    out = mixed(np.add.reduceat(BYTE[letters] * PLACE[place], first) + n.astype(np.uint64))
+    out[long] = np.array(whole, np.uint64)
+    return out, starts
+
+
 class Shingler:
-    """Distinct shingles of a text as sorted 64-bit hashes."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def _hash(self, word: bytes) -> int:
-        h = self.known.get(word)
-        if h is None:
-            if len(self.known) >= KNOWN_WORDS:
-                self.known.clear()
-            h = self.known[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "replace").lower().split()  # bytes: lower-cases A-Z and splits at U+0020, U+0009-U+000D
-        h = np.fromiter(map(self._hash, words), np.uint64, len(words))
-        k = min(WORDS, len(h))
-        if not k:
-            return h
-        out = np.full(len(h) - k + 1, k, np.uint64)
-        for i in range(k):
-            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-        return np.unique(out)
+    """Distinct shingles of texts as sorted 64-bit hashes."""
+
+    def __call__(self, texts: Iterable[str]) -> list[np.ndarray]:
+        """One array per text; short texts are hashed together, some ``TOGETHER`` bytes at a time."""
+        out: list[np.ndarray] = []
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            raw = text.encode("utf-8", "replace").lower()  # bytes: lower-cases A-Z; words end at U+0020, U+0009-U+000D
+            held.append(raw)
+            size += len(raw)
+            if size >= TOGETHER:
+                out += self._sets(held)
+                held, size = [], 0
+        return out + self._sets(held)
+
+    def _sets(self, raws: list[bytes]) -> list[np.ndarray]:
+        if len(raws) > 1 and len(raws[-1]) > TOGETHER:  # a long text is cut for itself
+            return self._sets(raws[:-1]) + self._sets(raws[-1:])
+        if len(raws) == 1 and len(raws[0]) > TOGETHER:
+            words = raws[0].split()
+            parts = [word_hashes(b" ".join(words[k : k + PART]))[0] for k in range(0, len(words), PART)]
+            h, ends = np.concatenate([np.zeros(0, np.uint64), *parts]), [0, len(words)]
+        else:
+            h, starts = word_hashes(b"\n".join(raws))
+            ends = [0, *np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raws])).tolist()]
+        runs = rolled(h, WORDS)  # those that reach into the next text are not used
+        out = []
+        for at, end in pairwise(ends):
+            k = min(WORDS, end - at)
+            s = runs[at : end - WORDS + 1] if k == WORDS else rolled(h[at:end], k)
+            if len(s) > 1:
+                s = np.sort(s)
+                s = s[np.concatenate(([True], s[1:] != s[:-1]))]
+            out.append(s)
+        return out
+
+
+def rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k word hashes."""
+    out = np.full(max(0, len(h) - k + 1) if k else 0, k, np.uint64)
+    for i in range(k):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)])
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -103,14 +152,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def minwise(s: np.ndarray, n: int) -> np.ndarray:
-    """For each of n orders of all shingles, the first of the set."""
+INK = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+PLACE = mixed(np.arange(1, LONG_WORD + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+
+
+def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is added to and multiplies a shingle in each of n orders."""
     k = np.arange(1, n + 1, dtype=np.uint64)
-    seeds, odd = mixed(k * np.uint64(0xD1B54A32D192ED03))[:, None], mixed(k * np.uint64(0x8CB92BA72F3D8DD7))[:, None] | np.uint64(1)
-    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for part in range(0, len(s), 4096):  # bounded memory for long texts
-        out = np.minimum(out, ((s[None, part : part + 4096] ^ seeds) * odd).min(1))
-    return out
+    return mixed(k * np.uint64(0xD1B54A32D192ED03)), mixed(k * np.uint64(0x8CB92BA72F3D8DD7)) | np.uint64(1)
+
+
+def minwise(sets: list[np.ndarray], trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set (none is empty), the first shingle of each order: one of 64 bits per tree and one of 32 bits per child."""
+    roots, steps = np.empty((len(sets), trees), np.uint64), np.empty((len(sets), trees * STEPS), np.uint32)
+    add, times = seeds(tokens_of(trees))
+    ends = np.cumsum([0, *map(len, sets)])
+    at = 0
+    while at < len(sets):  # a part that stays in the processor's cache, but whole sets
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOGETHER // 2, "right")) - 1)
+        s, first = np.concatenate(sets[at:to]), ends[at:to] - ends[at]
+        for t in range(trees):
+            roots[at:to, t] = np.minimum.reduceat((s ^ add[t]) * times[t], first)
+        s = (s >> np.uint64(32)).astype(np.uint32)
+        for t, (a, b) in enumerate(zip(add[trees:].astype(np.uint32), times[trees:].astype(np.uint32), strict=True)):
+            steps[at:to, t] = np.minimum.reduceat((s ^ a) * b, first)
+        at = to
+    return roots.view(np.int64), steps.view(np.int32)
 
 
 def signatures(rows: DataFrame, trees: int) -> DataFrame:
@@ -123,13 +191,13 @@ def signatures(rows: DataFrame, trees: int) -> DataFrame:
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler()
         for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                s = shingles(text)
-                a, b = (xxhash.xxh64_intdigest(s.tobytes(), k) - (1 << 63) for k in (1, 2))
-                m = minwise(s, tokens_of(trees)) if len(s) else None
-                roots, steps = (m[:trees].view(np.int64), m[trees:].astype(np.uint32).view(np.int32)) if len(s) else (None, None)
-                out.append((len(s), a, b, roots, steps))
+            texts, out = pdf["text"].tolist(), []
+            for at in range(0, len(texts), 256):  # few whole sets are held at a time
+                sets = shingles(texts[at : at + 256])
+                tokens = zip(*minwise([s for s in sets if len(s)], trees), strict=True)
+                for s in sets:
+                    a, b = (xxhash.xxh64_intdigest(s.tobytes(), k) - (1 << 63) for k in (1, 2))
+                    out.append((len(s), a, b, *(next(tokens) if len(s) else (None, None))))
             cols = pd.DataFrame(out, columns=["n_shingles", "ka", "kb", "roots", "steps"])
             yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), cols], axis=1)
 
@@ -230,19 +298,45 @@ def loose(dense: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     return one.select(*cols).union(two.select(*cols)).distinct()
 
 
-def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole nodes from rows that come sorted by node."""
-    held: list[pd.DataFrame] = []
+def grouped(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[list[np.ndarray]]:
+    """The node column and others of each whole node, from rows that come sorted by node."""
+    held: list[np.ndarray] = []
     for pdf in batches:
-        cuts = (pdf["node"].to_numpy()[1:] != pdf["node"].to_numpy()[:-1]).nonzero()[0] + 1
-        parts = [pdf.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, len(pdf)], strict=True)] if len(pdf) else []
-        for part in parts:
-            if held and held[-1]["node"].iloc[0] != part["node"].iloc[0]:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held)
+        new = [pdf[c].to_numpy() for c in ("node", *columns)]
+        held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+        cuts = [0, *(np.flatnonzero(held[0][1:] != held[0][:-1]) + 1).tolist()]
+        for at, end in pairwise(cuts):
+            yield [x[at:end] for x in held]
+        held = [x[cuts[-1] :] for x in held]
+    if held and len(held[0]):
+        yield held
+
+
+def alike(n: np.ndarray, tokens: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places whose sizes ``n`` allow ``percent`` and whose sketches agree in ``least`` tokens."""
+    at = np.arange(len(n))
+    if len(n) > 64:  # who shares too few tokens with all others together is in no pair
+        met = np.zeros(len(n), np.int32)
+        for c in tokens.T:
+            met += np.bincount(c, minlength=1)[c] > 1
+        at = np.flatnonzero(met >= least)
+    at = at[np.argsort(n[at], kind="stable")]
+    n, columns = n[at], np.ascontiguousarray(tokens[at].T)
+    upto = np.searchsorted(n * percent, n * 100, "right")  # sizes from here on are too large for a row
+    found = []
+    for i in range(0, len(at), 256):
+        j = int(upto[min(i + 256, len(at)) - 1])
+        if j - i <= 32:
+            agree = (columns[:, i:j, None] == columns[:, None, i:j]).sum(0)
+        else:
+            agree = np.zeros((min(256, len(at) - i), j - i), np.uint8)
+            for c in columns:
+                agree += c[i : i + 256, None] == c[None, i:j]
+        a, b = (agree >= least).nonzero()
+        use = (a < b) & (100 * n[i + a] >= percent * n[i + b])
+        found.append((at[i + a[use]], at[i + b[use]]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (at, at)
+    return a, b
 
 
 def possible(members: DataFrame, percent: int) -> DataFrame:
@@ -250,67 +344,72 @@ def possible(members: DataFrame, percent: int) -> DataFrame:
     least = agreement(percent)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, size = [], 0
-        for g in grouped(batches):
-            ids, n = g["doc_id"].to_numpy(), g["n_shingles"].to_numpy()
-            tokens = np.stack(g["sketch"].to_list())
-            agree = np.zeros((len(g), len(g)), np.uint8)
-            for t in range(tokens.shape[1]):
-                agree += tokens[:, None, t] == tokens[None, :, t]
-            fits = (agree >= least) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)) & (ids[:, None] < ids[None, :])
-            a, b = fits.nonzero()
-            if len(a) <= FEW * len(g):
-                rows = pd.DataFrame({"a": ids[a], "b": ids[b], "node": g["node"].iloc[0]})
-            else:
-                some = np.union1d(a, b)
-                rows = pd.DataFrame({"a": ids[some], "b": None, "node": g["node"].iloc[0]})
-            if len(rows):
-                out.append(rows.astype({"b": "Int64"}))
-                size += len(rows)
+        out: list[list[np.ndarray]] = []
+        size = 0
+        for node, ids, n, sketch in grouped(batches, "doc_id", "n_shingles", "sketch"):
+            a, b = alike(n, np.stack(sketch), least, percent)
+            other = ids[a] != ids[b]
+            a, b = ids[a[other]], ids[b[other]]
+            if len(a) > FEW * len(ids):
+                a, b = np.union1d(a, b), None
+            if len(a):
+                pair = (np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), bool)) if b is not None else (a, a, np.ones(len(a), bool))
+                out.append([*pair, np.full(len(a), node[0])])
+                size += len(a)
             if size > 50_000:
-                yield pd.concat(out)
+                yield frame(out)
                 out, size = [], 0
         if out:
-            yield pd.concat(out)
+            yield frame(out)
+
+    def frame(out: list[list[np.ndarray]]) -> pd.DataFrame:
+        a, b, many, node = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"a": a, "b": pd.Series(b, dtype="Int64").mask(many), "node": node})
 
     rows = members.repartition("node").sortWithinPartitions("node")
     return rows.mapInPandas(look, "a long, b long, node long")
 
 
 def spanning(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that tie together the members of each component; all pairs are compared, block by block."""
+    """Links that tie together the members of each component.
+
+    A member is compared with all others by the members of each of its shingles.
+    That goes on until those not compared yet are in one component: then every
+    pair has been compared or lies within a component.
+    """
+    some = [k for k, s in enumerate(sets) if len(s)]  # an empty set links with nothing
+    if len(some) < 2:
+        return []
+    ids, sets = ids[some], [sets[k] for k in some]
     size = np.array([len(s) for s in sets])
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    shared = np.bincount(at) > 1  # a shingle of one member only is in no intersection
-    column = np.cumsum(shared) - 1
-    rows = np.repeat(np.arange(len(sets)), size)[shared[at]]
-    cols = column[at[shared[at]]]
-    width, root, links = int(shared.sum()), list(range(len(ids))), []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    step = 512
-    for i in range(0, len(ids), step):
-        for j in range(0, i + 1, step):
-            both = np.zeros((min(step, len(ids) - i), min(step, len(ids) - j)), np.float32)
-            for c in range(0, width, 8192):
-                part = []
-                for k in (i, j):
-                    m = np.zeros((min(step, len(ids) - k), min(8192, width - c)), np.float32)
-                    use = (rows >= k) & (rows < k + step) & (cols >= c) & (cols < c + 8192)
-                    m[rows[use] - k, cols[use] - c] = 1
-                    part.append(m)
-                both += part[0] @ part[1].T
-            total = size[i : i + step, None] + size[None, j : j + step] - both
-            for a, b in zip(*(100 * both >= percent * total).nonzero(), strict=True):
-                x, y = find(i + a), find(j + b)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    links.append((ids[i + a], ids[j + b]))
+    ends = np.concatenate(([0], np.cumsum(size)))
+    values = np.concatenate(sets)
+    order = np.argsort(values)
+    values = values[order]
+    column = np.empty(len(values), np.int64)
+    column[order] = np.cumsum(np.concatenate(([False], values[1:] != values[:-1])))
+    having = np.repeat(np.arange(len(sets)), size)[order]  # members by shingle
+    number = np.bincount(column)
+    first = np.cumsum(number) - number
+    shared = number[column] > 1  # a shingle of one member only is in no intersection
+    able = 100 * np.add.reduceat(shared, ends[:-1], dtype=np.int64) >= percent * size
+    root, links, left = np.arange(len(sets)), [], np.flatnonzero(able)
+    while len(left):
+        main = np.bincount(root[left]).argmax()
+        odd = np.flatnonzero(root[left] != main)
+        if not len(odd):
+            break
+        i, left = left[odd[0]], np.delete(left, odd[0])
+        own = column[ends[i] : ends[i + 1]][shared[ends[i] : ends[i + 1]]]
+        n = number[own]
+        at = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(having[at], minlength=len(sets))
+        hits = np.flatnonzero(100 * both >= percent * (size[i] + size - both))
+        others, which = np.unique(root[hits], return_index=True)
+        for r, j in zip(others, hits[which], strict=True):
+            if r != root[i]:
+                links.append((ids[i], ids[j]))
+                root[root == r] = root[i]
     return links
 
 
@@ -319,8 +418,14 @@ def confirmed(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler()
-        for g in grouped(batches):
-            yield pd.DataFrame(spanning(g["a"].to_numpy(), [shingles(t) for t in g["text"]], percent), columns=["a", "b"])
+        found: list[tuple[int, int]] = []
+        for _, ids, held in grouped(batches, "a", "text"):
+            found += spanning(ids, shingles(held), percent)
+            if len(found) > 50_000:
+                yield pd.DataFrame(found, columns=["a", "b"])
+                found = []
+        if found:
+            yield pd.DataFrame(found, columns=["a", "b"])
 
     # only texts that may be wanted are moved; the join is the same at every size
     texts = may_be_in(texts.select(F.col("doc_id").alias("a"), "text"), F.xxhash64("a"), members.select(F.xxhash64("a").alias("h")))
